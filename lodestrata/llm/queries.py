@@ -4,13 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import jaccard_components
+from .mixing import mix
 from .shared import table
 from .substring_dedup import remove_repeats
+from .token_files import read_tokens, write_tokens
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), most=3).drop("copies")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35, texts=False)
 
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup}
-ORACLES: dict[str, str] = {}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    return read_tokens(folder, manifest)
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op7_substring_dedup": op7_substring_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_token_files": op10_token_files}
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+  FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM src),
+capped AS (SELECT *, (3 * source_size)::DOUBLE AS cap, (3 * source_size)::DOUBLE / w AS reach FROM ranked),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level
+  FROM capped WINDOW p AS (ORDER BY reach, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM levels WHERE level <= reach) * w)::DOUBLE AS target FROM levels),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM goal),
+rest AS (SELECT *, CASE WHEN source_size > 0 THEN target - whole * source_size ELSE 0 END AS rest FROM plan),
+cells AS (SELECT source, h, sum(size) AS words FROM sized GROUP BY source, h),
+running AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) - words AS before FROM cells),
+edges AS (
+  SELECT r.source, max(h) AS h, arg_max(before, h) AS before, arg_max(words, h) AS words
+  FROM running r JOIN rest ON r.source IS NOT DISTINCT FROM rest.source WHERE before <= rest.rest GROUP BY r.source)
+SELECT doc_id, size, source_size, target,
+       (whole + CASE WHEN s.h < e.h + CASE WHEN 2 * (rest - before) >= words THEN 1 ELSE 0 END THEN 1 ELSE 0 END)::BIGINT * size AS taken
+FROM sized s JOIN rest r ON s.source IS NOT DISTINCT FROM r.source JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
