@@ -128,7 +128,7 @@ def _extensions(window: int, block: int, buckets: int) -> Callable:
     reach = window - block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(b.filter(b.column(2).is_valid()) for b in batches):
             ids = np.asarray(batch.column(0))
             bounds, words = text_words(batch.column(1))
             good = inside(bounds, window)
@@ -175,10 +175,11 @@ def _results(window: int, texts: bool) -> Callable:
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, places): packed starts of every window of ``docs`` whose words also start elsewhere."""
     block = (window + 1) // 2
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = _found(texts.mapInArrow(_probes(block, buckets), POSTINGS), buckets)
-    around = texts.join(hits, "doc_id").select("doc_id", "text", "places")
+    # A left join here and in remove_repeats: both then read one exchange of the texts.
+    around = texts.join(hits, "doc_id", "left").select("doc_id", "text", "places")
     return _found(around.mapInArrow(_extensions(window, block, buckets), POSTINGS), buckets)
 
 
