@@ -21,6 +21,8 @@ _TABLE.reshape(256, PLACES)[_SPACE] = 0
 _AS_IS = np.arange(256, dtype=np.int32) * PLACES
 _LOWER = _AS_IS.copy()
 _LOWER[65:91] = _AS_IS[97:123]
+# Loose words: runs of letters, digits and bytes beyond ASCII.
+_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SLICE_BYTES = 1 << 21
 
 
@@ -33,9 +35,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_bytes(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_bytes(data: np.ndarray, breaks: np.ndarray, lower: bool, loose: bool) -> tuple[np.ndarray, np.ndarray]:
     """Start offset and hash of every word; a word never spans an offset in ``breaks``."""
-    solid = ~_SPACE[data]
+    solid = ~(_BREAK if loose else _SPACE)[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     at = breaks[breaks < data.size]
@@ -52,11 +54,16 @@ def _hash_bytes(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.n
     if data.size > PLACES and int(np.max(place[solid])) >= PLACES:
         value *= (2 * (place // PLACES) + 1).astype(np.uint64)
     value[: starts[0]] = 0
+    if loose:
+        value[~solid] = 0
     return starts, mix(np.add.reduceat(value, starts))
 
 
-def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes): document i has hashes[bounds[i]:bounds[i + 1]]. Null texts have no words."""
+def text_words(texts: pa.Array, lower: bool = False, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, hashes): document i has hashes[bounds[i]:bounds[i + 1]]. Null texts have no words.
+
+    ``lower`` lowers A-Z; ``loose`` breaks words at all ASCII characters but letters and digits.
+    """
     n = len(texts)
     if texts.type not in (pa.string(), pa.binary()):
         texts = texts.cast(pa.string())
@@ -72,7 +79,7 @@ def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
         local = off[i : j + 1] - off[i]
-        starts, found = _hash_bytes(raw[off[i] : off[j]], local[:-1], lower)
+        starts, found = _hash_bytes(raw[off[i] : off[j]], local[:-1], lower, loose)
         counts[i:j] = np.diff(np.searchsorted(starts, local))
         hashes.append(found)
         i = j

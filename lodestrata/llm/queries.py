@@ -3,22 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, licences, toxicity
 from .jaccard_join import jaccard_components
+from .line_dedup import remove_lines
 from .mixing import mix
+from .pseudonyms import pseudonymise
 from .shared import table
 from .substring_dedup import remove_repeats
 from .token_files import read_tokens, write_tokens
+from .topk_search import top_k
+
+
+#: From this score on a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, lexicon).drop("top_clause")
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=5, threshold=0.8)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), most=3).drop("copies")
 
 
+#: A demonstration key; a real run passes its own, kept secret.
+PSEUDONYM_KEY = b"lodestrata demonstration key"
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_lines(table(spark, sf_dir, "documents"), lines=3)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35, texts=False)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -34,7 +74,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(folder, manifest)
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op7_substring_dedup": op7_substring_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_token_files": op10_token_files}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_pseudonyms, op5_topk_search, op6_line_dedup, op7_substring_dedup, op8_licences, op9_jaccard_join, op10_token_files)
+}
 
 OP3_SQL = r"""
 WITH sized AS (
@@ -60,4 +103,25 @@ SELECT doc_id, size, source_size, target,
 FROM sized s JOIN rest r ON s.source IS NOT DISTINCT FROM r.source JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS bare FROM documents),
+w AS (SELECT doc_id, parts, p.i AS place, bare[p.i + 1] || chr(10) || bare[p.i + 2] || chr(10) || bare[p.i + 3] AS k
+      FROM l, LATERAL (SELECT unnest(range(0, greatest(len(bare) - 2, 0))) AS i) p),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, place) AS nth FROM w WHERE length(k) > 2),
+gone AS (SELECT DISTINCT doc_id, unnest([place, place + 1, place + 2]) AS place FROM o WHERE nth > 1),
+cut AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(l.parts) END::BIGINT AS n_lines, coalesce(cut.n, 0)::BIGINT AS n_removed,
+       CASE WHEN cut.n IS NULL THEN d.text ELSE array_to_string(list_filter(l.parts, lambda x, i: NOT list_contains(cut.places, i - 1)), chr(10)) END AS text
+FROM documents d JOIN l ON d.doc_id = l.doc_id LEFT JOIN cut ON d.doc_id = cut.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL}
