@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import inside, slices, text_words, windows
+from .hashing import inside, mix, slices, text_words, windows
 from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
 from .shared import partitions
 
@@ -75,11 +75,12 @@ def _probes(block: int, buckets: int) -> Callable:
     return run
 
 
-def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of a bucket in, the places whose key is flagged and repeats out, by document."""
-    ids, places, keys, flags, found = [], [], [], [], []
-    for batch in group:
-        for known, cell in zip(batch.column("known").to_pylist(), batch.column("cell"), strict=True):
+def _meet(shares: int) -> Callable:
+    """Postings of a bucket in; the places whose key is flagged and repeats out, in a cell for each share of the documents."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, places, keys, flags, found = [], [], [], [], [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        for known, cell in zip(group.column("known").to_pylist(), group.column("cell"), strict=True):
             columns = unpack(cell.as_py())
             doc, place = unpack_places(*columns[:3])
             if known:
@@ -89,38 +90,47 @@ def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places.append(place)
             keys.append(columns[3])
             flags.append(np.unpackbits(columns[4], count=place.size).astype(bool))
-    if keys:
-        hit = meeting(np.concatenate(keys), np.concatenate(flags))
-        found.append((np.concatenate(ids)[hit], np.concatenate(places)[hit]))
-    if found:
-        doc, place = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order]
-        if not doc.size:
-            return
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        ends = np.append(at[1:], doc.size)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], ["doc_id", "places"])
+        if keys:
+            hit = meeting(np.concatenate(keys), np.concatenate(flags))
+            found.append((np.concatenate(ids)[hit], np.concatenate(places)[hit]))
+        doc, place = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        share = (mix(doc.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+        order = np.lexsort((place, doc, share))
+        doc, place, share = doc[order], place[order], share[order]
+        cuts = np.searchsorted(share, np.arange(shares + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        cells = []
+        for k in full:
+            used, index = np.unique(doc[cuts[k] : cuts[k + 1]], return_inverse=True)
+            cells.append(pack(*pack_places(used, index, place[cuts[k] : cuts[k + 1]])))
+        return pa.table({"share": pa.array(full, pa.int32()), "cell": pa.array(cells, pa.binary())})
 
+    return run
 
-def _found(postings: DataFrame, buckets: int) -> DataFrame:
-    """doc_id and the list of its packed places."""
-    met = postings.repartition(partitions(postings.sparkSession), "bucket").groupBy("bucket").applyInArrow(_meet_table, PLACES)
-    return met.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
 
+def _by_document(group: pa.Table) -> pa.Table:
+    """Cells of a share of the documents in, a row a document out."""
+    found = [unpack_places(*unpack(cell.as_py())) for cell in group.column("cell")]
+    doc, place = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    ends = np.append(at[1:], doc.size)
+    return pa.table({"doc_id": pa.array(doc[at], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
 
-def _meet_table(group: pa.Table) -> pa.Table:
-    out = list(_meet(iter(group.to_batches())))
-    return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
+
+def _found(postings: DataFrame, buckets: int) -> DataFrame:
+    """doc_id and its packed places, a row a document."""
+    met = postings.groupBy("bucket").applyInArrow(_meet(buckets), "share int, cell binary")
+    return met.groupBy("share").applyInArrow(_by_document, PLACES)
 
 
 def _joined(cells: pa.Array, bounds: np.ndarray) -> np.ndarray:
     """A mark over the words of a batch at each place in its documents' lists."""
     marks = np.zeros(int(bounds[-1]) + 1, bool)
-    for i, lists in enumerate(cells):
-        if lists.is_valid:
-            for x in lists.as_py():
-                marks[bounds[i] + np.frombuffer(x, np.uint32)] = True
+    for i, places in enumerate(cells):
+        if places.is_valid:
+            marks[bounds[i] + np.frombuffer(places.as_py(), np.uint32)] = True
     return marks[:-1]
 
 
@@ -153,15 +163,15 @@ def _results(window: int, texts: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             total, gone, digests, kept = [], [], [], []
-            for text, lists in zip(batch.column(1), batch.column(2), strict=True):
+            for text, places in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
                 total.append(len(words))
-                if lists.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    places = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists.as_py()])).astype(np.int64)
-                    edge[places] += 1
-                    edge[places + window] -= 1
-                    keep = np.cumsum(edge)[:-1] == 0
+                if places.is_valid:
+                    edge = np.zeros(len(words) + window, np.int64)
+                    starts = np.unique(np.frombuffer(places.as_py(), np.uint32)).astype(np.int64)
+                    edge[starts] += 1
+                    edge[starts + window] -= 1
+                    keep = np.cumsum(edge)[: len(words)] == 0
                     words = [words[i] for i in np.flatnonzero(keep)]
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
