@@ -2,21 +2,26 @@
 
 A document is the sorted set of 64-bit hashes of its distinct n-grams. Equal sets are one class, known
 by a 128-bit digest; only its representative goes on. Two sets of Jaccard J >= t share one of the first
-``n - ceil(t * n) + 1`` values of each in hash order, so documents meet in tiles: one for each such value
-and size band, where sizes in bands b and b + 1 only can reach t. In a tile, a pair's overlap is bounded
-from above by the bit counts of bitmaps (each bit that differs is a value that only one set has); pairs
-the bound leaves are held against each other by exact sorted-array intersection.
+``n - ceil(t * n) + 1`` values of each in hash order, so documents meet in tiles, one for each such value,
+in which sizes ascend and only those within a factor t are paired. A bitmap holds, for each bit, the
+parity of the values that hash to it: bits that differ between two bitmaps count values that only
+one set has, so bit counts bound the overlap from above. Pairs that the bound leaves are held against
+each other by exact sorted-array intersection of their sets.
 
 What is asked for are the classes that links join, so a pair already joined needs no look:
 
-1. Each document is held against the smallest of its tile, for the first ``LEADS`` values only, where
-   nearly all links lie (two sets' least common value is among the first of both).
-2. Then every tile whose members are in several components is gone through whole, by bitmaps, and only
-   pairs across components are kept. This step alone makes the result exact; the first makes it cheap.
+1. Each document is held, by bitmaps, against the smallest of its tile and size band, for the first
+   ``LEADS`` values only, where nearly all links lie (two sets' least common value is among the first of both).
+2. Every tile whose members are in several of the components that these leads form is gone through
+   whole, and pairs across components whose bound passes are kept.
+3. Leads and kept pairs are verified exactly, in one pass over the texts of the documents they name.
+4. Where a lead that failed has left a component in pieces, step 2 is done again among the pieces.
 
-Tiles of more than ``BLOCK`` documents are cut into blocks, and each pair of blocks is a task's share, so
-no group gathers whole. Pairs within a group are never listed: a pair becomes a row only if its bound
-passes and its components differ.
+A link between two documents is thus found in step 2 or 4, or its ends are joined by verified links.
+
+Tiles of more than ``BLOCK`` documents are cut by size band (sizes that can link lie in one band or in
+neighbours) and into blocks, and each pair of blocks is a task's share, so no group gathers whole. Pairs within
+a group are never listed: a pair becomes a row only if its bound passes and its components differ.
 
 Defined results: null, empty and blank texts have no set (size 0) and link with nothing; with fewer words
 than ``n`` the whole sequence is the one n-gram; copies link; ids must be distinct and not null; extra
@@ -40,6 +45,7 @@ from .shared import partitions, settle
 
 LEADS = 3
 BLOCK = 2048
+MARGIN = 2
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, bits binary, prefix array<long>"
 
 
@@ -67,14 +73,15 @@ def sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def width(n: int) -> int:
-    """Bits of a signature: a power of two of at least twice the size."""
-    return max(256, 1 << (2 * n - 1).bit_length())
+    """Bits of a signature: a power of two of at least the size."""
+    return max(128, 1 << (n - 1).bit_length())
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    bits = np.zeros(width(values.size), np.uint8)
-    bits[(mix(values ^ np.uint64(0x5BD1E995)) & np.uint64(bits.size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """The parity of the number of values at each bit."""
+    size = width(values.size)
+    at = (mix(values ^ np.uint64(0x5BD1E995)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def _signatures(words: int, percent: int) -> Callable:
@@ -109,7 +116,7 @@ def band(n: Column, percent: int) -> Column:
 def fold(cell: bytes, size: int) -> np.ndarray:
     """The bitmap at a smaller power of two of bytes, as 64-bit words."""
     raw = np.frombuffer(cell, np.uint64)
-    return np.bitwise_or.reduce(raw.reshape(-1, size // 8), axis=0) if raw.nbytes > size else raw
+    return np.bitwise_xor.reduce(raw.reshape(-1, size // 8), axis=0) if raw.nbytes > size else raw
 
 
 def may_link(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
@@ -118,58 +125,81 @@ def may_link(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray, percent: int) -
     return 100 * most >= percent * (n1 + n2 - most)
 
 
-def _pairs_by_bound(percent: int) -> Callable:
-    """Rows a, b, n_a, n_b, bits_a, bits_b in; those that the bound leaves out."""
+def _likely(percent: int) -> Callable:
+    """Rows a, b, n_a, n_b, bits_a, bits_b in; those that by the expected count of equal bits link well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n1, n2 = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            differ = np.zeros(batch.num_rows, np.int64)
+            differ = np.zeros(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
                 x, y = x.as_py(), y.as_py()
                 size = min(len(x), len(y))
-                differ[i] = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()
-            keep = pa.array(may_link(n1, n2, differ, percent))
+                bits = 8 * size
+                seen = min(int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()), bits // 2 - 1)
+                differ[i] = -bits / 2 * math.log(1 - 2 * seen / bits)
+            keep = pa.array(may_link(n1, n2, np.ceil(differ).astype(np.int64), min(percent + MARGIN, 100)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
+def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one tile whose sizes, sides and components allow a link and whose bound passes; sizes ascend."""
+    m = n.size
+    ends = np.searchsorted(n, n * 100 // percent, "right")
+    # Small tiles at once, large ones in strips of rows of bounded size.
+    strip = max(1, min(m, (1 << 18) // m))
+    for at in range(0, m - 1, strip):
+        i = np.arange(at, min(at + strip, m))
+        count = np.maximum(ends[i] - i - 1, 0)
+        if not count.sum():
+            continue
+        first = np.repeat(i, count)
+        second = first + 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        keep = (comp[first] != comp[second]) & (low[first] | low[second])
+        keep &= (side[first] < 0) | (side[first] != side[second]) | (side[first] == 2)
+        first, second = first[keep], second[keep]
+        if first.size:
+            differ = np.bitwise_count(maps[first] ^ maps[second]).sum(axis=1, dtype=np.int64)
+            keep = may_link(n[first], n[second], differ, percent)
+            yield first[keep], second[keep]
+
+
 def _tile(percent: int) -> Callable:
     """The pairs of a cell of tiles whose bound passes and whose components differ."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tile", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
-        tile, doc, n, comp = (np.asarray(table.column(c)) for c in ("tile", "doc_id", "n", "comp"))
-        side, low = np.asarray(table.column("side")), np.asarray(table.column("band")) == np.asarray(table.column("own_band"))
-        bits = table.column("bits").combine_chunks() if table.num_rows else None
-        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]])) if tile.size else np.zeros(1, int)
-        a, b = [], []
+        tile, doc, n, comp, side, low = (np.asarray(table.column(c)) for c in ("tile", "doc_id", "n", "comp", "side", "low"))
+        bits = table.column("bits").combine_chunks()
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
             cells = [x.as_py() for x in bits.slice(lo, hi - lo)]
             size = min(map(len, cells))
             maps = np.stack([fold(x, size) for x in cells])
-            n_, c_, s_, l_, d_ = n[lo:hi], comp[lo:hi], side[lo:hi], low[lo:hi], doc[lo:hi]
-            for i in range(hi - lo - 1):
-                # Sizes ascend: only those up to n / t can link.
-                end = int(np.searchsorted(n_, n_[i] * 100 // percent, "right"))
-                j = np.arange(i + 1, end)
-                j = j[(c_[j] != c_[i]) & (l_[j] | l_[i])]
-                if s_[i] >= 0:  # a pair of blocks: only across them, or within one if they are the same
-                    j = j[(s_[j] != s_[i]) | (s_[i] == 2)]
-                if j.size:
-                    differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                    j = j[may_link(n_[i], n_[j], differ, percent)]
-                    a.append(np.full(j.size, d_[i]))
-                    b.append(d_[j])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([empty, *a])), "b": pa.array(np.concatenate([empty, *b]))})
+            for i, j in _within(n[lo:hi], comp[lo:hi], side[lo:hi], low[lo:hi], maps, percent):
+                a.append(doc[lo + i])
+                b.append(doc[lo + j])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return run
 
 
+def _pack_set(values: np.ndarray) -> bytes:
+    """The high 48 bits of each hash: order stays, and only the two sets of a pair are compared."""
+    return (values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_set(cell: bytes) -> np.ndarray:
+    out = np.zeros((len(cell) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _exact(percent: int) -> Callable:
     """Rows a, b and both sorted sets in; links out."""
 
@@ -177,7 +207,7 @@ def _exact(percent: int) -> Callable:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = _unpack_set(x.as_py()), _unpack_set(y.as_py())
                 small, large = (x, y) if x.size <= y.size else (y, x)
                 at = np.minimum(np.searchsorted(large, small), large.size - 1)
                 both = int(np.count_nonzero(large[at] == small))
@@ -193,7 +223,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
     @F.pandas_udf(T.BinaryType())
     def whole_set(text):
-        return text.__class__([x.tobytes() for x in sets(pa.array(text, pa.string()), words)], dtype=object)
+        return text.__class__([_pack_set(x) for x in sets(pa.array(text, pa.string()), words)], dtype=object)
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     arrays = _texts(docs).join(ids, "doc_id", "left_semi").withColumn("hashes", whole_set("text")).drop("text")
@@ -210,28 +240,34 @@ def lead_pairs(reps: DataFrame, percent: int) -> DataFrame:
     signs = reps.select("doc_id", "n", "bits")
     for side in "ab":
         pairs = pairs.join(signs.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_pairs_by_bound(percent), "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_likely(percent), "a long, b long")
 
 
 def cross_pairs(reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs across components whose bound passes, from the tiles of all prefix values."""
-    own = reps.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), band(F.col("n"), percent).alias("own_band"), "prefix")
-    held = own.select("doc_id", "n", "comp", "own_band", F.explode("prefix").alias("value"))
-    mixed = held.groupBy("value").agg(F.count("*").alias("held"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("value")
-    tiles = held.join(mixed, "value").withColumn("band", F.explode(F.array("own_band", F.col("own_band") - 1)))
-    # A tile (value, band) has the sizes of its band and of the next; a pair needs one of the lower band.
-    kept = tiles.groupBy("value", "band").agg(F.count("*").alias("held"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max((F.col("band") == F.col("own_band")).cast("int")).alias("low")).filter("c1 < c2 and low = 1").select("value", "band", "held")
-    tiles = tiles.join(kept, ["value", "band"])
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    own = reps.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp"), "prefix")
+    held = own.select("doc_id", "comp", F.explode("prefix").alias("value"))
+    mixed = held.groupBy("value").agg(F.count("*").alias("held"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("value", "held")
+    met = own.select("doc_id", F.explode("prefix").alias("value")).join(mixed, "value")
+    sized = own.select("doc_id", "comp").join(reps.select("doc_id", "n", "bits"), "doc_id")
+    rows = met.join(sized, "doc_id").withColumn("own_band", band(F.col("n"), percent))
+    whole = rows.filter(f"held <= {BLOCK}").select("doc_id", "n", "comp", "bits", F.col("value").alias("tile"), F.lit(-1).alias("side"), F.lit(True).alias("low"))
+    # A banded tile has the sizes of its band and of the next; a pair needs one of the lower band.
+    count = F.ceil(F.col("held") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    whole = tiles.filter(f"held <= {BLOCK}").select("doc_id", "n", "comp", "own_band", "band", F.xxhash64("value", "band").alias("tile"), F.lit(-1).alias("side"))
-    cut = tiles.filter(f"held > {BLOCK}").withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = rows.filter(f"held > {BLOCK}").withColumn("blocks", count).withColumn("mine", mine).withColumn("band", F.explode(F.array("own_band", F.col("own_band") - 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    cut = cut.select("doc_id", "n", "comp", "own_band", "band", F.xxhash64("value", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), side.alias("side"))
-    cells = whole.union(cut).join(reps.select("doc_id", "bits"), "doc_id")
-    count = 4 * partitions(reps.sparkSession)
-    found = cells.withColumn("cell", F.pmod("tile", F.lit(count))).repartition(partitions(reps.sparkSession), "cell").groupBy("cell").applyInArrow(_tile(percent), "a long, b long")
-    return found.distinct()
+    cut = cut.select("doc_id", "n", "comp", "bits", F.xxhash64("value", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), side.alias("side"), (F.col("band") == F.col("own_band")).alias("low"))
+    cells = whole.union(cut).withColumn("cell", F.pmod("tile", F.lit(4 * partitions(reps.sparkSession))))
+    return cells.groupBy("cell").applyInArrow(_tile(percent), "a long, b long").distinct()
+
+
+def _pieces(leads: DataFrame, roots: DataFrame, verified_roots: DataFrame) -> DataFrame:
+    """(doc_id, u, root) of documents in components of leads that verified links leave in pieces."""
+    members = roots.select(F.col("u").alias("doc_id"), F.col("root").alias("lead_root")).union(roots.select(F.col("root").alias("doc_id"), F.col("root").alias("lead_root"))).distinct()
+    now = members.join(verified_roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    split = now.groupBy("lead_root").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("lead_root")
+    return now.join(split, "lead_root").select("doc_id", "root")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -239,13 +275,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     signs = settle(signatures(docs, words, percent), "signatures")
     sized = signs.filter("n > 0")
     classes = sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copied = settle(classes.filter("copies > 1"), "copies")
+    copied = settle(classes.filter("copies > 1"), "classes")
     copies = sized.join(copied, ["d1", "d2", "n"]).filter("doc_id <> rep").select("doc_id", "rep")
     copies = settle(copies, "copies")
     reps = sized.join(copies, "doc_id", "left_anti")
-    first = settle(verified(docs, settle(lead_pairs(reps, percent), "leads"), words, percent), "links")
-    roots = components(first)
-    pairs = settle(cross_pairs(reps, roots, percent), "crossings")
-    links = first.union(verified(docs, pairs, words, percent)).union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    leads = settle(lead_pairs(reps, percent), "leads")
+    roots = components(leads)
+    tested = settle(leads.union(cross_pairs(reps, roots, percent)), "pairs")
+    links = settle(verified(docs, tested, words, percent), "links")
+    now = components(links)
+    pieces = settle(_pieces(leads, roots, now), "pieces")
+    if pieces.limit(1).count():
+        again = cross_pairs(reps.join(pieces.select("doc_id"), "doc_id", "left_semi"), pieces.withColumnRenamed("doc_id", "u"), percent)
+        links = links.union(verified(docs, settle(again, "pairs"), words, percent))
+    links = links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(links)
     return signs.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
