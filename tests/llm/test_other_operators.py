@@ -1,0 +1,230 @@
+"""Toxicity, decontamination, mixing, pseudonyms, search, licences and the pipeline."""
+
+import random
+
+import numpy as np
+import pytest
+from lodestrata.llm import decontamination, licences, mixing, pseudonyms, topk_search, toxicity
+
+FILLER = "the a of river stone walk green light paper window under over long small table chair".split()
+
+
+def sentences(rnd, extra=()):
+    words = [rnd.choice(FILLER) + rnd.choice(["", "s", "ed"]) for _ in range(40)]
+    for w in extra:
+        words.insert(rnd.randrange(len(words)), w)
+    return " ".join(words) + "."
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    rnd = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        rows.append((i, sentences(rnd, rnd.sample(["zork", "blimp", "grod"] + [f"vexu{c}{c}" for c in "abcdefgh"], 3) if toxic else ())))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_learns_and_scores(spark, documents, labelled):
+    rows, labels = labelled
+    table = spark.createDataFrame([*labels, (3, None), (None, 1), (99_999, 1)], "doc_id long, toxic int")
+    docs = documents([*rows, (1000, None), (1001, ""), (1002, "VEXUZZ and vexuqq zork!")])
+    lexicon = toxicity.fit(docs, table)
+    assert {"zork", "blimp", "grod"} <= set(lexicon.weights) and not set(FILLER) & set(lexicon.weights)
+    got = {r.doc_id: r for r in toxicity.score(docs, lexicon).collect()}
+    assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got.values())
+    right = sum((got[i].score >= 0.3) == bool(t) for i, t in labels)
+    assert right >= 0.97 * len(labels)
+    held = [(i, t) for i, t in labels if toxicity.label_crc(i) == 2]
+    assert sum((got[i].score >= 0.3) == bool(t) for i, t in held) >= 0.95 * len(held)
+    assert got[1000].score == got[1001].score < 0.3 <= got[1002].score
+    kept = toxicity.below(docs, lexicon, 0.3)
+    assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.3 for r in got.values())
+
+
+def test_toxicity_ignores_held_out_labels(spark, documents, labelled):
+    rows, labels = labelled
+    turned = [(i, 1 - t if toxicity.label_crc(i) == 2 else t) for i, t in labels]
+    schema = "doc_id long, toxic int"
+    assert toxicity.fit(documents(rows), spark.createDataFrame(labels, schema)) == toxicity.fit(documents(rows), spark.createDataFrame(turned, schema))
+    docs = documents(rows)
+    flags = docs.select("doc_id", toxicity.held_out(docs["doc_id"]).alias("h")).collect()
+    assert all(r.h == (toxicity.label_crc(r.doc_id) == 2) for r in flags)
+
+
+def test_toxicity_without_labels(spark, documents):
+    lexicon = toxicity.fit(documents([(1, "hello")]), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert "idiot" in lexicon.weights
+    assert toxicity.score(documents([]), lexicon).count() == 0
+
+
+def test_grammar_weighs_clauses():
+    grammar = toxicity.Grammar(toxicity.Lexicon({"idiot": 1.0}))
+    total = lambda text: sum(w for _, w in grammar.clauses(text))
+    assert total("the sky is blue") == 0
+    assert total("you idiot") > total("the idiot") > total("not an idiot") > 0
+    assert total("the idiot") > total("people said the idiot")
+    assert total("not an idiot but an idiot") > total("not an idiot")
+    assert total("i kill you") < total("you i kill") and total("they kill time, you sing") > 0
+    assert total("not. the idiot") == total("the idiot")
+
+
+def brute_tiles(doc, item, least):
+    """Greedy tiling by trying all matches; the tiled words of the item."""
+    free_d, free_i, tiled = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                k = 0
+                while p + k < len(doc) and q + k < len(item) and doc[p + k] == item[q + k] and free_d[p + k] and free_i[q + k]:
+                    k += 1
+                best = max(best, (k, -p, -q))
+        if best[0] < least:
+            return tiled
+        k, p, q = best[0], -best[1], -best[2]
+        free_d[p : p + k], free_i[q : q + k] = [False] * k, [False] * k
+        tiled += k
+
+
+def test_tiles_match_brute_force():
+    rnd = random.Random(2)
+    for _ in range(150):
+        item = [rnd.randrange(40) for _ in range(rnd.randint(3, 30))]
+        doc = [rnd.randrange(40) for _ in range(10)] + item[len(item) // 2 :] + [99] + item[: len(item) // 2] + [rnd.randrange(40) for _ in range(5)]
+        got = decontamination.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 3)
+        used = [(p + k, q + k) for p, q, n in got for k in range(n)]
+        assert len({p for p, _ in used}) == len(used) == len({q for _, q in used})
+        assert all(doc[p] == item[q] for p, q in used)
+        assert len(used) == brute_tiles(doc, item, 3)
+
+
+def test_decontamination(spark, documents, monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    w = item.split()
+    moved = " ".join([*w[10:], "between", *w[:10]])
+    half = " ".join(w[:10])
+    rows = [(1, "before " + item.upper() + "! after"), (2, "x " + moved + " y"), (3, half), (4, None), (5, ""), (6, "nothing here at all"), (7, ", ".join(w)), (8, " ".join(w[::-1]))]
+    bench = spark.createDataFrame([(9, item), (4, "a b"), (5, None), (6, ""), (8, item)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_id, r.n_items) for r in decontamination.coverage(documents(rows), bench).collect()}
+    assert got == {i: (True, 8, 2) if i in (1, 2, 7) else (False, None, 0) for i in range(1, 9)}
+    assert sorted(r.doc_id for r in decontamination.clean(documents(rows), bench).collect()) == [3, 4, 5, 6, 8]
+    monkeypatch.setattr(decontamination, "SLICE_WORDS", 5)
+    sliced = {r.doc_id: (r.contaminated, r.item_id, r.n_items) for r in decontamination.coverage(documents(rows), bench).collect()}
+    assert sliced == got
+    assert decontamination.coverage(documents(rows), bench.limit(0)).filter("contaminated").count() == 0
+    assert decontamination.coverage(documents([]), bench).count() == 0
+
+
+def test_mixing(spark, documents):
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randint(0, 40), rnd.choice(["b", "a", "a", "a", "c", None])) for i in range(800)] + [(900, None, "a"), (901, "", "empty"), (902, "w " * 3000, "big")]
+    got = mixing.mix(documents(rows)).collect()
+    by = {}
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows), strict=True):
+        x = by.setdefault(s, [0, 0, r.target, 0])
+        x[0] += r.size
+        x[1] += r.taken
+        x[3] = max(x[3], r.size)
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size) and r.source_size >= r.size
+    order = ["a", "b", "big", "c", "empty", None]
+    target = {s: 0.0 for s in order}
+    cap = {s: 3.0 * by[s][0] for s in order}
+    left, open_ = float(sum(x[0] for x in by.values())), set(order)
+    while open_ and left > 1e-9:
+        total = sum(order.index(s) % 3 + 1 for s in open_)
+        share = {s: left * (order.index(s) % 3 + 1) / total for s in open_}
+        left = 0.0
+        for s in list(open_):
+            target[s] += share[s]
+            if target[s] >= cap[s]:
+                left += target[s] - cap[s]
+                target[s] = cap[s]
+                open_.discard(s)
+    for s in order:
+        assert by[s][2] == pytest.approx(target[s])
+        assert abs(by[s][1] - target[s]) <= by[s][3]
+    assert mixing.mix(documents([])).count() == 0
+    assert sorted(map(tuple, mixing.mix(documents(rows)).collect())) == sorted(map(tuple, got))
+
+
+def test_feistel_is_a_permutation():
+    f = pseudonyms.Feistel(b"k")
+    for size in (2, 7, 100, 366):
+        images = [f.permute(x, size, "t") for x in range(size)]
+        assert sorted(images) == list(range(size)) and [f.permute(y, size, "t", back=True) for y in images] == list(range(size))
+
+
+def test_pseudonyms(documents):
+    text = "Card 4041 8949-7460 8795 or 4041894974608795, call +1 (988) 555-2485, at 10.1.22.3; born 1999-12-31 or 31.12.1999 or 12/31/1999, tnf.99@mail9.example.com DE89370400440532013000 key=ab12cd34ef56ab78 123-45-6789"
+    bad = "4041894974608796 999.1.1.1 2021-02-30 000-12-1234 1.2.3.4.5"
+    rows = [(1, text), (2, "again 4041894974608795 +1 (988) 555-2485"), (3, bad), (4, None), (5, ""), (6, "plain")]
+    out = pseudonyms.pseudonymise(documents(rows), b"key")
+    got = {r.doc_id: r for r in out.collect()}
+    new = got[1].text
+    assert (got[1].n_card, got[1].n_phone, got[1].n_ip, got[1].n_date, got[1].n_email, got[1].n_iban, got[1].n_secret, got[1].n_ssn) == (2, 1, 1, 3, 1, 1, 1, 1)
+    assert all(w not in new for w in ("4041", "555-2485", "10.1.22.3", "1999", "tnf.99", "3704004405", "ab12cd34", "123-45"))
+    digits = "".join(c for c in new.split(" or ")[1][:16] if c.isdigit())
+    assert pseudonyms.luhn(digits) % 10 == 0 and digits in got[2].text
+    assert new[5:24].replace(" ", "").replace("-", "") == digits
+    assert got[3].text == bad and got[3].n_found == 0 and got[4].text is None and got[5].text == "" and got[6].text == "plain"
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(out, b"key", back=True).collect()}
+    assert back == dict(rows)
+    assert pseudonyms.pseudonymise(documents([]), b"key").count() == 0
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    rnd = np.random.default_rng(0)
+    vectors = {i: rnd.normal(size=6).astype(np.float32).tolist() for i in range(120)}
+    vectors[60] = vectors[61] = vectors[7]
+    odd = [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [float("nan")] * 6), (203, [float("inf")] + [0.0] * 5), (250, [1.0]), (None, [1.0] * 6)]
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in [*vectors.items(), *odd]], "vec_id long, embedding array<float>, block long, cells string")
+    got = sorted(map(tuple, topk_search.top_k(frame, k=5, every=20).collect()))
+    whole = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v in vectors.items()}
+    want = []
+    for q in range(0, 120, 20):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in whole if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    few = frame.filter("vec_id in (0, 1, 2)")
+    assert sorted(r.rank for r in topk_search.top_k(few, k=5, every=2).collect() if r.query_id == 0) == [1, 2]
+    assert topk_search.top_k(frame.limit(0)).count() == 0
+
+
+def test_licences(documents):
+    mit = dict((k, t) for k, t in licences.KNOWN if t.startswith("Permission is hereby"))["MIT"]
+    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(".", " .")), (2, "text\nlicenced under the apache licence, v2 \nmore\nReleased under the MIT License"), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0. And more."), (6, "All rights reserved.")]
+    got = {r.doc_id: (r.licence, r.notices, r.digest is None) for r in licences.scan(documents(rows)).collect()}
+    assert got[1][0] == "MIT" and got[3] == (None, "", True) and got[4] == (None, "", False) and got[5] == (None, "", False)
+    assert "MIT" in got[2][1] and got[6] == ("LicenseRef-all-rights-reserved", "LicenseRef-all-rights-reserved", False)
+    assert licences.scan(documents([])).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path, labelled):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, labels = labelled
+    rnd = random.Random(8)
+    item = " ".join(f"bench{i}" for i in range(20))
+    long = [sentences(rnd) for _ in range(3)]
+    extra = [(700, long[0]), (701, long[0]), (702, long[1] + " " + item), (703, None), (704, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", 1) for i, t in [*rows, *extra]], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in pipeline.STAGES:
+        new = stage(spark, docs, str(tmp_path))
+        if name != "token files":
+            assert new.columns == docs.columns
+        new.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = [r.doc_id for r in docs.collect()]
+    toxic = {i for i, t in labels if t}
+    assert len(set(kept["toxicity"]) & toxic) <= 2 and set(range(600)) - toxic <= set(kept["toxicity"])
+    assert 700 in kept["n-gram jaccard join"] and 701 not in kept["n-gram jaccard join"]
+    assert set(kept["n-gram jaccard join"]) - set(kept["benchmark decontamination"]) == {702}
+    assert set(kept["mixing"]) <= set(kept["benchmark decontamination"]) and max(kept["mixing"].count(i) for i in set(kept["mixing"])) <= 3
+    assert sorted(kept["token files"]) == sorted(kept["mixing"])
