@@ -1,0 +1,54 @@
+"""A folder of source files as a table: walk, ignore rules, languages and decoding."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Suffixes and their languages.
+LANGUAGES = {
+    "python": "py", "javascript": "js jsx mjs cjs", "typescript": "ts tsx", "csharp": "cs", "go": "go", "java": "java", "rust": "rs", "markdown": "md rst", "text": "txt",
+}
+IGNORED = [".git/", "node_modules/", "__pycache__/", ".venv/", "venv/", "dist/", "build/", ".idea/", ".mypy_cache/", ".pytest_cache/"]
+
+
+def language(path: Column) -> Column:
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    out = F.lit(None).cast("string")
+    for name, suffixes in LANGUAGES.items():
+        out = F.when(suffix.isin(suffixes.split()), name).otherwise(out)
+    return F.when(path.rlike(r"\.d\.(ts|mts|cts)$"), None).otherwise(out)
+
+
+def ignore_pattern(line: str) -> str | None:
+    """A regular expression over relative paths for one ignore rule; blank lines and comments have none."""
+    rule = line.strip()
+    if not rule or rule.startswith("#"):
+        return None
+    folder, anchored = rule.endswith("/"), "/" in rule.strip("/") or rule.startswith("/")
+    parts = []
+    for token in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", rule.strip("/")):
+        parts.append({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token) or re.escape(token))
+    return ("^" if anchored else "(?:^|/)") + "".join(parts) + ("/" if folder else "(?:/|$)")
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """The last rule that matches decides; a rule that starts with ! takes a path back in."""
+    out = F.lit(False)
+    for rule in [*IGNORED, *rules]:
+        back = rule.strip().startswith("!")
+        if pattern := ignore_pattern(rule.strip().lstrip("!") if back else rule):
+            out = F.when(path.rlike(pattern), not back).otherwise(out)
+    return out
+
+
+def walk(spark: SparkSession, root: str, repo_id: str, rules: list[str] | None = None) -> DataFrame:
+    """(repo_id, path, language, content, valid) of the files of known languages; what is no UTF-8 has valid = false."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
+    rows = files.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), "content").withColumn("language", language(F.col("path")))
+    rows = rows.filter(F.col("language").isNotNull() & ~ignored(F.col("path"), rules or []))
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    return rows.select("repo_id", "path", "language", F.when(good, F.col("content").cast("string")).alias("content"), good.alias("valid"))
