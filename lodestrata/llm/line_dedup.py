@@ -25,35 +25,33 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _windows(lines: int) -> Column:
-    """MD5 of each window, null where all its lines are blank."""
-    bare = F.transform(F.split("text", "\n"), _bare)
-    def key(i: Column) -> Column:
-        joined = F.concat_ws("\n", *[F.get("bare", i + k) for k in range(lines)])
-        return F.when(F.length(joined) > lines - 1, F.unhex(F.md5(joined)))
+def _window(lines: int, place: Column) -> Column:
+    """MD5 of the window of ``bare`` at a place, null where all its lines are blank."""
+    joined = F.concat_ws("\n", *[F.get("bare", place + k) for k in range(lines)])
+    return F.when(F.length(joined) > lines - 1, F.unhex(F.md5(joined)))
 
-    count = F.size("bare") - (lines - 1)
-    return bare, F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), key))
+
+def _held(value: Column) -> Column:
+    """The value as a generated column, which the optimizer does not write out again at each use in a lambda."""
+    return F.explode(F.array(value))
 
 
 def remove_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, a row a document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    bare, keys = _windows(lines)
-    seen = (
-        own.select("id", bare.alias("bare")).select("id", keys.alias("keys")).filter("keys is not null")
-        .select("id", "keys", F.posexplode("keys").alias("place", "key")).filter("key is not null")
-        .select("id", "place", "key", (F.array_position("keys", F.col("key")) - 1 == F.col("place")).alias("first_here"))
-    )
-    again = seen.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
-    later = seen.join(again, "key").filter(~((F.col("id") == F.col("first_id")) & F.col("first_here")))
+    count = F.size("bare") - (lines - 1)
+    bare = own.select("id", _held(F.transform(F.split("text", "\n"), _bare)).alias("bare")).filter(count > 0)
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: _window(lines, i))
+    seen = bare.select("id", keys.alias("keys")).select("id", F.posexplode("keys").alias("place", "key")).filter("key is not null")
+    again = seen.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("seen")).filter("seen > 1").drop("seen")
+    later = seen.join(again, "key").filter((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
     gone = later.groupBy("id").agg(F.collect_set("place").alias("starts"))
     cut = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (lines - 1)))))
-    split = own.withColumn("parts", F.split("text", "\n"))
     places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), cut)
     left = F.array_join(F.transform(places, lambda i: F.get("parts", i)), "\n")
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long")
-    return split.join(gone, "id", "left").select(
+    joined = own.join(gone, "id", "left").select("doc_id", "text", "starts", _held(F.split("text", "\n")).alias("parts"))
+    return joined.select(
         "doc_id", total.alias("n_lines"), F.when(F.col("starts").isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_removed"), F.when(F.col("starts").isNull(), F.col("text")).otherwise(left).alias("text")
     )
