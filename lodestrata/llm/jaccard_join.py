@@ -46,6 +46,7 @@ from .shared import partitions, settle
 LEADS = 3
 BLOCK = 2048
 MARGIN = 2
+CELL_BYTES = 4_000_000
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, bits binary, prefix array<long>"
 
 
@@ -72,14 +73,15 @@ def sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def width(n: int) -> int:
-    """Bits of a signature: a power of two of at least the size."""
-    return max(128, 1 << (n - 1).bit_length())
+def width(n: int, percent: int) -> int:
+    """Bits of a signature: a power of two of at least eight times the values in which linked sets can differ."""
+    differ = 2 * n * (100 - percent) // (100 + percent) + 1
+    return max(128, 1 << (8 * differ - 1).bit_length())
 
 
-def bitmap(values: np.ndarray) -> bytes:
+def bitmap(values: np.ndarray, percent: int) -> bytes:
     """The parity of the number of values at each bit."""
-    size = width(values.size)
+    size = width(values.size, percent)
     at = (mix(values ^ np.uint64(0x5BD1E995)) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -95,7 +97,7 @@ def _signatures(words: int, percent: int) -> Callable:
                 d2 = np.array([np.sum(mix(x), dtype=np.uint64) for x in own], np.uint64)
             cuts = np.concatenate([[0], np.cumsum([x.size for x in lead])])
             prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(lead), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([bitmap(x) if x.size else b"" for x in own], pa.binary()), prefix], ["doc_id", "n", "d1", "d2", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([bitmap(x, percent) if x.size else b"" for x in own], pa.binary()), prefix], ["doc_id", "n", "d1", "d2", "bits", "prefix"])
 
     return run
 
@@ -201,35 +203,46 @@ def _unpack_set(cell: bytes) -> np.ndarray:
 
 
 def _exact(percent: int) -> Callable:
-    """Rows a, b and both sorted sets in; links out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = _unpack_set(x.as_py()), _unpack_set(y.as_py())
-                small, large = (x, y) if x.size <= y.size else (y, x)
-                at = np.minimum(np.searchsorted(large, small), large.size - 1)
-                both = int(np.count_nonzero(large[at] == small))
-                keep[i] = 100 * both >= percent * (x.size + y.size - both)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    """A bucket's sets and pairs in; links out."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cells = zip(left.column("cell").to_pylist(), left.column("doc_id").to_pylist(), strict=True)
+        known = {key: _unpack_set(x.as_py()) for key, x in zip(cells, left.column("hashes"), strict=True)}
+        keep = np.zeros(right.num_rows, bool)
+        for i, (cell, a, b) in enumerate(zip(*(right.column(c).to_pylist() for c in ("cell", "a", "b")), strict=True)):
+            x, y = known[cell, a], known[cell, b]
+            small, large = (x, y) if x.size <= y.size else (y, x)
+            at = np.minimum(np.searchsorted(large, small), large.size - 1)
+            both = int(np.count_nonzero(large[at] == small))
+            keep[i] = 100 * both >= percent * (x.size + y.size - both)
+        return right.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that link, by intersection of their whole sets, made anew from the texts of documents in pairs."""
+def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that link, by intersection of their whole sets, made anew from the texts of documents in pairs.
+
+    Documents that pairs join meet in one cell, so that each set travels once; where their sets come to
+    more than ``CELL_BYTES``, they are dealt into blocks, and each pair of blocks with pairs is a cell.
+    """
 
     @F.pandas_udf(T.BinaryType())
     def whole_set(text):
         return text.__class__([_pack_set(x) for x in sets(pa.array(text, pa.string()), words)], dtype=object)
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    arrays = _texts(docs).join(ids, "doc_id", "left_semi").withColumn("hashes", whole_set("text")).drop("text")
-    one = pairs.join(arrays.withColumnRenamed("doc_id", "b"), "b").withColumnRenamed("hashes", "hashes_b")
-    both = one.join(arrays.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "hashes", "hashes_b")
-    return both.mapInArrow(_exact(percent), "a long, b long")
+    roots = components(pairs)
+    of = roots.select(F.col("u").alias("doc_id"), "root").union(roots.select(F.col("root").alias("doc_id"), "root")).distinct()
+    weights = of.join(sizes, "doc_id").groupBy("root").agg(F.ceil(F.sum("n") * 6 / CELL_BYTES).alias("blocks"))
+    placed = settle(of.join(weights, "root").select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), "placed")
+    ends = [placed.select(F.col("doc_id").alias(c), F.col("root").alias("root"), F.col("block").alias(f"block_{c}")) for c in "ab"]
+    sent = pairs.join(ends[0], "a").join(ends[1].drop("root"), "b").withColumn("cell", F.xxhash64("root", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")))
+    sent = settle(sent.select("cell", "a", "b"), "cells")
+    cells = sent.select(F.col("a").alias("doc_id"), "cell").union(sent.select(F.col("b").alias("doc_id"), "cell")).groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
+    arrays = _texts(docs).join(cells, "doc_id").select("doc_id", "cells", whole_set("text").alias("hashes")).select("doc_id", F.explode("cells").alias("cell"), "hashes")
+    bucket = F.pmod("cell", F.lit(8 * partitions(docs.sparkSession))).alias("bucket")
+    left, right = arrays.select(bucket, "*"), sent.select(bucket, "*")
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_exact(percent), "a long, b long")
 
 
 def lead_pairs(reps: DataFrame, percent: int) -> DataFrame:
@@ -282,12 +295,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     leads = settle(lead_pairs(reps, percent), "leads")
     roots = components(leads)
     tested = settle(leads.union(cross_pairs(reps, roots, percent)), "pairs")
-    links = settle(verified(docs, tested, words, percent), "links")
+    links = settle(verified(docs, reps.select("doc_id", "n"), tested, words, percent), "links")
     now = components(links)
     pieces = settle(_pieces(leads, roots, now), "pieces")
     if pieces.limit(1).count():
         again = cross_pairs(reps.join(pieces.select("doc_id"), "doc_id", "left_semi"), pieces.withColumnRenamed("doc_id", "u"), percent)
-        links = links.union(verified(docs, settle(again, "pairs"), words, percent))
+        links = links.union(verified(docs, reps.select("doc_id", "n"), settle(again, "pairs"), words, percent))
     links = links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(links)
     return signs.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -95,6 +95,7 @@ def test_jaccard_components_of_chains_and_large_groups(documents, monkeypatch):
     """Neighbours in a chain link, its ends do not; hot tiles are cut into blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     monkeypatch.setattr(jaccard_join, "LEADS", 1)
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 1000)
     base = [f"w{i}" for i in range(40)]
     rows = [(100 + k, " ".join([*(f"c{i}" for i in range(k)), *base[k:]])) for k in range(0, 30, 2)]
     rows += [(k, " ".join(base[:20] + [f"z{k}{i}" for i in range(20)])) for k in range(20)]
@@ -115,7 +116,7 @@ def test_bitmap_bound_never_drops_a_link():
         b = np.unique(np.concatenate([a[rnd.random(a.size) < 0.9], rnd.integers(0, 2**63, rnd.integers(0, 60)).astype(np.uint64)]))
         if not b.size:
             continue
-        x, y = jaccard_join.bitmap(a), jaccard_join.bitmap(b)
+        x, y = jaccard_join.bitmap(a, 80), jaccard_join.bitmap(b, 80)
         size = min(len(x), len(y))
         differ = np.bitwise_count(jaccard_join.fold(x, size) ^ jaccard_join.fold(y, size)).sum()
         both = np.intersect1d(a, b).size
