@@ -48,3 +48,17 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _stream(spark, sf_dir)
     return _run(spark, rolling.once(stream.union(stream), "event_id").select("event_id", "user_id"), "append")
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n_sessions, sum(n)::BIGINT AS n FROM (SELECT user_id, k, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k) GROUP BY user_id")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session memory as a stream, its sessions counted by user."""
+    found = _run(spark, rolling.sessions(_stream(spark, sf_dir), late="40 days"), "complete")
+    return found.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id")
+def stream_last_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and last access kept as state by user, with a time to live that each event renews."""
+    found = _run(spark, rolling.last_access(_stream(spark, sf_dir)), "append")
+    return found.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_us").alias("last_us"))

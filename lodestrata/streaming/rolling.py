@@ -36,3 +36,31 @@ def once(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
 def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs what is there now to its end, batch by batch, through ``write``."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def last_access(stream: DataFrame, ttl_ms: int = 400 * 86_400_000) -> DataFrame:
+    """(user_id, n, last_us) after each batch; a user's state goes when no event renews it for ``ttl_ms`` of event time."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for frame in frames:
+            n += len(frame)
+            last = max(last, int(frame["at_us"].max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_us": [last]})
+
+    events_ = stream.withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_micros("ts").alias("at_us"))
+    return events_.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, last_us long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def changed_files(spark: SparkSession, folder: str, patterns: str = "*") -> DataFrame:
+    """New or replaced files of a watched folder as (path, content), with a short trigger as the debounce."""
+    return spark.readStream.format("binaryFile").option("pathGlobFilter", patterns).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
