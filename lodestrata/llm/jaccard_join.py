@@ -146,8 +146,11 @@ def _likely(percent: int) -> Callable:
     return run
 
 
-def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one tile whose sizes, sides and components allow a link and whose bound passes; sizes ascend."""
+def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray, narrow: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one tile whose sizes, sides and components allow a link and whose bound passes; sizes ascend.
+
+    One of a pair must be of the lower band (``low``) and one of the width of ``maps`` (``narrow``).
+    """
     m = n.size
     ends = np.searchsorted(n, n * 100 // percent, "right")
     # Small tiles at once, large ones in strips of rows of bounded size.
@@ -159,7 +162,7 @@ def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray,
             continue
         first = np.repeat(i, count)
         second = first + 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        keep = (comp[first] != comp[second]) & (low[first] | low[second])
+        keep = (comp[first] != comp[second]) & (low[first] | low[second]) & (narrow[first] | narrow[second])
         keep &= (side[first] < 0) | (side[first] != side[second]) | (side[first] == 2)
         first, second = first[keep], second[keep]
         if first.size:
@@ -181,11 +184,17 @@ def _tile(percent: int) -> Callable:
             if hi - lo < 2:
                 continue
             cells = [x.as_py() for x in bits.slice(lo, hi - lo)]
-            size = min(map(len, cells))
-            maps = np.stack([fold(x, size) for x in cells])
-            for i, j in _within(n[lo:hi], comp[lo:hi], side[lo:hi], low[lo:hi], maps, percent):
-                a.append(doc[lo + i])
-                b.append(doc[lo + j])
+            widths = np.array([len(x) for x in cells])
+            # Sizes that can link have the same width or neighbouring ones; each is folded to the narrower only.
+            for size in np.unique(widths).tolist():
+                at = np.flatnonzero((widths == size) | (widths == 2 * size))
+                if at.size < 2:
+                    continue
+                maps = np.stack([fold(cells[i], size) for i in at])
+                at += lo
+                for i, j in _within(n[at], comp[at], side[at], low[at], widths[at - lo] == size, maps, percent):
+                    a.append(doc[at[i]])
+                    b.append(doc[at[j]])
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return run
