@@ -45,7 +45,10 @@ def ignored(path: Column, rules: list[str]) -> Column:
 
 
 def walk(spark: SparkSession, root: str, repo_id: str, rules: list[str] | None = None) -> DataFrame:
-    """(repo_id, path, language, content, valid) of the files of known languages; what is no UTF-8 has valid = false."""
+    """(repo_id, path, language, content, valid) of the files of known languages; what is no UTF-8 has valid = false.
+
+    Files of no bytes are left out, as Spark's readers skip them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
     rows = files.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), "content").withColumn("language", language(F.col("path")))
