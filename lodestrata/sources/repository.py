@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +50,26 @@ def ignored(path: Column, rules: list[str]) -> Column:
 def walk(spark: SparkSession, root: str, repo_id: str, rules: list[str] | None = None) -> DataFrame:
     """(repo_id, path, language, content, valid) of the files of known languages; what is no UTF-8 has valid = false.
 
-    Files of no bytes are left out, as Spark's readers skip them.
+    Names are listed by ``pyarrow.fs``, since Spark's own listing hides those that begin with ``_``
+    (``__init__.py``) and its readers skip files of no bytes. Tasks then read the files that stay.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").removeprefix("file://")) + "/", "")
-    rows = files.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), "content").withColumn("language", language(F.col("path")))
-    rows = rows.filter(F.col("language").isNotNull() & ~ignored(F.col("path"), rules or []))
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    return rows.select("repo_id", "path", "language", F.when(good, F.col("content").cast("string")).alias("content"), good.alias("valid"))
+    uri = root if "://" in root else f"file://{root}"
+    fs, base = pafs.FileSystem.from_uri(uri)
+    names = [(f.path[len(base) :].lstrip("/"),) for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if f.is_file]
+    listing = spark.createDataFrame(names, "path string").withColumn("language", language(F.col("path")))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, at = pafs.FileSystem.from_uri(uri)
+        for frame in frames:
+            for path, lang in zip(frame["path"], frame["language"], strict=True):
+                with own.open_input_stream(f"{at}/{path}") as source:
+                    raw = source.read()
+                try:
+                    text, valid = raw.decode(), True
+                except UnicodeDecodeError:
+                    text, valid = None, False
+                yield pd.DataFrame({"path": [path], "language": [lang], "content": [text], "valid": [valid]})
+
+    kept = listing.filter(F.col("language").isNotNull() & ~ignored(F.col("path"), rules or [])).repartition("path")
+    files = kept.mapInPandas(read, "path string, language string, content string, valid boolean")
+    return files.select(F.lit(repo_id).alias("repo_id"), "path", "language", "content", "valid")

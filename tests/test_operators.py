@@ -188,7 +188,7 @@ def test_walk_parse_and_resolve(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(content)
     files = repository.walk(spark, f"file://{tmp_path}", "r", ["skip/", "# note", "!skip/keep.py"])
-    assert {(r.path, r.valid) for r in files.collect()} == {("pkg/__init__.py", True), ("pkg/a.py", True), ("pkg/b.py", True), ("bad.py", True), ("raw.md", False), ("README.md", True)}
+    assert {(r.path, r.valid) for r in files.collect()} == {("pkg/__init__.py", True), ("pkg/empty.py", True), ("pkg/a.py", True), ("pkg/b.py", True), ("bad.py", True), ("raw.md", False), ("README.md", True)}
     units, failed = parsers.units(files)
     assert {r.path for r in failed.collect()} == {"bad.py", "raw.md"}
     edges = {(r.src, r.kind, r.dst) for r in parsers.call_edges(units).collect()}
