@@ -46,12 +46,15 @@ KNOWN = [
 
 # Words with the same meaning in licences, written one way.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("noncommercial", "non commercial"), ("https", "http"), ("v2", "version 2"), ("v3", "version 3"), ("ver", "version"), ("organisation", "organization"), ("favour", "favor"), ("merchantibility", "merchantability"), ("c", "copyright")]
-COPYRIGHT = r"(?m)^[^a-z0-9©\n]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"^[^a-z0-9©\n]*(copyright|\(c\)|©)[^\n]*$"
+
+RIGHTS = "(?i)licen[cs]e|permission|software|rights|terms|CC"
+LONGEST = max(len(t) for _, t in KNOWN)
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words alone, one spelling of each."""
-    words = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), r"[^a-z0-9]+", " "))
+    words = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT, " "), r"[^a-z0-9]+", " "))
     pattern = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
     fixed = words
     for old, new in SPELLINGS:
@@ -70,11 +73,32 @@ def scan(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = F.broadcast(known(docs))  # the fixed table above
     whole = own.select("doc_id", F.md5(canonical(F.col("text"))).alias("digest")).join(table, "digest", "left")
-    longest = max(len(t) for _, t in KNOWN)
     line = F.col("line")
     # A line that is far longer than the longest known text, or says nothing of rights, can't equal one.
-    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter((F.length(line) <= 4 * longest) & line.rlike("(?i)licen[cs]e|permission|software|rights|terms|CC"))
+    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter((F.length(line) <= 4 * LONGEST) & line.rlike(RIGHTS))
     found = lines.select("doc_id", F.md5(canonical(line)).alias("digest")).join(table, "digest").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("licence")).alias("held"))
     return whole.join(found, whole["doc_id"].eqNullSafe(found["doc_id"]), "left").select(
         whole["doc_id"], "digest", "licence", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("held", ","), F.lit("")).alias("notices")
     )
+
+
+def _canonical_sql(text: str) -> str:
+    words = f"trim(regexp_replace(regexp_replace(lower({text}), '(?m){COPYRIGHT}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    fixed = words
+    for old, new in SPELLINGS:
+        fixed = f"regexp_replace({fixed}, '\\b{old}\\b', '{new}', 'g')"
+    return fixed
+
+
+def scan_sql() -> str:
+    """``scan`` of documents as DuckDB SQL."""
+    rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT md5({_canonical_sql("t")}) AS digest, licence FROM (VALUES {rows}) v(licence, t)),
+whole AS (SELECT doc_id, md5({_canonical_sql("text")}) AS digest FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+held AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices
+  FROM (SELECT doc_id, md5({_canonical_sql("line")}) AS digest FROM lines WHERE length(line) <= {4 * LONGEST} AND regexp_matches(line, '{RIGHTS}')) JOIN known USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, w.digest, k.licence, coalesce(h.n, 0)::BIGINT AS n_notices, coalesce(h.notices, '') AS notices
+FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN held h ON h.doc_id = w.doc_id
+"""

@@ -124,4 +124,4 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(l.parts) END::BIGINT A
 FROM documents d JOIN l ON d.doc_id = l.doc_id LEFT JOIN cut ON d.doc_id = cut.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_licences": licences.scan_sql()}
