@@ -18,6 +18,7 @@ an id are judged each by itself; an empty benchmark leaves every document clean;
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,10 +57,16 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         if longest > 2 * length:
             length = longest
             continue
-        for k, p, q in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_d[p : p + k].all() and free_i[q : q + k].all():
-                free_d[p : p + k], free_i[q : q + k] = False, False
-                found.append((p, q, k))
+        queue = [(-k, p, q) for k, p, q in matches]
+        heapq.heapify(queue)
+        while queue:
+            k, p, q = heapq.heappop(queue)
+            taken = np.flatnonzero(~(free_d[p : p - k] & free_i[q : q - k]))
+            if not taken.size:
+                free_d[p : p - k], free_i[q : q - k] = False, False
+                found.append((p, q, -k))
+            elif taken[0] >= length:  # its free head is still a match; free tails are listed by themselves
+                heapq.heappush(queue, (-int(taken[0]), p, q))
         length = length // 2 if length > 2 * least else least if length > least else 0
     return found
 

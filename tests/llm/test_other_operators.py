@@ -101,6 +101,27 @@ def test_tiles_match_brute_force():
         assert len(used) == brute_tiles(doc, item, 3)
 
 
+def test_tiles_of_overlapping_fragments_match_brute_force():
+    """A match whose tail is taken keeps its free head, in reordered fragments that overlap in the item."""
+    rnd = random.Random(3)
+    for _ in range(150):
+        item = list(range(rnd.randint(12, 45)))
+        doc = []
+        for i in range(rnd.randint(2, 5)):
+            at = rnd.randrange(len(item) - 5)
+            doc += [*item[at : at + rnd.randint(5, 14)], 90 + i]
+        got = decontamination.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 5)
+        assert sum(n for _, _, n in got) == brute_tiles(doc, item, 5)
+
+
+def test_decontamination_of_overlapping_fragments(spark, documents):
+    w = [f"w{i}" for i in range(20)]
+    text = " ".join([*w[6:15], "x", *w[:9], "y", *w[15:]])
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = decontamination.coverage(documents([(1, text)]), bench).first()
+    assert (got.contaminated, got.item_id, got.coverage) == (True, 1, 1.0)
+
+
 def test_decontamination(spark, documents, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     w = item.split()
