@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import inside, slices, text_words, windows
+from .shared import settle
 
 SLICE_WORDS = 2_000_000
 RESULT = "doc_id long, n_words long, n_items long, item_id long, coverage double"
@@ -107,26 +109,44 @@ class Seeds:
         return out
 
 
+def _found(seeds: Seeds, texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, list[int | None], np.ndarray]:
+    """(words, items that reach the threshold, the best one, its coverage) of each text."""
+    bounds, words = text_words(texts, lower=True, loose=True)
+    keys = windows(words, seeds.seed)
+    good = inside(bounds, seeds.seed)
+    hit = np.zeros(keys.size, bool)
+    if seeds.keys.size and keys.size:
+        hit = good & (seeds.keys[np.minimum(np.searchsorted(seeds.keys, keys), seeds.keys.size - 1)] == keys)
+    at = np.flatnonzero(hit)
+    lo, hi = np.searchsorted(seeds.keys, keys[at]), np.searchsorted(seeds.keys, keys[at], "right")
+    cuts = np.searchsorted(at, bounds)
+    items, best, share = np.zeros(len(texts), np.int64), [None] * len(texts), np.zeros(len(texts))
+    for d in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[d], cuts[d + 1])
+        found = seeds.coverage(words[bounds[d] : bounds[d + 1]], at[own] - bounds[d], lo[own], hi[own], threshold)
+        if found:
+            items[d] = len(found)
+            share[d], best[d] = min(found, key=lambda x: (-x[0], x[1]))
+    return np.diff(bounds), items, best, share
+
+
 def _scan(seeds: Seeds, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            bounds, words = text_words(batch.column(1), lower=True, loose=True)
-            keys = windows(words, seeds.seed)
-            good = inside(bounds, seeds.seed)
-            hit = np.zeros(keys.size, bool)
-            if seeds.keys.size and keys.size:
-                hit = good & (seeds.keys[np.minimum(np.searchsorted(seeds.keys, keys), seeds.keys.size - 1)] == keys)
-            at = np.flatnonzero(hit)
-            lo, hi = np.searchsorted(seeds.keys, keys[at]), np.searchsorted(seeds.keys, keys[at], "right")
-            cuts = np.searchsorted(at, bounds)
-            items, best, share = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, np.zeros(batch.num_rows)
-            for d in np.flatnonzero(np.diff(cuts)).tolist():
-                own = slice(cuts[d], cuts[d + 1])
-                found = seeds.coverage(words[bounds[d] : bounds[d + 1]], at[own] - bounds[d], lo[own], hi[own], threshold)
-                if found:
-                    items[d] = len(found)
-                    share[d], best[d] = min(found, key=lambda x: (-x[0], x[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(items), pa.array(best, pa.int64()), pa.array(share)], ["doc_id", "n_words", "n_items", "item_id", "coverage"])
+            n_words, items, best, share = _found(seeds, batch.column(1), threshold)
+            columns = [batch.column(0), pa.array(n_words), pa.array(items), pa.array(best, pa.int64()), pa.array(share)]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], ["doc_id", "n_words", "n_items", "item_id", "coverage", *batch.schema.names[2:]])
+
+    return run
+
+
+def _clean(seeds: Seeds, threshold: float) -> Callable:
+    """The rows of a batch, with all their columns, that no item of the slice covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            items = _found(seeds, batch.column(batch.schema.get_field_index("text")), threshold)[1]
+            yield batch.filter(pa.array(items == 0))
 
     return run
 
@@ -148,17 +168,23 @@ def benchmark_slices(benchmark: DataFrame, seed: int) -> Iterator[Seeds]:
 def coverage(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_items, item_id, coverage (0 below the threshold) and contaminated, a row a document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [texts.mapInArrow(_scan(s, threshold), RESULT) for s in benchmark_slices(benchmark, seed)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.union(part)
+    parts = list(benchmark_slices(benchmark, seed))
+    if len(parts) == 1:
+        found = texts.mapInArrow(_scan(parts[0], threshold), RESULT)
+    else:
+        rows = settle(texts.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        found = reduce(DataFrame.union, [rows.mapInArrow(_scan(s, threshold), RESULT + ", _row long") for s in parts])
         best = F.max(F.struct("coverage", -F.col("item_id"))).alias("best")
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sum("n_items").alias("n_items"), best).select("doc_id", "n_words", "n_items", (-F.col("best.col2")).alias("item_id"), F.col("best.coverage").alias("coverage"))
+        found = found.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_items").alias("n_items"), best).select("doc_id", "n_words", "n_items", (-F.col("best.col2")).alias("item_id"), F.col("best.coverage").alias("coverage"))
     return found.withColumn("contaminated", F.col("n_items") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that no item covers, with all their columns."""
-    dirty = coverage(docs, benchmark, seed, threshold).filter("contaminated").select("doc_id")
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that no item covers, with all their columns; each row by itself, whatever its id."""
+    parts = list(benchmark_slices(benchmark, seed))
+    if len(parts) == 1:
+        return docs.mapInArrow(_clean(parts[0], threshold), docs.schema)
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_row")
+    dirty = reduce(DataFrame.union, [texts.mapInArrow(_scan(s, threshold), RESULT + ", _row long").filter("n_items > 0").select("_row") for s in parts])
+    return rows.join(dirty, "_row", "left_anti").select(*docs.columns)

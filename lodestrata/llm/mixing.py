@@ -70,10 +70,27 @@ def _threshold(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "whole", (F.col("prefix") + F.when(takes_edge, 1).otherwise(0)).alias("below"))
 
 
-def mix(docs: DataFrame, most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+def _goals(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash) of every document, and the thresholds of the sources with the source as ``s``."""
     rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), id_hash(F.col("doc_id").cast("long")).alias("hash")), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = _threshold(rows, targets(sizes, most)).withColumnRenamed("source", "s")
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
+    return rows, _threshold(rows, targets(sizes, most)).withColumnRenamed("source", "s")
+
+
+def _copies(doc_hash: Column, whole: Column, below: Column) -> Column:
+    return whole + F.when(doc_hash < below, 1).otherwise(0)
+
+
+def mix(docs: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    rows, goal = _goals(docs, most)
+    copies = _copies(F.col("hash"), F.col("whole"), F.col("below"))
     return rows.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+
+
+def repeat(docs: DataFrame, most: int = 3) -> DataFrame:
+    """Each row of ``docs`` with all its columns, as many times as ``mix`` takes it; ids may be null or repeated."""
+    goal = _goals(docs, most)[1].select(F.struct("s", "whole", "below").alias("_goal"))
+    met = docs.join(goal, docs["source"].cast("string").eqNullSafe(F.col("_goal.s")))
+    copies = _copies(id_hash(docs["doc_id"].cast("long")), F.col("_goal.whole"), F.col("_goal.below"))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).drop("_copy")

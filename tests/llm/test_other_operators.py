@@ -249,3 +249,29 @@ def test_pipeline_stages(spark, tmp_path, labelled):
     assert set(kept["n-gram jaccard join"]) - set(kept["benchmark decontamination"]) == {702}
     assert set(kept["mixing"]) <= set(kept["benchmark decontamination"]) and max(kept["mixing"].count(i) for i in set(kept["mixing"])) <= 3
     assert sorted(kept["token files"]) == sorted(kept["mixing"])
+
+
+def test_pipeline_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    """Such rows neither vanish nor multiply, and a contaminated one does not take others of its id along."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(9)
+    item = " ".join(f"bench{i}" for i in range(20))
+    a, b, c, d, e = (sentences(rnd) for _ in range(5))
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, d), (None, item), (2, a), (3, e), (3, item), (4, None), (4, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    spark.createDataFrame([(1, item), (2, item + " more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+    once = pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    want = [(1, a), (1, b), (None, c), (None, d), (3, e), (3, item), (4, None), (4, "")]
+    assert once.columns == docs.columns and key(once) == sorted(want, key=repr)
+    for words in (decontamination.SLICE_WORDS, 5):
+        monkeypatch.setattr(decontamination, "SLICE_WORDS", words)
+        assert key(pipeline.drop_contaminated(spark, docs, str(tmp_path))) == sorted((r for r in rows if r[1] != item), key=repr)
+        judged = decontamination.coverage(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.contaminated) for r in judged) == sorted((i is None, i or 0, t == item) for i, t in rows)
+    mixed = pipeline.mix_sources(spark, docs, str(tmp_path))
+    copies = {(r.doc_id, r.copies) for r in mixing.mix(docs).collect()}
+    assert mixed.columns == docs.columns and len(dict(copies)) == len(copies)
+    assert key(mixed) == sorted((r for r in rows for _ in range(dict(copies)[r[0]])), key=repr)
+    assert any(r.doc_id is None for r in mixed.collect())
