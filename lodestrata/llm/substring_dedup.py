@@ -13,7 +13,8 @@ neither a hot passage nor a group of copies gathers in one task.
 
 Defined results: a null or empty text has no words; a text shorter than ``window`` keeps all its
 words; copies of a text lose every word they have in repeated windows, the first copy included;
-other columns of the input take no part, whatever their names; rows must have distinct ids.
+other columns of the input take no part, whatever their names; rows of null or repeated ids are
+judged each by itself, under a key that is made and settled where there are any.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .hashing import inside, mix, slices, text_words, windows
 from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
-from .shared import partitions
+from .shared import partitions, settle
 
 POSTINGS = "bucket int, known boolean, cell binary"
 PLACES = "doc_id long, places binary"
@@ -183,7 +184,7 @@ def _results(window: int, texts: bool) -> Callable:
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, places): packed starts of every window of ``docs`` whose words also start elsewhere."""
+    """(doc_id, places): packed starts of every window of ``docs``, whose ids are distinct, that also starts elsewhere."""
     block = (window + 1) // 2
     buckets = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -193,9 +194,21 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     return _found(around.mapInArrow(_extensions(window, block, buckets), POSTINGS), buckets)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with distinct ids and, where the ids of ``docs`` are not such, (row, own): the id of each key."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return own, None
+    rows = settle(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", F.col("doc_id").alias("own"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> DataFrame:
     """A row a document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, the kept text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(repeated_windows(docs, window), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
+    own, ids = _keyed(docs)
+    out = own.join(repeated_windows(own, window), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
         _results(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     )
+    if ids is None:
+        return out
+    return out.withColumnRenamed("doc_id", "row").join(ids, "row").select(F.col("own").alias("doc_id"), *out.columns[1:])

@@ -61,6 +61,17 @@ def test_substring_dedup(documents, corpus, k):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_removal(corpus, k)
 
 
+def test_substring_dedup_of_null_and_repeated_ids(documents):
+    """Each row loses its own repeated words, whatever its id, also where a null id is the first to repeat in a batch."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " x " + passage, "short", passage + " tail", "a b c " * 30, "only " + passage, None, "z " * 50, "y"]
+    ids = [None, 2**60 + 1, 7, 7, 7, None, 2**60 + 1, None]
+    got = substring_dedup.remove_repeats(documents(list(zip(ids, texts, strict=True)))).collect()
+    want = brute_removal(list(enumerate(texts)), 35)
+    order = lambda r: (r[0] is not None, *r[1:], r[0] or 0)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=order) == sorted(((i, *want[k]) for k, i in enumerate(ids)), key=order)
+
+
 def test_substring_dedup_empty(documents):
     assert substring_dedup.remove_repeats(documents([])).count() == 0
     assert substring_dedup.remove_repeats(documents([(1, None)])).first().n_words == 0
