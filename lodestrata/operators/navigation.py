@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +62,31 @@ def match_urls(pushed: DataFrame, registry: DataFrame) -> DataFrame:
     forward = a.select("url", F.explode(tails(F.col("whole"))).alias("known")).join(b, "known").select("url", "repo_id")
     back = b.select("repo_id", F.explode(tails(F.col("known"))).alias("whole")).join(a, "whole").select("url", "repo_id")
     return forward.union(back).groupBy("url").agg(F.min("repo_id").alias("repo_id"))
+
+
+def sorted_digests(df: DataFrame, key: str, record: str) -> DataFrame:
+    """(key, snapshot, n): SHA-256 over each key's records, in order and a line each, and its number of rows.
+
+    Rows come sorted, by Spark's sort that spills, and run through the hash, so no key's records are held at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([state.hexdigest()]), pa.array([n], pa.int64())], [key, "snapshot", "n"])
+
+        now, state, n, held = None, None, 0, 0
+        for batch in batches:
+            for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or k != now:
+                    if state is not None:
+                        yield result()
+                    now, state, n, held = k, hashlib.sha256(), 0, 0
+                n += 1
+                if line is not None:
+                    state.update((b"\n" if held else b"") + line.encode())
+                    held += 1
+        if state is not None:
+            yield result()
+
+    own = df.select(F.col(key).cast("string").alias(key), record)
+    return own.repartition(key).sortWithinPartitions(key, record).mapInArrow(run, f"{key} string, snapshot string, n long")

@@ -67,7 +67,7 @@ def webhook_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository's content hash over its sorted records; two states are equal if their hashes are."""
     rec = text.record(k=F.col("kind"), p=F.col("file_path"), s=F.col("source_sha"))
-    return units(spark, sf_dir).groupBy("repo_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(rec)), "\n"), 256).alias("snapshot"), F.count("*").alias("n"))
+    return navigation.sorted_digests(units(spark, sf_dir).select("repo_id", rec.alias("record")), "repo_id", "record")
 
 
 @query(

@@ -7,7 +7,7 @@ from collections import OrderedDict
 import pytest
 from lodestrata.functions import paths, scoring, text
 from lodestrata.functions.embedding import vector
-from lodestrata.operators import graph, search, sequential
+from lodestrata.operators import graph, navigation, search, sequential
 from lodestrata.sources import audit, parsers, repository, store
 from lodestrata.streaming import rolling
 from pyspark.sql import functions as F
@@ -208,3 +208,17 @@ def test_streams_drop_late_rows(spark, tmp_path):
         out = []
         rolling.drain(rolling.once(rolling.events(spark, f"{tmp_path}/in", schema), "event_id", "1 hour"), lambda df, _, out=out: out.extend(df.collect()), f"{tmp_path}/state")
         assert sorted(r.event_id for r in out) == ([1, 2] if k == 0 else [4])
+
+
+def test_snapshot_digests_hold_no_group(spark):
+    """The digest of a key's sorted records, without an aggregate that collects them."""
+    from lodestrata.plans import navigation as plans
+
+    rows = [("a", "2"), ("a", "10"), (None, "x"), ("a", "é"), ("b", None), ("b", ""), ("b", "z"), (None, "X")]
+    got = {r.k: (r.snapshot, r.n) for r in navigation.sorted_digests(spark.createDataFrame(rows * 50, "k string, r string"), "k", "r").collect()}
+    for k in ("a", "b", None):
+        own = sorted(r.encode() for i, r in rows * 50 if i == k and r is not None)
+        assert got.pop(k) == (hashlib.sha256(b"\n".join(own)).hexdigest(), 50 * sum(i == k for i, _ in rows))
+    assert not got
+    found = plans.snapshot_hashes(spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
