@@ -5,6 +5,10 @@ letters and digits folded to single spaces) and its MD5 is looked up among the d
 and notices. Whole texts are units, and so are each document's lines, since documents carry
 notices as lines of their own; a unit counts only if all of it equals the known text.
 
+Whole texts are also held against the full licences in ``licence_texts``, with and without their title
+lines, and units of several lines (a notice or a short licence that is wrapped or in paragraphs) are looked
+up too: from a line that begins as a known text does to the end of one of the next ``PARAGRAPHS`` paragraphs.
+
 The known table is fixed and small (its size is that of this file), so it is broadcast.
 
 Defined results: null texts have no digest and no units; blank units are no licence; a document with
@@ -14,6 +18,9 @@ columns take no part; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +58,73 @@ COPYRIGHT = r"^[^a-z0-9©\n]*(copyright|\(c\)|©)[^\n]*$"
 RIGHTS = "(?i)licen[cs]e|permission|software|rights|terms|CC"
 LONGEST = max(len(t) for _, t in KNOWN)
 
+# Usual title lines of short licences.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "BSD-3-Clause"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "BSD-2-Clause"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+PARAGRAPHS = 8
+
+
+def _short() -> list[tuple[str, str]]:
+    """(identifier, text without a title) of short licences and of notices longer than a line."""
+    read = lambda name: (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+    bsd = read("BSD-3-Clause")
+    bsd = bsd[bsd.index("Redistribution") :]
+    clauses = [bsd]
+    third = re.search(r"\n[ *\d.-]*Neither the name.*?\n\s*\n", bsd, re.S)
+    two = bsd[: third.start()].rstrip() + "\n\n" + bsd[third.end() :]
+    clauses += [re.sub(r"(?m)^(\s*)\*", lambda m, n=iter("123"): f"{m[1]}{next(n)}.", bsd), re.sub(r"(?m)^(\s*)\d\.", r"\1*", bsd)]
+    pairs = [two, re.sub(r"(?m)^(\s*)\*", lambda m, n=iter("123"): f"{m[1]}{next(n)}.", two), re.sub(r"(?m)^(\s*)\d\.", r"\1*", two)]
+    long = [(k, t) for k, t in KNOWN if len(t) > 150]
+    return long + [("BSD-3-Clause", t) for t in clauses] + [("BSD-2-Clause", t) for t in pairs] + [("Unlicense", read("Unlicense"))]
+
+
+def _full() -> list[tuple[str, str]]:
+    """(identifier, whole text) with and without title lines."""
+    out = []
+    for name, text in _short():
+        for reserved in ("", "All rights reserved.\n\n"):
+            out += [(name, f"{title}\n\n{reserved}{text}") for title in ["", *TITLES.get(name, [])]]
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        if path.stem not in TITLES:
+            text = path.read_text().strip()
+            out += [(path.stem, text), (path.stem, re.split(r"\n\s*\n", text, maxsplit=1)[1])]
+            if "END OF TERMS AND CONDITIONS" in text:  # what follows tells how to apply the licence
+                out += [(k, t[: t.index("END OF TERMS AND CONDITIONS")] + end) for k, t in out[-2:] for end in ("", "END OF TERMS AND CONDITIONS")]
+    return out
+
+
+def _heads() -> str:
+    """How the texts of ``_short`` begin: an expression over a line and what follows it."""
+    found = sorted({" ".join(re.findall(r"[a-z0-9]+", t.lower())[:5]) for _, t in _short() if len(t) > 150})
+    gap = "[^a-zA-Z0-9]{1,80}"
+    return "(?:" + "|".join(h.replace("licens", "licen[cs]").replace(" ", gap) for h in found) + ")"
+
+
+def _digests(docs: DataFrame, texts: list[tuple[str, str]]) -> DataFrame:
+    """(digest, licence), a row a digest."""
+    rows = docs.sparkSession.createDataFrame(texts, "licence string, text string")
+    return rows.groupBy(F.md5(canonical(F.col("text"))).alias("digest")).agg(F.min("licence").alias("licence"))
+
+
+def _blocks(text: Column) -> Column:
+    """Digests of the units of several lines that begin as a known text does."""
+    heads = _heads()
+    start = rf"(?i)\n(?=[^a-zA-Z0-9\n]*{heads})"
+    of = lambda parts, n: F.btrim(F.array_join(F.slice(parts, 1, n), "\n\n"), F.lit(" \t\r\n"))
+    fits = lambda t: F.contains(t, F.lit("\n")) & (F.length(t) <= 4 * LONGEST)
+    paragraphs = lambda piece: F.filter(F.split(piece, r"\n[^a-zA-Z0-9\n]*(?=\n)"), lambda p: p.rlike("[a-zA-Z0-9]"))
+    runs = lambda parts: F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(PARAGRAPHS))), lambda n: of(parts, n))
+    own = lambda piece: F.array_distinct(F.transform(F.filter(runs(paragraphs(piece)), fits), lambda t: F.md5(canonical(t))))
+    begun = F.filter(F.split(text, start), lambda p: p.rlike(rf"(?i)\A[^a-zA-Z0-9]*{heads}"))
+    return F.flatten(F.transform(begun, own))
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words alone, one spelling of each."""
@@ -72,11 +146,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the canonical whole text, licence of the whole text, and the licences of its lines."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = F.broadcast(known(docs))  # the fixed table above
-    whole = own.select("doc_id", F.md5(canonical(F.col("text"))).alias("digest")).join(table, "digest", "left")
+    full = F.broadcast(_digests(docs, KNOWN + _full()))
+    whole = own.select("doc_id", F.md5(canonical(F.col("text"))).alias("digest")).join(full, "digest", "left")
     line = F.col("line")
     # A line that is far longer than the longest known text, or says nothing of rights, can't equal one.
     lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter((F.length(line) <= 4 * LONGEST) & line.rlike(RIGHTS))
-    found = lines.select("doc_id", F.md5(canonical(line)).alias("digest")).join(table, "digest").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("licence")).alias("held"))
+    single = lines.select("doc_id", F.md5(canonical(line)).alias("digest")).join(table, "digest")
+    begun = own.filter(F.col("text").rlike("(?i)" + _heads()))
+    several = begun.select("doc_id", F.explode(_blocks(F.col("text"))).alias("digest")).join(F.broadcast(_digests(docs, _short())), "digest")
+    found = single.select("doc_id", "licence").union(several.select("doc_id", "licence")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("licence")).alias("held"))
     return whole.join(found, whole["doc_id"].eqNullSafe(found["doc_id"]), "left").select(
         whole["doc_id"], "digest", "licence", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("held", ","), F.lit("")).alias("notices")
     )
@@ -91,7 +169,7 @@ def _canonical_sql(text: str) -> str:
 
 
 def scan_sql() -> str:
-    """``scan`` of documents as DuckDB SQL."""
+    """``scan`` of documents as DuckDB SQL, by the texts of ``KNOWN`` alone: it has no full licences and no units of several lines."""
     rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
     return f"""
 WITH known AS (SELECT DISTINCT md5({_canonical_sql("t")}) AS digest, licence FROM (VALUES {rows}) v(licence, t)),

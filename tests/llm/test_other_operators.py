@@ -1,6 +1,7 @@
 """Toxicity, decontamination, mixing, pseudonyms, search, licences and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -224,6 +225,25 @@ def test_licences(documents):
     assert licences.scan(documents([])).count() == 0
 
 
+def test_licences_of_full_texts_and_wrapped_notices(documents):
+    """Whole licence files, with title lines or not, and notices of several lines in longer documents."""
+    import textwrap
+    from pathlib import Path
+
+    files = {p.stem: p.read_text() for p in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    short = dict(reversed([(k, t) for k, t in licences.KNOWN if len(t) > 150]))
+    wrap = lambda t: textwrap.fill(t, 70)
+    body = re.sub(r"substantial portions of the Software. ", lambda m: m[0] + "\n\n", short["MIT"])
+    mit = "\n\n".join(wrap(p) for p in body.split("\n\n"))
+    header = "\n".join("# " + x for x in textwrap.wrap(short["Apache-2.0"], 60))
+    rows = [*enumerate(files.values()), (100, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), (101, "ISC License\n\nCopyright 2020 A\n\n" + wrap(short["ISC"]))]
+    rows += [(102, "before\n# Copyright 2020 A\n#\n" + header + "\n\nimport os\n"), (103, "Intro.\n\n" + mit + "\n\nAnd more."), (104, "Intro.\n\n" + mit[:-40] + "\n\nAnd more.")]
+    got = {r.doc_id: (r.licence, r.n_notices, r.notices) for r in licences.scan(documents(rows)).collect()}
+    assert [got[i][0] for i in range(len(files))] == list(files)
+    assert got[100][0] == "MIT" and got[101][0] == "ISC"
+    assert got[102] == (None, 1, "Apache-2.0") and got[103] == (None, 1, "MIT") and got[104] == (None, 0, "")
+
+
 def test_pipeline_stages(spark, tmp_path, labelled):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows, labels = labelled
