@@ -102,9 +102,9 @@ def _full() -> list[tuple[str, str]]:
 
 def _heads() -> str:
     """How the texts of ``_short`` begin: an expression over a line and what follows it."""
-    found = sorted({" ".join(re.findall(r"[a-z0-9]+", t.lower())[:5]) for _, t in _short() if len(t) > 150})
+    found = sorted({" ".join(re.findall(r"[a-z0-9]+", t.lower())[:12]) for _, t in _short() if len(t) > 150})
     gap = "[^a-zA-Z0-9]{1,80}"
-    return "(?:" + "|".join(h.replace("licens", "licen[cs]").replace(" ", gap) for h in found) + ")"
+    return "(?:" + "|".join(h.replace("licens", "licen[cs]").replace("version 2", "v(?:er(?:sion)?)?[^a-zA-Z0-9]{0,80}2").replace(" ", gap) for h in found) + ")"
 
 
 def _digests(docs: DataFrame, texts: list[tuple[str, str]]) -> DataFrame:
