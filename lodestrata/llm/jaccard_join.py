@@ -1,53 +1,58 @@
 """Exact Jaccard self-join over word n-grams: size-banded tiles with hashed bitmap signatures.
 
 A document is the sorted set of 64-bit hashes of its distinct n-grams. Equal sets are one class, known
-by a 128-bit digest; only its representative goes on. Two sets of Jaccard J >= t share one of the first
-``n - ceil(t * n) + 1`` values of each in hash order, so documents meet in tiles, one for each such value,
-in which sizes ascend and only those within a factor t are paired. A bitmap holds, for each bit, the
-parity of the values that hash to it: bits that differ between two bitmaps count values that only
-one set has, so bit counts bound the overlap from above. Pairs that the bound leaves are held against
-each other by exact sorted-array intersection of their sets.
+by a 128-bit digest; only its representative, the row of least key, goes on.
+
+Tiles. Sets whose sizes lie in one band differ in at most ``d`` values if they link. Within a band the values
+are dealt by hash into ``m`` segments, about a third more than ``d + 1``; each value that differs touches one
+segment, so linked sets have at least ``m - d`` equal segments. A segment's digest with its number and band is a
+key. With keys ordered by how many documents hold them, linked sets share one of the first ``d + 1`` of each, the
+rarest. Most documents have that many keys that nobody else holds and are done; the rest meet in tiles, one for
+each key that several still hold. A set that leaves so many segments empty that they would count among its first
+keys goes by the first ``n - ceil(t * n) + 1`` values in hash order too, in that band.
+
+Bounds. A bitmap holds, for each bit, the parity of the values that hash to it: bits that differ between two
+bitmaps count values that only one set has, so bit counts bound the overlap from above. Pairs that
+the bound leaves are held against each other by exact sorted-array intersection of their sets.
 
 What is asked for are the classes that links join, so a pair already joined needs no look:
 
-1. Each document is held, by bitmaps, against the smallest of its tile and size band, for the first
-   ``LEADS`` values only, where nearly all links lie (two sets' least common value is among the first of both).
-2. Every tile whose members are in several of the components that these leads form is gone through
-   whole, and pairs across components whose bound passes are kept.
-3. Leads and kept pairs are verified exactly, in one pass over the texts of the documents they name.
-4. Where a lead that failed has left a component in pieces, step 2 is done again among the pieces.
+1. Each member of a tile is held against the tile's middle, the member with most shared keys.
+2. Tiles whose members are still in several components are gone through by bitmaps, and the nearest pair of
+   every two components is verified.
+3. The same again for what is still apart, now with every pair whose bound passes and that was not verified yet.
 
-A link between two documents is thus found in step 2 or 4, or its ends are joined by verified links.
+A link between two documents is thus verified in step 3, or its ends are joined by verified links before.
 
-Tiles of more than ``BLOCK`` documents are cut by size band (sizes that can link lie in one band or in
-neighbours) and into blocks, and each pair of blocks is a task's share, so no group gathers whole. Pairs within
-a group are never listed: a pair becomes a row only if its bound passes and its components differ.
+In steps 2 and 3 members of the component with most rows in a tile never meet each other, and larger tiles are cut
+into blocks of ``BLOCK`` rows, each two of them a task's share, so no group gathers whole. Keys travel packed, one
+posting a batch for a key that a batch holds often. The number of buckets follows the words.
 
 Defined results: null, empty and blank texts have no set (size 0) and link with nothing; with fewer words
-than ``n`` the whole sequence is the one n-gram; copies link; ids must be distinct and not null; extra
-columns take no part; an empty table gives no rows.
+than ``n`` the whole sequence is the one n-gram; copies link; rows of null or repeated ids are linked each by itself,
+and a component's id is the least id in it, null if it has none; extra columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import components
-from .hashing import inside, mix, slices, text_words, windows
-from .shared import partitions, settle
+from .hashing import mix, slices, text_words, windows
+from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
+from .shared import keyed, partitions, settle
 
-LEADS = 3
 BLOCK = 2048
-MARGIN = 2
-CELL_BYTES = 4_000_000
-SIGNATURE = "doc_id long, n long, d1 long, d2 long, bits binary, prefix array<long>"
+BUCKET_WORDS = 4_000_000
+SIGNATURE = "doc_id long, n long, d1 long, d2 long"
+SETS = "doc_id long, n long, bits binary, hashes binary"
+#: In the place of a posting, the band has eight bits; the upper half of them are for values in hash order.
+BY_VALUE = 128
 
 
 def _least_overlap(n: np.ndarray | int, percent: int):
@@ -59,60 +64,185 @@ def sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     bounds, hashes = text_words(texts, lower=True)
     grams = windows(hashes, words)
-    good = inside(bounds, words)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(grams[a : b - words + 1]))
+            x = np.sort(grams[a : b - words + 1])
+            keep = np.ones(x.size, bool)
+            np.not_equal(x[1:], x[:-1], out=keep[1:])
+            out.append(x[keep])
         elif b > a:  # the whole sequence; its length keeps it apart from longer grams
             x = hashes[a:b]
             out.append(mix(np.array([np.sum(mix(x * np.uint64(2) + np.arange(b - a, dtype=np.uint64)), dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
-    assert good.size == grams.size
     return out
 
 
-def width(n: int, percent: int) -> int:
-    """Bits of a signature: a power of two of at least eight times the values in which linked sets can differ."""
-    differ = 2 * n * (100 - percent) // (100 + percent) + 1
-    return max(128, 1 << (8 * differ - 1).bit_length())
+def _digests(own: list[np.ndarray], mixed: int) -> np.ndarray:
+    """A 64-bit sum over each set; ``mixed`` times mixed values."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *own])
+    for _ in range(mixed):
+        flat = mix(flat)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(flat, dtype=np.uint64)])
+    ends = np.cumsum([x.size for x in own], dtype=np.int64)
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])] if own else np.zeros(0, np.uint64)
 
 
-def bitmap(values: np.ndarray, percent: int) -> bytes:
-    """The parity of the number of values at each bit."""
-    size = width(values.size, percent)
-    at = (mix(values ^ np.uint64(0x5BD1E995)) & np.uint64(size - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+# Bands and segments
+
+
+def _ladder() -> np.ndarray:
+    """The d of each band: in how many values its linked sets differ at most."""
+    steps = [0]
+    while steps[-1] < 2**40:
+        steps.append(max(steps[-1] + 1, steps[-1] * 3 // 2))
+    return np.array(steps, np.int64)
+
+
+LADDER = _ladder()
+SEGMENTS = (4 * (LADDER + 1) + 2) // 3
+
+
+def most_differ(n: np.ndarray | int, percent: int):
+    """In how many values a set of size n and one as large or larger differ at most if they link."""
+    return (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+
+
+def bands(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last band of a set: those of all sizes from percent * n to n, the smaller one's of a pair."""
+    return tuple(np.searchsorted(LADDER, most_differ(k, percent)) for k in (_least_overlap(n, percent), n))
 
 
-def _signatures(words: int, percent: int) -> Callable:
+def segment_keys(own: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, index of its set, place) of all segments; place is the band and, above it, how many keys may be held by no other set."""
+    n = np.array([x.size for x in own], np.int64)
+    lo, hi = bands(n, percent)
+    for step in range(int((hi - lo).max(initial=0)) + 1):
+        level = lo + step
+        at = np.flatnonzero((level <= hi) & (level > 0) & (n > 0))  # in band 0 only equal sets link
+        if not at.size:
+            continue
+        level, segments = level[at], SEGMENTS[level[at]]
+        flat = np.concatenate([own[i] for i in at.tolist()])
+        owner = np.repeat(np.arange(at.size), n[at])
+        wide = segments[owner].astype(np.uint64)
+        # The high 32 bits times the number of segments; sets are sorted, so segments ascend.
+        segment = ((flat >> np.uint64(32)) * wide) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])]))
+        of = owner[first]
+        key = mix(np.add.reduceat(mix(flat ^ np.uint64(0x2545F4914F6CDD1D)), first) + mix(segment[first] * np.uint64(BY_VALUE) + level[of].astype(np.uint64)))
+        spare = np.bincount(of, minlength=at.size) - (LADDER[level] + 1)
+        yield key, at[of], level[of] + (np.maximum(spare, 0)[of] << 8)
+        for i in np.flatnonzero(spare < 0).tolist():
+            x = own[at[i]]
+            x = x[: x.size - int(_least_overlap(x.size, percent)) + 1]
+            yield mix(x + np.uint64(level[i])), np.full(x.size, at[i]), np.full(x.size, level[i] + BY_VALUE)
+
+
+# Signatures and postings
+
+
+def _signatures(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = sets(batch.column(1), words)
-            n = np.array([x.size for x in own], np.int64)
-            lead = [x[: x.size - int(_least_overlap(x.size, percent)) + 1].view(np.int64) for x in own]
-            with np.errstate(over="ignore"):
-                d1 = np.array([np.sum(x, dtype=np.uint64) for x in own], np.uint64)
-                d2 = np.array([np.sum(mix(x), dtype=np.uint64) for x in own], np.uint64)
-            cuts = np.concatenate([[0], np.cumsum([x.size for x in lead])])
-            prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(lead), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([bitmap(x, percent) if x.size else b"" for x in own], pa.binary()), prefix], ["doc_id", "n", "d1", "d2", "bits", "prefix"])
+            n = pa.array([x.size for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, *(pa.array(_digests(own, k).view(np.int64)) for k in (0, 1))], ["doc_id", "n", "d1", "d2"])
+
+    return run
+
+
+def _postings(words: int, percent: int, buckets: int) -> Callable:
+    """A cell for each bucket of keys, and one with what a batch knows to repeat. Equal sets of a batch are sent once, by the least id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own, ids = sets(batch.column(1), words), np.asarray(batch.column(0))
+            order = np.lexsort((ids, _digests(own, 1)))
+            _, first = np.unique(_digests(own, 1)[order], return_index=True)
+            pick = np.sort(order[first])
+            ids, found = ids[pick], list(segment_keys([own[i] for i in pick.tolist()], percent))
+            if not found:
+                continue
+            keys, doc, place = (np.concatenate([x[k] for x in found]) for k in range(3))
+            order = np.argsort(doc, kind="stable")
+            keys, doc, place = keys[order], doc[order], place[order]
+            # In a bucket, 32 more bits of a key are told apart; longer keys would only spare some rows that turn out to be alone.
+            bucket, short = (keys >> np.uint64(32)) % np.uint64(buckets), keys & np.uint64(0xFFFFFFFF)
+            keys = bucket << np.uint64(32) | short
+            at, _, again = distinct(keys, np.ones(keys.size, bool))
+            rows = []
+            if again.size:
+                rows.append((int(ids[doc[again[0]]] % buckets), True, pack(*pack_places(ids, doc[again], place[again]), keys[again])))
+            at = np.sort(at)
+            at = at[np.argsort(bucket[at], kind="stable")]
+            cuts = np.searchsorted(bucket[at], np.arange(buckets + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                x = at[cuts[k] : cuts[k + 1]]
+                rows.append((k, False, pack(*pack_places(ids, doc[x], place[x]), short[x].astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "known", "cell"])
 
     return run
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    return _texts(docs).mapInArrow(_signatures(words, percent), SIGNATURE)
+def _held_twice(group: pa.Table) -> pa.Table:
+    """Postings of a bucket in; those of keys that repeat out."""
+    out, keys, docs, places = [], [], [], []
+    bucket = int(group.column("bucket")[0].as_py()) << 32
+    for known, cell in zip(group.column("known").to_pylist(), group.column("cell"), strict=True):
+        columns = unpack(cell.as_py())
+        doc, place = unpack_places(*columns[:3])
+        if known:
+            out.append((doc, place, columns[3].view(np.int64)))
+        else:
+            docs.append(doc)
+            places.append(place)
+            keys.append(columns[3])
+    if keys:
+        doc, place, key = (np.concatenate(x) for x in (docs, places, keys))
+        hit = meeting(key, np.ones(key.size, bool))
+        out.append((doc[hit], place[hit], key[hit].astype(np.int64) + bucket))
+    doc, place, key = (np.concatenate([x[k] for x in out]) for k in range(3))
+    pa.default_memory_pool().release_unused()
+    return pa.table({"doc_id": pa.array(doc), "place": pa.array(place.astype(np.int64)), "key": pa.array(key)})
+
+
+def tiles(docs: DataFrame, copies: DataFrame, n_words: int, words: int, percent: int) -> DataFrame:
+    """(tile, doc_id, shared): the members of every tile of two or more; shared counts a member's keys that others hold."""
+    buckets = max(partitions(docs.sparkSession), -(-n_words // BUCKET_WORDS))
+    cells = docs.mapInArrow(_postings(words, percent, buckets), "bucket int, known boolean, cell binary")
+    found = cells.groupBy("bucket").applyInArrow(_held_twice, "doc_id long, place long, key long")
+    spare = F.shiftright("place", 8)
+    # Sets with enough keys that are theirs alone are done: first by what buckets say, then without copies.
+    # A posting may come twice, from its batch and its bucket.
+    found = settle(found, "postings").join(copies.select("doc_id"), "doc_id", "left_anti")
+    entry = ["doc_id", "place"]
+    counted = found.groupBy(*entry).agg(F.collect_set("key").alias("keys")).filter(F.size("keys") > spare)
+    rows = settle(counted.select(*entry, F.explode("keys").alias("key")), "keys")
+    held = rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    ranked = rows.join(held, "key").groupBy(*entry).agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("keys"))
+    shared = F.size("keys")
+    first = ranked.filter(shared > spare).select("doc_id", shared.alias("shared"), F.explode(F.slice("keys", F.lit(1), (shared - spare).cast("int"))).alias("at"))
+    members = settle(first.select(F.col("at.key").alias("tile"), "doc_id", "shared"), "members")
+    several = members.groupBy("tile").agg(F.count("*").alias("members")).filter("members > 1").select("tile")
+    return members.join(several, "tile")
+
+
+# Bitmaps
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def width(n: int, percent: int) -> int:
+    """Bits of a signature: a power of two of at least eight times the values in which linked sets can differ."""
+    differ = 2 * n * (100 - percent) // (100 + percent) + 1
+    return max(128, 1 << (8 * differ - 1).bit_length())
 
 
-def band(n: Column, percent: int) -> Column:
-    """Sizes that can be similar lie in the same band or in neighbouring ones."""
-    return F.floor(F.log(n) / F.lit(math.log(100 / percent) * 1.0001)).cast("int")
+def bitmap(values: np.ndarray, percent: int) -> bytes:
+    """The parity of the number of values at each bit."""
+    size = width(values.size, percent)
+    at = (mix(values ^ np.uint64(0x5BD1E995)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def fold(cell: bytes, size: int) -> np.ndarray:
@@ -127,29 +257,77 @@ def may_link(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray, percent: int) -
     return 100 * most >= percent * (n1 + n2 - most)
 
 
-def _likely(percent: int) -> Callable:
-    """Rows a, b, n_a, n_b, bits_a, bits_b in; those that by the expected count of equal bits link well."""
+def _full_sets(words: int, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 21):
+            own = sets(batch.column(1), words)
+            cells = [pa.array([x.size for x in own], pa.int64()), pa.array([bitmap(x, percent) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "n", "bits", "hashes"])
+
+    return run
+
+
+# Pairs
+
+
+def _bounded(percent: int) -> Callable:
+    """Rows a, b, n_a, n_b, bits_a, bits_b in; the pairs whose bound passes out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n1, n2 = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            differ = np.zeros(batch.num_rows)
+            differ = np.zeros(batch.num_rows, np.int64)
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
                 x, y = x.as_py(), y.as_py()
                 size = min(len(x), len(y))
-                bits = 8 * size
-                seen = min(int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()), bits // 2 - 1)
-                differ[i] = -bits / 2 * math.log(1 - 2 * seen / bits)
-            keep = pa.array(may_link(n1, n2, np.ceil(differ).astype(np.int64), min(percent + MARGIN, 100)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                differ[i] = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(n1, n2, differ, percent)))
 
     return run
 
 
-def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray, narrow: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one tile whose sizes, sides and components allow a link and whose bound passes; sizes ascend.
+def _exact(percent: int) -> Callable:
+    """Rows a, b, hashes_a, hashes_b in; the pairs that link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
+                small, large = (x, y) if x.size <= y.size else (y, x)
+                at = np.minimum(np.searchsorted(large, small), large.size - 1)
+                both = int(np.count_nonzero(large[at] == small))
+                keep[i] = 100 * both >= percent * (x.size + y.size - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _with_both(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs a, b with the columns of both: those of ``sides`` are doc_id and others."""
+    names = sides.columns[1:]
+    for side in "ab":
+        pairs = pairs.join(sides.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for c in names for side in "ab"])
+
 
-    One of a pair must be of the lower band (``low``) and one of the width of ``maps`` (``narrow``).
+def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, by intersection of their whole sets."""
+    return _with_both(pairs, full.select("doc_id", "hashes")).mapInArrow(_exact(percent), "a long, b long")
+
+
+def middle_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Each member of a tile with the tile's middle, where the bound passes."""
+    middles = members.groupBy("tile").agg(F.max(F.struct("shared", -F.col("doc_id"))).alias("top")).select("tile", (-F.col("top.col2")).alias("middle"))
+    met = members.join(middles, "tile").filter("doc_id <> middle")
+    pairs = met.select(F.least("doc_id", "middle").alias("a"), F.greatest("doc_id", "middle").alias("b")).distinct()
+    return _with_both(pairs, full.select("doc_id", "n", "bits")).mapInArrow(_bounded(percent), "a long, b long")
+
+
+def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, narrow: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits that differ) of one tile whose sizes, sides and components allow a link and whose bound passes; sizes ascend.
+
+    One of a pair must be of the width of ``maps`` (``narrow``).
     """
     m = n.size
     ends = np.searchsorted(n, n * 100 // percent, "right")
@@ -162,154 +340,111 @@ def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray,
             continue
         first = np.repeat(i, count)
         second = first + 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        keep = (comp[first] != comp[second]) & (low[first] | low[second]) & (narrow[first] | narrow[second])
-        keep &= (side[first] < 0) | (side[first] != side[second]) | (side[first] == 2)
+        keep = (comp[first] != comp[second]) & (narrow[first] | narrow[second])
+        keep &= (side[first] < 0) | (side[first] != side[second])
         first, second = first[keep], second[keep]
         if first.size:
             differ = np.bitwise_count(maps[first] ^ maps[second]).sum(axis=1, dtype=np.int64)
             keep = may_link(n[first], n[second], differ, percent)
-            yield first[keep], second[keep]
+            yield first[keep], second[keep], differ[keep]
 
 
-def _tile(percent: int) -> Callable:
-    """The pairs of a cell of tiles whose bound passes and whose components differ."""
+def _cross(percent: int, nearest: bool) -> Callable:
+    """A cell of tiles in; pairs across components whose bound passes out, or the nearest such of every two components of a tile."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tile", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
-        tile, doc, n, comp, side, low = (np.asarray(table.column(c)) for c in ("tile", "doc_id", "n", "comp", "side", "low"))
+        table = table.sort_by([("part", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
+        tile, doc, n, comp, side = (np.asarray(table.column(c)) for c in ("part", "doc_id", "n", "comp", "side"))
         bits = table.column("bits").combine_chunks()
         cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = [np.zeros((2, 0), np.int64)]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
             cells = [x.as_py() for x in bits.slice(lo, hi - lo)]
             widths = np.array([len(x) for x in cells])
+            found = []
             # Sizes that can link have the same width or neighbouring ones; each is folded to the narrower only.
             for size in np.unique(widths).tolist():
                 at = np.flatnonzero((widths == size) | (widths == 2 * size))
                 if at.size < 2:
                     continue
                 maps = np.stack([fold(cells[i], size) for i in at])
-                at += lo
-                for i, j in _within(n[at], comp[at], side[at], low[at], widths[at - lo] == size, maps, percent):
-                    a.append(doc[at[i]])
-                    b.append(doc[at[j]])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    return run
-
-
-def _pack_set(values: np.ndarray) -> bytes:
-    """The high 48 bits of each hash: order stays, and only the two sets of a pair are compared."""
-    return (values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack_set(cell: bytes) -> np.ndarray:
-    out = np.zeros((len(cell) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
-
-
-def _exact(percent: int) -> Callable:
-    """A bucket's sets and pairs in; links out."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cells = zip(left.column("cell").to_pylist(), left.column("doc_id").to_pylist(), strict=True)
-        known = {key: _unpack_set(x.as_py()) for key, x in zip(cells, left.column("hashes"), strict=True)}
-        keep = np.zeros(right.num_rows, bool)
-        for i, (cell, a, b) in enumerate(zip(*(right.column(c).to_pylist() for c in ("cell", "a", "b")), strict=True)):
-            x, y = known[cell, a], known[cell, b]
-            small, large = (x, y) if x.size <= y.size else (y, x)
-            at = np.minimum(np.searchsorted(large, small), large.size - 1)
-            both = int(np.count_nonzero(large[at] == small))
-            keep[i] = 100 * both >= percent * (x.size + y.size - both)
-        return right.select(["a", "b"]).filter(pa.array(keep))
+                own = at + lo
+                for i, j, differ in _within(n[own], comp[own], side[own], widths[at] == size, maps, percent):
+                    found.append(np.stack([own[i], own[j], differ]))
+            i, j, differ = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+            if nearest and i.size:
+                low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                order = np.lexsort((differ, high, low))
+                low, high = low[order], high[order]
+                order = order[np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])]
+                i, j = i[order], j[order]
+            out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
+        a, b = np.concatenate(out, axis=1)
+        pa.default_memory_pool().release_unused()
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
 
-def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that link, by intersection of their whole sets, made anew from the texts of documents in pairs.
-
-    Documents that pairs join meet in one cell, so that each set travels once; where their sets come to
-    more than ``CELL_BYTES``, they are dealt into blocks, and each pair of blocks with pairs is a cell.
-    """
-
-    @F.pandas_udf(T.BinaryType())
-    def whole_set(text):
-        return text.__class__([_pack_set(x) for x in sets(pa.array(text, pa.string()), words)], dtype=object)
-
-    roots = components(pairs)
-    of = roots.select(F.col("u").alias("doc_id"), "root").union(roots.select(F.col("root").alias("doc_id"), "root")).distinct()
-    weights = of.join(sizes, "doc_id").groupBy("root").agg(F.ceil(F.sum("n") * 6 / CELL_BYTES).alias("blocks"))
-    placed = settle(of.join(weights, "root").select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), "placed")
-    ends = [placed.select(F.col("doc_id").alias(c), F.col("root").alias("root"), F.col("block").alias(f"block_{c}")) for c in "ab"]
-    sent = pairs.join(ends[0], "a").join(ends[1].drop("root"), "b").withColumn("cell", F.xxhash64("root", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")))
-    sent = settle(sent.select("cell", "a", "b"), "cells")
-    cells = sent.select(F.col("a").alias("doc_id"), "cell").union(sent.select(F.col("b").alias("doc_id"), "cell")).groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
-    arrays = _texts(docs).join(cells, "doc_id").select("doc_id", "cells", whole_set("text").alias("hashes")).select("doc_id", F.explode("cells").alias("cell"), "hashes")
-    bucket = F.pmod("cell", F.lit(8 * partitions(docs.sparkSession))).alias("bucket")
-    left, right = arrays.select(bucket, "*"), sent.select(bucket, "*")
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_exact(percent), "a long, b long")
-
-
-def lead_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Each document with the smallest of its tile, for the first LEADS values."""
-    own = reps.select("doc_id", "n", band(F.col("n"), percent).alias("band"), F.explode(F.slice("prefix", 1, LEADS)).alias("value"))
-    least = own.groupBy("value", "band").agg(F.min(F.struct("n", "doc_id")).alias("least"), F.count("*").alias("held")).filter("held > 1")
-    pairs = own.join(least, ["value", "band"]).select(F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
-    signs = reps.select("doc_id", "n", "bits")
-    for side in "ab":
-        pairs = pairs.join(signs.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_likely(percent), "a long, b long")
-
-
-def cross_pairs(reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components whose bound passes, from the tiles of all prefix values."""
-    own = reps.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp"), "prefix")
-    held = own.select("doc_id", "comp", F.explode("prefix").alias("value"))
-    mixed = held.groupBy("value").agg(F.count("*").alias("held"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("value", "held")
-    met = own.select("doc_id", F.explode("prefix").alias("value")).join(mixed, "value")
-    sized = own.select("doc_id", "comp").join(reps.select("doc_id", "n", "bits"), "doc_id")
-    rows = met.join(sized, "doc_id").withColumn("own_band", band(F.col("n"), percent))
-    whole = rows.filter(f"held <= {BLOCK}").select("doc_id", "n", "comp", "bits", F.col("value").alias("tile"), F.lit(-1).alias("side"), F.lit(True).alias("low"))
-    # A banded tile has the sizes of its band and of the next; a pair needs one of the lower band.
-    count = F.ceil(F.col("held") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cut = rows.filter(f"held > {BLOCK}").withColumn("blocks", count).withColumn("mine", mine).withColumn("band", F.explode(F.array("own_band", F.col("own_band") - 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    cut = cut.select("doc_id", "n", "comp", "bits", F.xxhash64("value", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), side.alias("side"), (F.col("band") == F.col("own_band")).alias("low"))
-    cells = whole.union(cut).withColumn("cell", F.pmod("tile", F.lit(4 * partitions(reps.sparkSession))))
-    return cells.groupBy("cell").applyInArrow(_tile(percent), "a long, b long").distinct()
-
-
-def _pieces(leads: DataFrame, roots: DataFrame, verified_roots: DataFrame) -> DataFrame:
-    """(doc_id, u, root) of documents in components of leads that verified links leave in pieces."""
-    members = roots.select(F.col("u").alias("doc_id"), F.col("root").alias("lead_root")).union(roots.select(F.col("root").alias("doc_id"), F.col("root").alias("lead_root"))).distinct()
-    now = members.join(verified_roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    split = now.groupBy("lead_root").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("lead_root")
-    return now.join(split, "lead_root").select("doc_id", "root")
+def _block(doc: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), blocks).cast("int")
+
+
+def cross_pairs(members: DataFrame, full: DataFrame, roots: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of members of a tile in different components whose bound passes."""
+    placed = members.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("tile", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    sizes = placed.groupBy("tile", "comp").agg(F.count("*").alias("held"))
+    whole = F.sum("held").alias("held"), F.count("*").alias("comps"), F.max(F.struct("held", "comp")).alias("top")
+    apart = sizes.groupBy("tile").agg(*whole).filter("comps > 1")
+    # The component with most rows is the base: its members meet the others only.
+    blocks = [F.ceil(x / F.lit(BLOCK)).cast("int") for x in (F.col("top.held"), F.col("held") - F.col("top.held"))]
+    apart = apart.select("tile", F.col("top.comp").alias("base"), blocks[0].alias("of_base"), blocks[1].alias("of_rest"), (F.col("held") <= BLOCK).alias("small"))
+    rows = placed.join(apart, "tile").join(full.select("doc_id", "n", "bits"), "doc_id").withColumn("in_base", F.col("comp") == F.col("base"))
+    keep = ["doc_id", "n", "comp", "bits"]
+    small = rows.filter("small").select(*keep, F.col("tile").alias("part"), F.lit(-1).alias("side"))
+    large = rows.filter("not small").withColumn("mine", F.when(F.col("in_base"), _block(F.col("doc_id"), F.col("of_base"))).otherwise(_block(F.col("doc_id"), F.col("of_rest"))))
+    count = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    with_base = large.withColumn("other", F.explode(F.when(F.col("in_base"), count("of_rest")).otherwise(count("of_base"))))
+    block = F.when(F.col("in_base"), F.struct("other", "mine")).otherwise(F.struct(F.col("mine").alias("other"), F.col("other").alias("mine")))
+    with_base = with_base.select(*keep, F.xxhash64("tile", F.lit("base"), block).alias("part"), F.col("in_base").cast("int").alias("side"))
+    rest = large.filter("not in_base").withColumn("other", F.explode(count("of_rest")))
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    rest = rest.select(*keep, F.xxhash64("tile", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), side.alias("side"))
+    cells = small.union(with_base).union(rest).withColumn("cell", F.pmod("part", F.lit(4 * partitions(members.sparkSession))))
+    return cells.groupBy("cell").applyInArrow(_cross(percent, nearest), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every document."""
-    signs = settle(signatures(docs, words, percent), "signatures")
+    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row."""
+    own, ids = keyed(docs)
+    signs = settle(own.mapInArrow(_signatures(words), SIGNATURE), "signatures")
     sized = signs.filter("n > 0")
-    classes = sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copied = settle(classes.filter("copies > 1"), "classes")
-    copies = sized.join(copied, ["d1", "d2", "n"]).filter("doc_id <> rep").select("doc_id", "rep")
-    copies = settle(copies, "copies")
-    reps = sized.join(copies, "doc_id", "left_anti")
-    leads = settle(lead_pairs(reps, percent), "leads")
-    roots = components(leads)
-    tested = settle(leads.union(cross_pairs(reps, roots, percent)), "pairs")
-    links = settle(verified(docs, reps.select("doc_id", "n"), tested, words, percent), "links")
-    now = components(links)
-    pieces = settle(_pieces(leads, roots, now), "pieces")
-    if pieces.limit(1).count():
-        again = cross_pairs(reps.join(pieces.select("doc_id"), "doc_id", "left_semi"), pieces.withColumnRenamed("doc_id", "u"), percent)
-        links = links.union(verified(docs, reps.select("doc_id", "n"), settle(again, "pairs"), words, percent))
-    links = links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    classes = sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")).filter("held > 1")
+    copies = settle(sized.join(classes, ["d1", "d2", "n"]).filter("doc_id <> rep").select("doc_id", "rep"), "copies")
+    n_words = signs.agg(F.sum("n")).first()[0] or 0
+    members = settle(tiles(own, copies, n_words, words, percent), "tiles")
+    asked = members.select("doc_id").distinct()
+    full = settle(own.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(words, percent), SETS), "sets")
+    tested = settle(middle_pairs(members, full, percent), "pairs")
+    links = settle(verified(tested, full, percent), "links")
     roots = components(links)
-    return signs.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    for nearest in (True, False):
+        pairs = cross_pairs(members, full, roots, percent, nearest).join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        tested = tested.union(pairs)
+        more = settle(verified(pairs, full, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
+    # A representative has the least key of its class, so copies change no root.
+    of = roots.withColumnsRenamed({"u": "rep", "root": "top"})
+    of_copies = copies.join(of, "rep", "left").select("doc_id", F.coalesce("top", "rep").alias("root"))
+    joined = signs.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("u", "doc_id").union(of_copies), "doc_id", "left")
+    out = joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    if ids is None:
+        return out
+    rows = out.join(ids.withColumnRenamed("row", "doc_id"), "doc_id")
+    least = rows.groupBy("component_id").agg(F.min("own").alias("least"))
+    return rows.join(least, "component_id").select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 
@@ -41,3 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with distinct ids and, where the ids of ``docs`` are not such, (row, own): the id of each made key."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return own, None
+    rows = settle(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", F.col("doc_id").alias("own"))

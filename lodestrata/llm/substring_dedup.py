@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .hashing import inside, mix, slices, text_words, windows
 from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
-from .shared import partitions, settle
+from .shared import keyed, partitions
 
 POSTINGS = "bucket int, known boolean, cell binary"
 PLACES = "doc_id long, places binary"
@@ -194,18 +194,9 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     return _found(around.mapInArrow(_extensions(window, block, buckets), POSTINGS), buckets)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, text) with distinct ids and, where the ids of ``docs`` are not such, (row, own): the id of each key."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
-        return own, None
-    rows = settle(own.withColumn("row", F.monotonically_increasing_id()), "rows")
-    return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", F.col("doc_id").alias("own"))
-
-
 def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> DataFrame:
     """A row a document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, the kept text."""
-    own, ids = _keyed(docs)
+    own, ids = keyed(docs)
     out = own.join(repeated_windows(own, window), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
         _results(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     )

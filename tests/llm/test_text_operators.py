@@ -105,8 +105,6 @@ def test_jaccard_components(documents, corpus, monkeypatch, n, percent, block):
 def test_jaccard_components_of_chains_and_large_groups(documents, monkeypatch):
     """Neighbours in a chain link, its ends do not; hot tiles are cut into blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    monkeypatch.setattr(jaccard_join, "LEADS", 1)
-    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 1000)
     base = [f"w{i}" for i in range(40)]
     rows = [(100 + k, " ".join([*(f"c{i}" for i in range(k)), *base[k:]])) for k in range(0, 30, 2)]
     rows += [(k, " ".join(base[:20] + [f"z{k}{i}" for i in range(20)])) for k in range(20)]
@@ -114,6 +112,36 @@ def test_jaccard_components_of_chains_and_large_groups(documents, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 1, 90)
 
 
+def test_jaccard_components_of_null_and_repeated_ids(documents):
+    """Rows of one id are linked each by its own text; a component is named by the least id in it."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "PUV"}
+    rows = [(5, text["P"]), (5, text["U"]), (7, text["P"] + " z"), (None, text["U"]), (None, text["V"]), (9, None), (3, text["U"] + " z"), (5, text["P"])]
+    got = jaccard_join.jaccard_components(documents(rows), 3, 90).collect()
+    want = [(5, 58, 5), (5, 58, 3), (7, 59, 5), (None, 58, 3), (None, 58, None), (9, 0, 9), (3, 59, 3), (5, 58, 5)]
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, want))
+
+
+def test_linked_sets_share_a_first_segment_key():
+    """Whatever order of keys is taken, linked sets share one of the first keys of each."""
+    rnd = np.random.default_rng(2)
+    for percent in (90, 80, 60):
+        for n in [1, 2, 3, 5, 8, 9, 10, 12, 17, 30, 80, 300, 1000] * 4:
+            a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+            drop = rnd.integers(0, 1 + a.size * (100 - percent) // 100)
+            b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 2**64, rnd.integers(0, 1 + a.size * (100 - percent) // 200), dtype=np.uint64)]))
+            both = np.intersect1d(a, b).size
+            if 100 * both < percent * (a.size + b.size - both) or both == a.size == b.size:
+                continue
+            parts = [[], []]
+            for key, at, place in jaccard_join.segment_keys([a, b], percent):
+                for k in (0, 1):
+                    for level in np.unique(place[at == k] & 255):
+                        own = np.sort(key[(at == k) & (place & 255 == level)])
+                        spare = int(place[(at == k) & (place & 255 == level)][0]) >> 8
+                        parts[k].append(set(own[: own.size - spare].tolist()))
+            assert set().union(*parts[0]) & set().union(*parts[1]), (percent, n)
+
+
 def test_jaccard_components_empty(documents):
     assert jaccard_join.jaccard_components(documents([])).count() == 0
     got = jaccard_join.jaccard_components(documents([(1, None), (2, ""), (3, " ")])).collect()
