@@ -23,8 +23,8 @@ TOXIC_FROM = 0.3
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, lexicon).drop("top_clause")
-    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_clauses")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes: I insult, H threat, T target, N negation, R reported speech, others none. Five
-weighted transducers read the classes of a clause and are composed into one machine:
-
-* ``insult`` and ``threat`` give weight to their words (an insult its learned weight, a threat only
-  when composed with a target);
-* ``target`` raises the weight of an attack that has a target within ``NEAR`` words of it;
-* ``negation`` lowers the weight of the next attack within ``NEAR`` words, and only of that one;
-* ``report`` lowers all later attacks of the clause.
-
-The best path's weight is the clause's. A document's sum s of clause weights gives its score
+A sentence becomes a tape of word classes: I insult, H threat, T somebody addressed, O the same in object form,
+N negation, R reported speech, a comma between clauses, - anything else. Transducers read the tape and add marks
+to attacks (I and H); each one's output is the next one's input:
+
+* ``SAID_AFTER`` (from right to left) marks r what a following clause reports (``..., he said``);
+* ``AFTER`` (from right to left) marks t what is followed by T or O within ``NEAR`` words;
+* ``BEFORE`` and ``OBJECT_BEFORE`` mark t an insult that T or O, and a threat that O precedes as closely: who
+  stands before a threat in subject form makes it, and is no target;
+* ``NEGATED`` marks n the next attack within ``NEAR`` words of N, and only that one;
+* ``SAID_BEFORE`` marks r the attacks after R in its sentence.
+
+The first two are composed into one machine for the way back, the others into one for the way forth. ``WEIGH`` turns
+marked attacks into weights: an insult has its learned weight, a threat nearly none without a target; t raises,
+n and r lower it. A clause's weight is the sum of its attacks'. A document's sum s of clause weights gives its score
 1 / (1 + exp(-(a * log(1 + s) + b))), with a and b fitted on the labelled sample.
 
 Learning: at most ``sample`` labelled rows, those of least hash, by default 20,000; texts are read whole.
@@ -19,8 +23,9 @@ documents that few entries explain yet. So words that only copies of one documen
 With no usable labels, the built-in English insults alone are the lexicon. Labels, language, source
 and id are never inputs of a score.
 
-Defined results: null and empty texts score as documents without an attack; null labels are not
-learned from; several labels for an id count as several rows; extra columns take no part.
+Defined results: null and empty texts score as documents without an attack; rows of null or repeated ids are scored
+each by itself, null ids are never held out; null labels are not learned from; several labels for an id, and several rows
+of a labelled id, count as several rows; extra columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,11 +49,14 @@ SAMPLE, ENTRIES, LEAST, COVER = 20_000, 400, 1.0, 3
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 NEAR = 4
 WORD = re.compile(r"\w+")
-CLAUSE = re.compile(r"[.!?;:,\n]+")
+SENTENCE = re.compile(r"[.!?;\n]+")
+CLAUSE = re.compile(r"[,:]+")
+TOKEN = re.compile(r"\w+|[,:]+")
 
 #: The closed word classes, in the corpus's four languages.
 THREATS = "kill hurt destroy burn smash shoot stab strangle töten schlagen umbringen tuer frapper brûler matar golpear quemar"
-TARGETS = "you your yours u ur they them he she him her du dich dir ihr euch tu toi te vous ils elle tú ti usted ustedes ellos"
+TARGETS = "you your yours u ur they he she du ihr tu vous ils elle tú usted ustedes ellos"
+OBJECTS = "them him her dich dir euch toi te ti"
 NEGATIONS = "not never no without isn aren don doesn nicht kein keine nie ne pas jamais sans nunca jamás sin"
 REPORTS = "said says say wrote writes claimed claims called quoted quote reported allegedly sagte schrieb angeblich dit écrit selon dijo escribió según"
 INSULTS = "idiot moron stupid scum loser worthless pathetic disgusting trash clown imbecile bastard vermin"
@@ -71,85 +79,117 @@ class Lexicon:
         return best
 
 
+ATTACKS = "IH"
+BREAK = ","
+
+
 class Transducer:
-    """Weighted moves (state, symbol) -> (state, factor on attacks, whether it attacks); ``None`` is any other symbol."""
+    """Moves (state, class) -> (state, mark that the symbol gets); ``None`` is any other class. Without a move nothing changes."""
 
     def __init__(self, moves: dict[tuple, tuple]):
         self.moves = moves
 
-    def step(self, state, symbol: str | None) -> tuple:
-        return self.moves.get((state, symbol)) or self.moves.get((state, None)) or (state, 1.0, False)
+    def step(self, state, symbol: str) -> tuple:
+        state, mark = self.moves.get((state, symbol[0])) or self.moves.get((state, None)) or (state, "")
+        return state, symbol if mark in symbol else symbol + mark
 
 
-def _fading(trigger: str, factor: float, spent: bool) -> Transducer:
-    """Within NEAR words of ``trigger``, attacks get ``factor``; the first ends it if ``spent``."""
-    moves: dict[tuple, tuple] = {(0, trigger): (NEAR, 1.0, False)}
+def _near(triggers: str, attacks: str, mark: str, spent: bool = False) -> Transducer:
+    """Marks ``attacks`` within NEAR words of a trigger of the same clause; the first attack of any kind ends it if ``spent``."""
+    moves: dict[tuple, tuple] = {(0, t): (NEAR, "") for t in triggers}
     for k in range(1, NEAR + 1):
-        moves[k, trigger] = (NEAR, 1.0, False)
-        moves[k, None] = (k - 1, 1.0, False)
-        for attack in "IH":
-            moves[k, attack] = (0 if spent else k - 1, factor, False)
+        moves |= {(k, None): (k - 1, ""), (k, BREAK): (0, "")} | {(k, t): (NEAR, "") for t in triggers}
+        moves |= {(k, a): (0 if spent else k - 1, mark if a in attacks else "") for a in ATTACKS}
     return Transducer(moves)
 
 
-INSULT = Transducer({(0, "I"): (0, 1.0, True)})
-THREAT = Transducer({(0, "H"): (0, 1.0, True)})
-TARGET = _fading("T", 1.5, spent=False)
-NEGATION = _fading("N", 0.6, spent=True)
-REPORT = Transducer({(0, "R"): (1, 1.0, False), (1, "I"): (1, 0.7, False), (1, "H"): (1, 0.7, False)})
+def _said_after() -> Transducer:
+    """From right to left: states (words in which a comma must come, whether the clause is reported)."""
+    moves: dict[tuple, tuple] = {}
+    for k in range(3):
+        for told in (False, True):
+            less = (max(k - 1, 0), told)
+            moves |= {((k, told), "R"): ((2, told), ""), ((k, told), BREAK): ((0, k > 0), ""), ((k, told), None): (less, "")}
+            moves |= {((k, told), a): (less, "r" if told else "") for a in ATTACKS}
+    return Transducer({**moves, (0, "R"): ((2, False), "")})
+
+
+SAID_AFTER = _said_after()
+AFTER = _near("TO", "IH", "t")
+BEFORE = _near("TO", "I", "t")
+OBJECT_BEFORE = _near("O", "H", "t")
+NEGATED = _near("N", "IH", "n", spent=True)
+SAID_BEFORE = Transducer({(0, "R"): (1, ""), (1, "I"): (1, "r"), (1, "H"): (1, "r")})
 THREAT_ALONE = 0.05
+MARKS = {"t": 1.5, "n": 0.6, "r": 0.7}
 
 
-def compose(*machines: Transducer) -> Callable[[list[tuple[str, float]]], float]:
-    """The weight of a clause's classes under all machines at once; composed states are kept as they are met."""
-    table: dict[tuple, tuple] = {}
+def weigh(symbol: str) -> float:
+    """The factor of a marked attack; other symbols weigh nothing."""
+    if symbol[0] not in ATTACKS:
+        return 0.0
+    return math.prod(MARKS[m] for m in symbol[1:]) * (THREAT_ALONE if symbol[0] == "H" and "t" not in symbol else 1.0)
 
-    def move(state: tuple, symbol: str) -> tuple:
-        if (found := table.get((state, symbol))) is None:
-            steps = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
-            found = table[state, symbol] = (tuple(s[0] for s in steps), math.prod(s[1] for s in steps), any(s[2] for s in steps), state)
-        return found
 
-    def weigh(symbols: list[tuple[str, float]]) -> float:
-        state, total = (0,) * len(machines), 0.0
-        for symbol, weight in symbols:
-            state, factor, attacks, was = move(state, symbol)
-            if attacks:
-                near = was[2] > 0  # the target machine's state
-                total += weight * factor * (1.0 if symbol == "I" or near else THREAT_ALONE)
-        return total
+def compose(*machines: Transducer) -> Callable[[list[str]], list[str]]:
+    """One machine whose output is that of the last of ``machines``, each of which reads the one before; states are kept as they are met."""
+    table: dict[tuple, tuple] = {}
+
+    def run(tape: list[str]) -> list[str]:
+        state, out = (0,) * len(machines), []
+        for symbol in tape:
+            if (found := table.get((state, symbol))) is None:
+                states, made = [], symbol
+                for machine, own in zip(machines, state, strict=True):
+                    own, made = machine.step(own, made)
+                    states.append(own)
+                found = table[state, symbol] = (tuple(states), made)
+            state, made = found
+            out.append(made)
+        return out
 
-    return weigh
+    return run
 
 
 class Grammar:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.classes = {w: c for c, words in (("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS)) for w in words.split()}
+        self.classes = {w: c for c, words in (("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS), ("O", OBJECTS)) for w in words.split()}
         self.threats = dict(lexicon.threats)
-        self.weigh = compose(INSULT, THREAT, TARGET, NEGATION, REPORT)
+        self.back, self.forth = compose(SAID_AFTER, AFTER), compose(BEFORE, OBJECT_BEFORE, NEGATED, SAID_BEFORE)
         self.seen: dict[str, tuple[str, float]] = {}
 
     def symbol(self, word: str) -> tuple[str, float]:
         if (found := self.seen.get(word)) is None:
             weight = self.lexicon.weight(word)
             threat = self.threats.get(word, 0.0)
-            found = ("I", weight) if weight else ("H", threat) if threat > 0 else (self.classes.get(word, "-"), 0.0)
+            found = ("I", weight) if weight else ("H", threat) if threat > 0 else (BREAK if word[0] in ",:" else self.classes.get(word, "-"), 0.0)
             if len(self.seen) < 300_000:
                 self.seen[word] = found
         return found
 
+    def marked(self, tape: list[str]) -> list[str]:
+        """The tape with all marks: the way back, then the way forth."""
+        return self.forth(self.back(tape[::-1])[::-1])
+
     def clauses(self, text: str) -> list[tuple[str, float]]:
         """The clauses that attack, and their weights."""
         words = set(WORD.findall(text := text.lower()))
         symbol = self.symbol
-        if not any(symbol(w)[0] in "IH" for w in words):
+        if not any(symbol(w)[0] in ATTACKS for w in words):
             return []
         found = []
-        for clause in CLAUSE.split(text):
-            classes = [symbol(w) for w in WORD.findall(clause)]
-            if any(c in "IH" for c, _ in classes) and (weight := self.weigh(classes)) > 0:
-                found.append((clause, weight))
+        for sentence in SENTENCE.split(text):
+            symbols = [symbol(w) for w in TOKEN.findall(sentence)]
+            if not any(c in ATTACKS for c, _ in symbols):
+                continue
+            totals = [0.0]
+            for made, (_, weight) in zip(self.marked([c for c, _ in symbols]), symbols, strict=True):
+                if made == BREAK:
+                    totals.append(0.0)
+                elif made[0] in ATTACKS:
+                    totals[-1] += weight * weigh(made)
+            found += [(clause, total) for clause, total in zip(CLAUSE.split(sentence), totals, strict=True) if total > 0]
         return found
 
     def score(self, total: float) -> float:
@@ -280,7 +320,7 @@ def _curve(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, column: str = "text") -> DataFrame:
-    """doc_id, score, n_clauses and the weightiest clause of every document."""
+    """doc_id, score, n_clauses and the weightiest clause of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
