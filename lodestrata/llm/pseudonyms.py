@@ -4,24 +4,26 @@ Numbers, dates, addresses and keys that pass their validation are taken for inte
 their format gives, and permuted there by a keyed Feistel network; values that leave the domain walk the
 cycle until they are in it again. The result has the same format and passes the same validation: card
 numbers keep their length and a right check digit, IBANs their country and right check digits, dates
-stay dates. Separators stay as they are and do not count, so equal values get equal pseudonyms in
-every document, and different values different ones. With the key, ``reverse`` gives the values back.
+stay dates with as many digits a part, keys keep the prefix that they are known by. Separators and leading
+zeros stay as they are and do not count, so equal values get equal pseudonyms in every document, however they
+are written, and different values different ones. With the key, ``back`` gives every text back byte for byte.
 
 =========  ==========================================================================
 card       13 to 19 digits, Luhn check; all digits but the check digit are permuted
 iban       two letters, check digits by modulus 97, the rest permuted by class
 ssn        ddd-dd-dddd with area, group and serial in use
-phone      + and 8 to 15 digits, or (ddd) ddd-dddd; North American numbers stay valid
-ip         four numbers up to 255
-date       year-month-day, day.month.year or month/day/year from 1900 to 2099
+phone      + and 8 to 15 digits, (ddd) ddd-dddd or ddd-ddd-dddd; North American numbers stay valid
+ip         four numbers up to 255 without leading zeros, each with as many digits after
+date       year-month-day, day.month.year or month/day/year from 1900 to 2099; days and months
+           under 10 stay under 10
 email      the part before @, letters and digits permuted by class
-secret     keys of known shape or after ``key=`` and the like, permuted by class
+secret     keys of known shape behind their prefix, and values after ``key=`` and the like, by class
 =========  ==========================================================================
 
 Overlapping finds: the one that starts first, then the longer. What fails its validation stays as it is.
 
-Defined results: null texts stay null; texts without finds stay byte for byte; columns besides doc_id and
-text take no part; an empty table gives no rows.
+Defined results: null texts stay null; texts without finds stay byte for byte; each row is treated by itself, whatever
+its id; columns besides doc_id and text take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,15 +44,21 @@ ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+#: The prefixes of keys of known shape, and what follows them.
+TOKENS = r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|sk-\w{20,}"
+_PREFIX = re.compile("AKIA|gh[pousr]_|sk-")
+_ANNOUNCED = re.compile("(?:key|token|secret|password|passwd)$")
+
 FINDS = re.compile(
-    r"""(?P<email>[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9][\w-]*(?:\.[\w-]+)+)
-    |(?P<secret>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|sk-\w{20,})|(?:(?<=key=)|(?<=token=)|(?<=secret=)|(?<=password=)|(?<=passwd=)|(?<=key="))[\w/+-]{12,})
-    |(?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?\b)
-    |(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|\.\d))
-    |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-    |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))
-    |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
+    rf"""(?P<email>[A-Za-z0-9][\w.+-]{{0,63}}@[A-Za-z0-9][\w-]*(?:\.[\w-]+)+)
+    |(?P<token>\b(?:{TOKENS}))
+    |(?P<secret>(?:(?<=key=)|(?<=token=)|(?<=secret=)|(?<=password=)|(?<=passwd=)|(?<=key="))[\w/+-]{{12,}})
+    |(?P<iban>\b[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?\b)
+    |(?P<date>(?<![\w.-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?![\w-]|\.[0-9]))
+    |(?P<ip>(?<![\w.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![\w]|\.[0-9]))
+    |(?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
+    |(?P<phone>(?<![\w+])(?:\+[0-9]{{1,3}}[ .-]?)?\([0-9]{{3}}\)[ ]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?!\w)|(?<![\w+])\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}(?!\w)|(?<![\w.+-])[0-9]{{3}}(?P<gap>[.-])[0-9]{{3}}(?P=gap)[0-9]{{4}}(?![\w-]|\.[0-9]))
+    |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){{12,18}}(?![\w-]))""",
     re.X,
 )
 _HINT = re.compile(r"[\d@]|sk-|key=|token=|secret=|passw")
@@ -109,15 +117,19 @@ def _mixed(text: str) -> tuple[int, list[tuple[int, str]]]:
     return value, places
 
 
-def by_class(text: str, feistel: Feistel, tweak: str, back: bool) -> str:
+def by_class(text: str, feistel: Feistel, tweak: str, back: bool, good: Callable[[str], bool] = lambda _: True) -> str:
+    """Characters permuted together, each within its class; ``text`` and the result are ``good``."""
     value, places = _mixed(text)
     shape = "".join("9aA"[_CLASSES.index(k)] for _, k in places)
-    value = feistel.permute(value, math.prod(len(k) for _, k in places), f"{tweak}|{shape}", back)
-    out = list(text)
-    for i, kind in reversed(places):
-        value, c = divmod(value, len(kind))
-        out[i] = kind[c]
-    return "".join(out)
+
+    def written(value: int) -> str:
+        out = list(text)
+        for i, kind in reversed(places):
+            value, c = divmod(value, len(kind))
+            out[i] = kind[c]
+        return "".join(out)
+
+    return written(feistel.permute(value, math.prod(len(k) for _, k in places), f"{tweak}|{shape}", back, lambda x: good(written(x))))
 
 
 def _card(text: str, f: Feistel, back: bool) -> str | None:
@@ -162,30 +174,37 @@ def _phone(text: str, f: Feistel, back: bool) -> str | None:
 
 def _ip(text: str, f: Feistel, back: bool) -> str | None:
     parts = [int(x) for x in text.split(".")]
-    if max(parts) > 255:
+    if max(parts) > 255 or ".".join(map(str, parts)) != text:
         return None
-    value = f.permute(int.from_bytes(bytes(parts), "big"), 2**32, "ip", back)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    # Each part keeps its width: with another, what stands beside it might be found otherwise on the way back.
+    ranges = [(0, 9) if p < 10 else (10, 99) if p < 100 else (100, 255) for p in parts]
+    value = size = 0
+    for p, (low, high) in zip(parts, ranges, strict=True):
+        value = value * (high - low + 1) + p - low
+        size = max(size, 1) * (high - low + 1)
+    value, fresh = f.permute(value, size, "ip" + "".join(str(len(str(p))) for p in parts), back), []
+    for low, high in reversed(ranges):
+        value, p = divmod(value, high - low + 1)
+        fresh.append(str(low + p))
+    return ".".join(reversed(fresh))
 
 
 def _date(text: str, f: Feistel, back: bool) -> str | None:
-    a, b, c = (int(x) for x in re.split(r"[-/.]", text))
+    parts = re.split(r"[-/.]", text)
+    order = (0, 1, 2) if "-" in text else (2, 1, 0) if "." in text else (2, 0, 1)  # where year, month and day stand
     try:
-        if "-" in text:
-            day = datetime.date(a, b, c)
-        elif "." in text:
-            day = datetime.date(c, b, a)
-        else:
-            day = datetime.date(c, a, b)
+        day = datetime.date(*(int(parts[k]) for k in order))
     except ValueError:
         return None
     if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
         return None
-    fresh = datetime.date.fromordinal(FIRST_DAY + f.permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back))
-    if "-" in text:
-        return fresh.isoformat()
-    width = 2 if len(text) == 10 else 1  # written without leading zeros, it stays so
-    return f"{fresh.day:0{width}d}.{fresh.month:0{width}d}.{fresh.year}" if "." in text else f"{fresh.month:0{width}d}/{fresh.day:0{width}d}/{fresh.year}"
+    # Days and months of one digit stay such, so that a part's width need not change, however it is written.
+    small = lambda d: (d.day < 10, d.month < 10)
+    good = lambda x: small(datetime.date.fromordinal(FIRST_DAY + x)) == small(day)
+    fresh = datetime.date.fromordinal(FIRST_DAY + f.permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back, good))
+    for k, value in zip(order, (fresh.year, fresh.month, fresh.day), strict=True):
+        parts[k] = f"{value:0{len(parts[k])}d}"
+    return ("-" if "-" in text else "." if "." in text else "/").join(parts)
 
 
 def _email(text: str, f: Feistel, back: bool) -> str | None:
@@ -193,7 +212,23 @@ def _email(text: str, f: Feistel, back: bool) -> str | None:
     return by_class(name, f, "email", back) + "@" + host
 
 
-_BY_KIND: dict[str, Callable[[str, Feistel, bool], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "email": _email, "secret": lambda t, f, back: by_class(t, f, "secret", back)}
+def _by_class_before(text: str, feistel: Feistel, tweak: str, back: bool, good: Callable[[str], bool] = lambda _: True) -> str:
+    """As ``by_class``; a word at the end that would announce a value after it stays, and none comes about."""
+    end = _ANNOUNCED.search(text)
+    body = text[: end.start()] if end else text
+    return by_class(body, feistel, tweak, back, lambda x: good(x) and (end is not None or _ANNOUNCED.search(x) is None)) + text[len(body) :]
+
+
+def _token(text: str, f: Feistel, back: bool) -> str | None:
+    at = _PREFIX.match(text).end()
+    return text[:at] + _by_class_before(text[at:], f, "token" + text[:at], back)
+
+
+def _secret(text: str, f: Feistel, back: bool) -> str | None:
+    return _by_class_before(text, f, "secret", back, lambda x: re.match(TOKENS, x) is None)  # else it would be found as a token
+
+
+_BY_KIND: dict[str, Callable[[str, Feistel, bool], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "email": _email, "token": _token, "secret": _secret}
 
 
 def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[str]]:
@@ -203,10 +238,11 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
     kinds: list[str] = []
 
     def one(match: re.Match) -> str:
-        fresh = _BY_KIND[match.lastgroup](match.group(), feistel, back)
+        kind = "phone" if match.lastgroup == "gap" else match.lastgroup
+        fresh = _BY_KIND[kind](match.group(), feistel, back)
         if fresh is None:
             return match.group()
-        kinds.append(match.lastgroup)
+        kinds.append("secret" if kind == "token" else kind)
         return fresh
 
     return FINDS.sub(one, text), kinds
