@@ -9,8 +9,9 @@ The shuffle holds a row a window; counting is combined before it, and the join t
 window back to its documents has one row on the other side, which adaptive execution splits.
 
 Defined results: null texts stay null with 0 lines; texts with fewer lines than a window keep them
-all; an empty text has one blank line; rows that share a doc_id are judged as one document; a null
-doc_id counts as the smallest; extra columns take no part; an empty table gives no rows.
+all; an empty text has one blank line; rows that share a doc_id are documents of their own, in order of their
+texts' digests, and of equal rows one is the first; a null doc_id counts as the smallest; extra columns take no
+part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import has_odd_ids, settle
+
 NO_ID = -(2**63)
 
 
@@ -39,7 +42,12 @@ def _held(value: Column) -> Column:
 def remove_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, a row a document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    first = F.coalesce("doc_id", F.lit(NO_ID))
+    if has_odd_ids(own):
+        rows = settle(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+        own = rows.select("doc_id", "text", F.struct(first.alias("own"), F.md5("text").alias("digest"), "row").alias("id"))
+    else:
+        own = own.withColumn("id", first)
     count = F.size("bare") - (lines - 1)
     bare = own.select("id", _held(F.transform(F.split("text", "\n"), _bare)).alias("bare")).filter(count > 0)
     keys = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: _window(lines, i))

@@ -12,10 +12,12 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in local tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
     return _FALLBACK[0]
@@ -44,10 +46,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def has_odd_ids(own: DataFrame) -> bool:
+    """Whether a doc_id is null or held by several rows."""
+    return not own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty()
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text) with distinct ids and, where the ids of ``docs`` are not such, (row, own): the id of each made key."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if own.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+    if not has_odd_ids(own):
         return own, None
     rows = settle(own.withColumn("row", F.monotonically_increasing_id()), "rows")
     return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", F.col("doc_id").alias("own"))
