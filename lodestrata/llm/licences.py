@@ -56,7 +56,6 @@ SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "s
 COPYRIGHT = r"^[^a-z0-9©\n]*(copyright|\(c\)|©)[^\n]*$"
 
 RIGHTS = "(?i)licen[cs]e|permission|software|rights|terms|CC"
-LONGEST = max(len(t) for _, t in KNOWN)
 
 # Usual title lines of short licences.
 TITLES = {
@@ -118,7 +117,7 @@ def _blocks(text: Column) -> Column:
     heads = _heads()
     start = rf"(?i)\n(?=[^a-zA-Z0-9\n]*{heads})"
     of = lambda parts, n: F.btrim(F.array_join(F.slice(parts, 1, n), "\n\n"), F.lit(" \t\r\n"))
-    fits = lambda t: F.contains(t, F.lit("\n")) & (F.length(t) <= 4 * LONGEST)
+    fits = lambda t: F.contains(t, F.lit("\n"))
     paragraphs = lambda piece: F.filter(F.split(piece, r"\n[^a-zA-Z0-9\n]*(?=\n)"), lambda p: p.rlike("[a-zA-Z0-9]"))
     runs = lambda parts: F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(PARAGRAPHS))), lambda n: of(parts, n))
     own = lambda piece: F.array_distinct(F.transform(F.filter(runs(paragraphs(piece)), fits), lambda t: F.md5(canonical(t))))
@@ -130,9 +129,8 @@ def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words alone, one spelling of each."""
     words = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT, " "), r"[^a-z0-9]+", " "))
     pattern = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
-    fixed = words
-    for old, new in SPELLINGS:
-        fixed = F.regexp_replace(fixed, rf"\b{old}\b", new)
+    one_way = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
+    fixed = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(F.element_at(one_way, w), w)), " ")
     return F.when(words.rlike(pattern), fixed).otherwise(words)
 
 
@@ -149,8 +147,8 @@ def scan(docs: DataFrame) -> DataFrame:
     full = F.broadcast(_digests(docs, KNOWN + _full()))
     whole = own.select("doc_id", F.md5(canonical(F.col("text"))).alias("digest")).join(full, "digest", "left")
     line = F.col("line")
-    # A line that is far longer than the longest known text, or says nothing of rights, can't equal one.
-    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter((F.length(line) <= 4 * LONGEST) & line.rlike(RIGHTS))
+    # A line that says nothing of rights can't equal a known text.
+    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(line.rlike(RIGHTS))
     single = lines.select("doc_id", F.md5(canonical(line)).alias("digest")).join(table, "digest")
     begun = own.filter(F.col("text").rlike("(?i)" + _heads()))
     several = begun.select("doc_id", F.explode(_blocks(F.col("text"))).alias("digest")).join(F.broadcast(_digests(docs, _short())), "digest")
@@ -176,7 +174,7 @@ WITH known AS (SELECT DISTINCT md5({_canonical_sql("t")}) AS digest, licence FRO
 whole AS (SELECT doc_id, md5({_canonical_sql("text")}) AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 held AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices
-  FROM (SELECT doc_id, md5({_canonical_sql("line")}) AS digest FROM lines WHERE length(line) <= {4 * LONGEST} AND regexp_matches(line, '{RIGHTS}')) JOIN known USING (digest) GROUP BY doc_id)
+  FROM (SELECT doc_id, md5({_canonical_sql("line")}) AS digest FROM lines WHERE regexp_matches(line, '{RIGHTS}')) JOIN known USING (digest) GROUP BY doc_id)
 SELECT w.doc_id, w.digest, k.licence, coalesce(h.n, 0)::BIGINT AS n_notices, coalesce(h.notices, '') AS notices
 FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN held h ON h.doc_id = w.doc_id
 """
