@@ -23,6 +23,7 @@ doc_id and text take no part.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -38,9 +39,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, settle
+from .shared import new_path, partitions, settle
 
 FRAME_BYTES = 1 << 18
+SHARD_BYTES = 1 << 28
 SKIPPABLE, SEEKABLE, TABLE_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX_MAGIC = 0x184D2A5D
 MANIFEST = "shard int, file string, docs long, tokens long, bytes long"
@@ -49,6 +51,19 @@ MOST_WORDS = 600_000
 #: Texts of these characters alone are normalised alike word by word and as a whole.
 _PLAIN = re.compile("[\x20-\x7e\n\r\t¡-¬®-įı-ɏ–—‘’“”…€]*")
 
+#: The steps of tokenizers that may be run word by word.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
 
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
@@ -56,7 +71,8 @@ class Encoder:
     A tokenizer whose normaliser lowers case and folds white space, and whose first step never joins
     text across white space, gives a text the ids of its words one after another. Words repeat, so
     each task keeps what it has encoded (up to MOST_WORDS entries; later words are encoded anew).
-    Texts with other characters or a special token's string go through the tokenizer whole.
+    Texts with other characters or a special token's string go through the tokenizer whole, and so do
+    all texts if the file's steps are not those of ``BY_WORD``.
     """
 
     def __init__(self, path: str):
@@ -71,6 +87,8 @@ class Encoder:
         self.byte = dict(zip(keep + rest, map(chr, keep + [256 + i for i in range(len(rest))]), strict=True))
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        own = json.loads(self.whole.to_str())
+        self.by_word = {k: own[k] for k in ("normalizer", "pre_tokenizer", "post_processor")} == BY_WORD and not own["model"].get("dropout")
 
     def piece(self, text: str) -> bytes:
         mapped = text if text.isascii() else "".join(self.byte[b] for b in text.encode())
@@ -87,7 +105,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
+        if not self.by_word or _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         known, word = self.known, self.word
         return b"".join([known.get(w) or word(w) for w in text.lower().split()])
@@ -211,6 +229,8 @@ def _write(folder: str, path: str, end_id: int) -> Callable:
         if writer is not None:
             writer.close()
             writer.out.close()
+            if fs.get_file_info(f"{at}/{name}").type != pafs.FileType.NotFound:
+                fs.delete_file(f"{at}/{name}")  # an earlier attempt's; not every store moves onto a file
             fs.move(draft, f"{at}/{name}")
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": name, "docs": docs, "tokens": writer.tokens, "bytes": writer.bytes}], schema=_SCHEMA)
 
@@ -221,11 +241,14 @@ _SCHEMA = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.i
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Writes all documents in ascending doc_id; gives the folder and its manifest, a row a shard."""
+    """Writes all documents in ascending doc_id; gives the folder and its manifest, a row a shard of about SHARD_BYTES of text."""
     folder = folder or new_path(docs.sparkSession, "tokens")
     fs, at = _open(folder)
     fs.create_dir(at, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return folder, settle(ordered.mapInArrow(_write(folder, tokenizer_path, end_id), MANIFEST), "manifest")
 
 
