@@ -163,6 +163,16 @@ def test_bitmap_bound_never_drops_a_link():
             assert jaccard_join.may_link(np.array(a.size), np.array(b.size), differ, 80)
 
 
+def test_line_dedup_of_null_and_repeated_ids(documents):
+    """Rows of one id are documents of their own; of two equal rows one loses what the other keeps."""
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (2, "k1\nk2\nk3\nk4"), (5, "u\nv\nw"), (5, "u\nv\nw"), (None, "u\nv\nw\nx"), (None, "q\nr\ns")]
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_lines(documents(rows)).collect()), key=repr)
+    want = [(1, 4, 0, "a\nb\nc\nd"), (2, 4, 4, ""), (2, 4, 0, "k1\nk2\nk3\nk4"), (5, 3, 3, ""), (5, 3, 3, ""), (None, 4, 0, "u\nv\nw\nx"), (None, 3, 0, "q\nr\ns")]
+    assert got == sorted(want, key=repr)
+    twice = sorted((r.n_removed, r.text) for r in line_dedup.remove_lines(documents([(5, "u\nv\nw"), (5, "u\nv\nw")])).collect())
+    assert twice == [(0, "u\nv\nw"), (3, "")]
+
+
 def test_line_dedup(documents):
     rows = [(3, "a\nb\nc\nd"), (1, "x\n a\nb \nc\ny"), (2, None), (4, ""), (5, "a\nb\nc\na\nb\nc"), (6, "\n\n\n\n"), (7, "q\nq\nq\nq\nq"), (8, "b\nc"), (9, "b\nc\nd")]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_lines(documents(rows)).collect()}
