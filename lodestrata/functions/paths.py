@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IGNORED_PARTS = [".git", "node_modules", "__pycache__", ".venv", "dist", "build"]
+#: Folders in which changes mean nothing.
+IGNORED_PARTS = [".git", "node_modules", "dist", "build", "target", ".venv", "venv", "__pycache__", ".next", ".mypy_cache", ".pytest_cache"]
 
 
 def module_name(path: Column) -> Column:
@@ -22,13 +23,13 @@ def is_doc(path: Column) -> Column:
 
 def is_relevant(path: Column) -> Column:
     """No part of the path is one that changes without meaning."""
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_PARTS)))
+    return ~F.arrays_overlap(F.split(F.translate(path, "\\", "/"), "/"), F.array(*map(F.lit, IGNORED_PARTS)))
 
 
 def normal_url(url: Column) -> Column:
-    """Lower case without scheme, user, closing slash and .git; ssh colons become slashes."""
-    out = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z+]+://", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"^[^@/]+@", ""), r"^([^/:]+):", "$1/")
+    """host/owner/name in lower case: scheme, user, closing slashes and .git go; colons are slashes, several one."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), r"^(https?|ssh)://", ""), r"^[^@/]+@", "")
+    out = F.regexp_replace(F.translate(out, ":", "/"), "/+", "/")
     return F.regexp_replace(F.regexp_replace(out, "/+$", ""), r"\.git$", "")
 
 

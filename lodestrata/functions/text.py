@@ -32,7 +32,7 @@ def record(**fields: Column) -> Column:
 
 def compact(payload: Column, drop_zero: bool = False) -> Column:
     """A map of strings without empty values and, if asked, without zeros and false."""
-    empty = ["", "[]", "{}", "null"] + (["0", "0.0", "false"] if drop_zero else [])
+    empty = [""] + (["0", "0.0", "false"] if drop_zero else [])
     return F.map_filter(payload, lambda k, v: v.isNotNull() & ~v.isin(empty))
 
 

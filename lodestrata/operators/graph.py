@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import settle
+
 #: The legal (source kind, edge kind, target kinds).
 EDGE_RULES = [
     ("File", "CONTAINS", "Module Class Function Method Constant Section"),
@@ -37,23 +37,67 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def reach(steps: DataFrame, seeds: DataFrame, depth: int, barred: DataFrame | None = None) -> DataFrame:
     """(node_id, depth) within ``depth`` steps of the seeds, seeds at 0; nodes in ``barred`` are not entered.
 
-    ``steps`` has here and there. Each round joins only the newest nodes and drops those met before; its
-    result is checkpointed in the session's shared folder, so the plan does not grow with depth.
+    ``steps`` has here and there, and is written once to the shared folder. Each round joins only the newest nodes,
+    drops those met before and is written too, so neither the plan nor the work of making steps grows with depth.
     """
     met = seeds.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long"))
-    if steps.sparkSession.sparkContext.getCheckpointDir() is None:
-        steps.sparkSession.sparkContext.setCheckpointDir(steps.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+    steps = settle(steps, "steps") if depth > 1 else steps
     newest = met
     for k in range(1, depth + 1):
-        found = newest.join(steps, newest["node_id"] == steps["here"]).select(F.col("there").alias("node_id")).distinct()
+        found = steps.join(newest.select(F.col("node_id").alias("here")), "here", "left_semi").select(F.col("there").alias("node_id")).distinct()
         found = found.join(met, "node_id", "left_anti")
         if barred is not None:
             found = found.join(barred.select("node_id"), "node_id", "left_anti")
-        newest = found.withColumn("depth", F.lit(k).cast("long")).checkpoint()
+        newest = settle(found.withColumn("depth", F.lit(k).cast("long")), "frontier")
         met = met.union(newest)
     return met
 
 
+#: What a caller can follow from a node, as (edge kind, way); ``all`` follows any edge.
+DIRECTIONS = {"callers": ("CALLS", "in"), "callees": ("CALLS", "out"), "imports": ("IMPORTS", "out"), "imported_by": ("IMPORTS", "in"), "inherits": ("INHERITS", "out"), "all": None}
+NEIGHBOURS, EDGES = 50, 200
+
+
+def explore(edges: DataFrame, seed: DataFrame, direction: str, depth: int) -> DataFrame:
+    """(node_id, distance, relation) by breadth-first search from the one node of ``seed``.
+
+    A node's relation is the edge that meets it first when nodes are taken in the order they were found, and edges of a
+    node by (other, kind, way). A node's place in that order is the list of ids on its way, which compares as text.
+    """
+    rule = DIRECTIONS[direction]
+    steps = both_ways(edges).filter((F.col("kind") == rule[0]) & (F.col("way") == rule[1])) if rule else both_ways(edges)
+    steps = settle(steps, "steps") if depth > 1 else steps
+    newest = seed.select("node_id", F.lit("").alias("place"), F.lit(0).cast("long").alias("distance"), F.lit("").alias("relation"))
+    met = newest
+    for k in range(1, depth + 1):
+        found = steps.join(newest.select(F.col("node_id").alias("here"), "place"), "here").groupBy(F.col("there").alias("node_id")).agg(F.min(F.struct("place", "kind", "way")).alias("first"))
+        found = found.join(met.select("node_id"), "node_id", "left_anti")
+        relation = F.concat("first.kind", F.when(F.col("first.way") == "out", " ->").otherwise(" <-"))
+        newest = settle(found.select("node_id", F.concat("first.place", F.lit("\0"), "node_id").alias("place"), F.lit(k).cast("long").alias("distance"), relation.alias("relation")), "frontier")
+        met = met.union(newest)
+    return met.filter("distance > 0").drop("place")
+
+
+def nearest(reached: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
+    """The first ``most`` by (distance, node_id), and whether there were more."""
+    kept = reached.orderBy("distance", "node_id").limit(most + 1)
+    order = Window.orderBy("distance", "node_id")  # over most + 1 rows
+    return kept.withColumn("n", F.row_number().over(order)).withColumn("truncated", F.max("n").over(Window.partitionBy(F.lit(1))) > most).filter(F.col("n") <= most).drop("n")
+
+
+def edges_among(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct edges with both ends in ``ids``."""
+    ends = [ids.select(F.col("node_id").alias(c)) for c in ("src_id", "dst_id")]
+    return edges.join(ends[0], "src_id", "left_semi").join(ends[1], "dst_id", "left_semi").select("src_id", "kind", "dst_id").distinct()
+
+
+def explored_edges(edges: DataFrame, seed: DataFrame, kept: DataFrame, most: int = EDGES) -> DataFrame:
+    """The first ``most`` edges among the seed and its kept neighbours, and whether there were more."""
+    found = edges_among(edges, seed.select("node_id").union(kept.select("node_id"))).orderBy("src_id", "kind", "dst_id").limit(most + 1)
+    order = Window.orderBy("src_id", "kind", "dst_id")
+    return found.withColumn("n", F.row_number().over(order)).withColumn("truncated", F.max("n").over(Window.partitionBy(F.lit(1))) > most).filter(F.col("n") <= most).drop("n")
+
+
 def neighbours(edges: DataFrame, start: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
     """Nodes within ``depth`` undirected steps, the start itself left out."""
     own = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
@@ -100,6 +144,11 @@ def validate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.withColumn("issue", issue).filter("issue is not null").select("src_id", "kind", "dst_id", "issue")
 
 
+def id_mismatches(nodes: DataFrame, units: DataFrame) -> DataFrame:
+    """Nodes, but External ones, whose unit has another id; ``units`` has node_id and unit_id."""
+    return nodes.filter("kind <> 'External'").join(units.select("node_id", "unit_id"), "node_id").filter("unit_id <> node_id").select("node_id", F.lit("id_mismatch").alias("issue"))
+
+
 def prefixes(qname: Column) -> Column:
     """Proper dotted prefixes, as (depth, prefix), from the name alone."""
     parts = F.split(qname, r"\.")

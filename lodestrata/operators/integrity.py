@@ -18,12 +18,17 @@ def vector_shifts(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(now, "id").select("id", F.round(1 - cosine(F.col("vector"), F.col("now")), 6).alias("shift"))
 
 
-def ranking_drift(ranks: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, distance, severity) of the sets that rank within k in columns a and b; an empty baseline has none."""
+def ranking_drift(ranks: DataFrame, key: str, item: str, k: int) -> DataFrame:
+    """(key, distance, severity, affected) of the sets that rank within k in columns a and b; an empty baseline has none.
+
+    ``affected`` are the first ten items, in order, that only one of the two has.
+    """
     in_a, in_b = F.col("a") <= k, F.col("b") <= k
-    sets = ranks.groupBy(key).agg(F.count_if(in_a).alias("base"), F.count_if(in_a & in_b).alias("both"), F.count_if(in_a | in_b).alias("either"))
+    near = ranks.filter(in_a | in_b)  # at most 2 * k rows a key
+    either = F.array_sort(F.collect_list(F.when(in_a != in_b, F.col(item))))
+    sets = near.groupBy(key).agg(F.count_if(in_a).alias("base"), F.count_if(in_a & in_b).alias("both"), F.count("*").alias("either"), F.slice(either, 1, 10).alias("affected"))
     distance = F.when(F.col("base") == 0, 0.0).otherwise(1 - F.col("both") / F.col("either"))
-    return sets.select(key, F.round(distance, 6).alias("distance")).withColumn("severity", severity(2 * F.col("distance")))
+    return sets.select(key, F.round(distance, 6).alias("distance"), "affected").withColumn("severity", severity(2 * F.col("distance")))
 
 
 def shard_divergence(edges: DataFrame, key: list[str], shards: int) -> DataFrame:
@@ -41,17 +46,70 @@ def store_consistency(stores: list[DataFrame]) -> DataFrame:
     return held.withColumn("flag", flag).groupBy("stores", "flag").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-def resolve_access(users: DataFrame, direct: DataFrame, team: DataFrame, privileged: list[str], capped: list[str]) -> DataFrame:
-    """(user_id, repo, access): the highest grant; privileged roles are admin, capped ones read only.
+def audit_records(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(entity_id, before_hash, after_hash, action) of keys whose ``sha`` differs; what is not there counts as 64 zeros."""
+    zero = F.lit("0" * 64)
+    both = before.withColumnRenamed("sha", "b").join(after.withColumnRenamed("sha", "a"), key, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    action = F.when(F.col("b").isNull(), "create").when(F.col("a").isNull(), "delete").otherwise("update")
+    return both.select(F.col(key).alias("entity_id"), F.coalesce("b", zero).alias("before_hash"), F.coalesce("a", zero).alias("after_hash"), action.alias("action"))
+
+
+def resolve_access(users: DataFrame, repos: DataFrame, direct: DataFrame, team: DataFrame, privileged: list[str], capped: list[str]) -> DataFrame:
+    """(user_id, repo, access): the highest grant within the user's organisation.
 
+    Privileged roles are admin on all of its repositories, granted or not; capped ones only read. Grants to other
+    organisations' repositories count for nothing. ``users`` has user_id, team, role and org, ``repos`` repo and org.
     Team grants are cut to one row a team and repository before they meet the members.
     """
     by_team = team.groupBy("team", "repo").agg(F.max("level").alias("level"))
-    mine = direct.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id", "repo").agg(F.max("level").alias("level"))
+    mine = direct.groupBy("user_id", "repo").agg(F.max("level").alias("level"))
     grants = mine.unionByName(users.select("user_id", "team").join(by_team, "team").select("user_id", "repo", "level"))
-    held = grants.groupBy("user_id", "repo").agg(F.max("level").alias("level")).join(users.select("user_id", "role"), "user_id")
-    level = F.when(F.col("role").isin(privileged), 3).when(F.col("role").isin(capped), 1).otherwise(F.col("level"))
-    return held.select("user_id", "repo", F.element_at(F.array(*map(F.lit, LEVELS)), level).alias("access"))
+    own = users.filter(~F.col("role").isin(privileged)).select("user_id", "role", "org")
+    held = grants.groupBy("user_id", "repo").agg(F.max("level").alias("level")).join(own, "user_id").join(repos, ["repo", "org"])
+    level = F.when(F.col("role").isin(capped), 1).otherwise(F.col("level"))
+    granted = held.select("user_id", "repo", F.element_at(F.array(*map(F.lit, LEVELS)), level).alias("access"))
+    everything = users.filter(F.col("role").isin(privileged)).select("user_id", "org").join(repos, "org").select("user_id", "repo", F.lit("admin").alias("access"))
+    return granted.union(everything)
+
+
+def first_decision(policies: list[tuple[int, str, Column]], before: Column | None = None) -> Column:
+    """(allowed, policy, trace): policies by (priority, name), each ALLOW, DENY or NEUTRAL, until the first that decides; none allows.
+
+    ``before`` is a check that, if it denies, decides alone (its name is tenant_ownership).
+    """
+    ordered = sorted(policies, key=lambda p: p[:2])
+    allowed, name, trace = F.lit(True), F.lit(None).cast("string"), F.lit("")
+    for _, policy, effect in reversed(ordered):
+        neutral = effect == "NEUTRAL"
+        allowed = F.when(neutral, allowed).otherwise(effect == "ALLOW")
+        name = F.when(neutral, name).otherwise(F.lit(policy))
+        trace = F.concat(F.lit(f",{policy}="), F.lower(effect), F.when(neutral, trace).otherwise(F.lit("")))
+    if before is None:
+        return F.struct(allowed.alias("allowed"), name.alias("policy"), F.substring(trace, 2, 2**31 - 1).alias("trace"))
+    own = "tenant_ownership"
+    return F.struct(
+        (before & allowed).alias("allowed"), F.when(before, name).otherwise(F.lit(own)).alias("policy"), F.when(before, F.concat(F.lit(f"{own}=allow"), trace)).otherwise(F.lit(f"{own}=deny")).alias("trace")
+    )
+
+
+def deny_external_retrieval(action: Column, kind: Column) -> Column:
+    return F.when((action == "retrieve") & (F.lower(kind) == "external"), "DENY").otherwise("NEUTRAL")
+
+
+def restrict_tool_by_role(action: Column, role: Column, tool: Column, allowed: dict[str, list[str]]) -> Column:
+    """Tools under the role ``*`` are for all; other roles and tools that are not named are denied."""
+    fits = tool.isin(allowed.get("*", []))
+    for name, tools in allowed.items():
+        fits = fits | ((role == name) & tool.isin(tools))
+    return F.when(action != "mcp_tool", "NEUTRAL").when(F.coalesce(fits, F.lit(False)), "ALLOW").otherwise("DENY")
+
+
+def limit_ingest(action: Column, size: Column, most: int) -> Column:
+    return F.when((action == "ingest") & (size > most), "DENY").otherwise("NEUTRAL")
+
+
+def enforce_retention(age_days: Column, most: int) -> Column:
+    return F.when(age_days > most, "DENY").otherwise("NEUTRAL")
 
 
 def first_match(rules: list[tuple[str, Column]], default: str) -> Column:

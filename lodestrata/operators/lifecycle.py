@@ -39,8 +39,8 @@ def relevance(nodes: DataFrame, stats: DataFrame, in_degree: DataFrame, now: str
 
 
 def decay(scored: DataFrame, stale_days: float = 30, central: float = 0.2, relevant: float = 0.3) -> DataFrame:
-    """PROMOTE first, then DOWNGRADE, else NO_OP; a status table is derived from the id's hash here."""
-    low = F.ascii(F.substring(F.sha2("entity_id", 256), 1, 1)) % 7 == 0
+    """PROMOTE first, then DOWNGRADE, else NO_OP; ``status`` is active (or null) or low_priority_index."""
+    low = F.coalesce(F.col("status") == "low_priority_index", F.lit(False))
     stale = F.col("age_days").isNull() | (F.col("age_days") > stale_days)
     action = F.when(low & (F.col("score") >= relevant), "PROMOTE").when(~low & stale & (F.col("centrality") < central) & (F.col("score") < relevant), "DOWNGRADE").otherwise("NO_OP")
     return scored.withColumn("action", action)

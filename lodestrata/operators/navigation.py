@@ -37,15 +37,20 @@ def longest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return met.groupBy("path").agg(F.max_by("repo_id", F.struct(F.length("root"), "repo_id")).alias("repo_id"))
 
 
-def suggestions(units: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """(asked, qualified_name): names that end in the asked one's whole text; if none, in its last dotted part."""
-    tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda i: F.array_join(F.slice(F.split(c, r"\."), i, F.size(F.split(c, r"\."))), "."))
-    held = units.select("qualified_name", F.explode(tails(F.col("qualified_name"))).alias("tail"))
-    whole = asked.join(held, F.col("asked") == F.col("tail")).select("asked", "qualified_name")
-    last = asked.join(whole.select("asked").distinct(), "asked", "left_anti").withColumn("part", F.substring_index("asked", ".", -1))
-    found = whole.union(last.join(held, F.col("part") == F.col("tail")).select("asked", "qualified_name"))
-    order = Window.partitionBy("asked").orderBy(F.length("qualified_name"), "qualified_name")
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+def suggestions(units: DataFrame, asked: list[str], k: int = 5) -> DataFrame:
+    """(asked, qualified_name): names that hold a stated name's whole text, whatever its case; if none does, its last dotted part.
+
+    Each name is held against the stated few as it is read: no join, and nothing is made of names that fit none.
+    """
+    names = F.array(*map(F.lit, asked)).cast("array<string>")
+    part = lambda a: F.substring_index(a, ".", -1)
+    fits = lambda a: F.contains(F.lower("qualified_name"), F.lower(a))
+    near = F.filter(names, lambda a: (part(a) != "") & fits(part(a)))  # the whole text fits only where its last part does
+    met = units.select("qualified_name", F.explode(near).alias("asked")).withColumn("whole", fits(F.col("asked")))
+    order = Window.partitionBy("asked").orderBy(F.desc("whole"), F.length("qualified_name"), "qualified_name")
+    first = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+    best = first.filter("n = 1").select("asked", F.col("whole").alias("any_whole"))
+    return first.join(best, "asked").filter("whole = any_whole").select("asked", "qualified_name")
 
 
 def best_by_id(entries: DataFrame, key: str, score: str, order: str) -> DataFrame:

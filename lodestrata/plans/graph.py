@@ -53,14 +53,15 @@ INNER = "SELECT node_id FROM nodes WHERE kind IN ('Module', 'Class', 'Method')"
 def edges_among(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with both ends in a set of nodes: two semi-joins."""
     ids = nodes(spark, sf_dir).filter("kind in ('Module', 'Class', 'Method')").select("node_id")
-    return edges(spark, sf_dir).join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi").select("src_id", "kind", "dst_id").distinct()
+    return graph.edges_among(edges(spark, sf_dir), ids)
 
 
-@query(sql("ids AS (SELECT node_id FROM nodes WHERE kind <> 'External' ORDER BY node_id LIMIT 500) SELECT DISTINCT src_id, kind, dst_id FROM edges WHERE src_id IN (SELECT node_id FROM ids) AND dst_id IN (SELECT node_id FROM ids)", *G))
+@query(sql("ids AS (SELECT node_id FROM nodes WHERE repo_id = 'r1' AND kind <> 'External' ORDER BY node_id LIMIT 20000) SELECT DISTINCT src_id, kind, dst_id, (SELECT count(*) >= 20000 FROM ids) AS truncated FROM edges WHERE src_id IN (SELECT node_id FROM ids) AND dst_id IN (SELECT node_id FROM ids)", *G))
 def repo_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot's first nodes in order, and the edges among them."""
-    ids = nodes(spark, sf_dir).filter("kind <> 'External'").select("node_id").orderBy("node_id").limit(500)
-    return edges(spark, sf_dir).join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi").select("src_id", "kind", "dst_id").distinct()
+    """The edges among a repository's first nodes in order, up to the most that a request may have."""
+    ids = nodes(spark, sf_dir).filter("repo_id = 'r1' and kind <> 'External'").select("node_id").orderBy("node_id").limit(20_000)
+    full = F.broadcast(ids.agg((F.count("*") >= 20_000).alias("truncated")))  # one row
+    return graph.edges_among(edges(spark, sf_dir), ids).join(full)
 
 
 @query(

@@ -37,18 +37,29 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_targets"), F.min("href").alias("first_link"))
 
 
-@query(sql("SELECT doc_id, NOT (list_has_any(string_split(file_path, '/'), ['.git', 'node_modules', '__pycache__', '.venv', 'dist', 'build'])) AS relevant, regexp_matches(lower(file_path), '\\.(md|rst|txt)$') AS is_doc, regexp_matches(unit_id, '^[0-9a-f]{64}$') AS is_id FROM units", "units"))
+PATHS = "['src/', 'a/target/', '.next/', 'venv/x/', 'targets/', 'a/.mypy_cache/b/', 'node_modules/', 'docs/'][doc_id % 8 + 1] || doc_id || ['.md', '.RST', '.py', '.txt', ''][doc_id % 5 + 1]"
+
+
+@query(
+    sql(f"""p AS (SELECT doc_id, {PATHS} AS path, CASE WHEN doc_id % 3 = 0 THEN upper(unit_id) WHEN doc_id % 3 = 1 THEN unit_id ELSE substr(unit_id, 2) END AS id FROM units)
+      SELECT doc_id, NOT regexp_matches('/' || path, '/(\\.git|node_modules|dist|build|target|\\.venv|venv|__pycache__|\\.next|\\.mypy_cache|\\.pytest_cache)/') AS relevant, regexp_matches(lower(path), '\\.(md|rst|txt)$') AS is_doc, regexp_matches(id, '^[0-9a-f]{{64}}$') AS is_id FROM p""", "units")
+)
 def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many paths matter, are documents, and which ids are well formed."""
     from ..functions.identity import is_unit_id
 
-    return units(spark, sf_dir).select("doc_id", paths.is_relevant(F.col("file_path")).alias("relevant"), paths.is_doc(F.col("file_path")).alias("is_doc"), is_unit_id(F.col("unit_id")).alias("is_id"))
+    folder = F.element_at(F.array(*map(F.lit, ["src/", "a/target/", ".next/", "venv/x/", "targets/", "a/.mypy_cache/b/", "node_modules/", "docs/"])), (F.col("doc_id") % 8 + 1).cast("int"))
+    suffix = F.element_at(F.array(*map(F.lit, [".md", ".RST", ".py", ".txt", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(folder, F.col("doc_id").cast("string"), suffix)
+    own = F.when(F.col("doc_id") % 3 == 0, F.upper("unit_id")).when(F.col("doc_id") % 3 == 1, F.col("unit_id")).otherwise(F.substring("unit_id", 2, 64))
+    return units(spark, sf_dir).select("doc_id", paths.is_relevant(path).alias("relevant"), paths.is_doc(path).alias("is_doc"), is_unit_id(own).alias("is_id"))
 
 
 @query()
 def embed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic vector for the first chunk of each unit."""
     u = units(spark, sf_dir)
-    text = F.concat("qualified_name", F.lit(" ("), "kind", F.lit(")\n"), "signature", F.lit("\n"), F.substring("content", 1, 1600))
+    text = F.concat("qualified_name", F.lit(" ("), "kind", F.lit(")\n"), F.coalesce("signature", F.lit("")), F.lit("\n"), F.substring(F.coalesce("content", F.lit("")), 1, 1600))
     return u.select("unit_id", embed(text, 16).alias("vector"))
 
 
@@ -62,3 +73,15 @@ def vector_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("at"))
     return store.last_wins(rows, ["key"], "at").select("key", "l_suppkey")
+
+
+@query(sql("SELECT repo_id, count(*)::BIGINT AS n_vectors, count(*) FILTER (fresh)::BIGINT AS n_fresh FROM (SELECT repo_id, repo_id = 'fr' AS fresh, content, doc_id FROM code) WHERE CASE WHEN fresh THEN trim(content) <> '' ELSE doc_id % 6 <> 4 END GROUP BY 1", "code"))
+def reindexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by repository after one repository is embedded anew (its vectors have another length here)."""
+    from ..sources.ingest import reindex
+    from ..tables import code_units
+
+    u = code_units(spark, sf_dir)
+    stored = u.filter("doc_id % 6 <> 4").select("unit_id", "repo_id", embed(F.col("qualified_name"), 16).alias("vector"))
+    now = reindex(stored, u, "fr", 32)
+    return now.groupBy("repo_id").agg(F.count("*").alias("n_vectors"), F.count_if(F.size("vector") == 32).alias("n_fresh"))

@@ -18,6 +18,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.relevance(n, stats, graph.in_degree(n, edges(spark, sf_dir)), NOW)
 
 
+def _with_status(scored: DataFrame) -> DataFrame:
+    """A status for each entity, as the tables have none: low for those whose id's digest says so."""
+    low = F.ascii(F.substring(F.sha2("entity_id", 256), 1, 1)) % 7 == 0
+    return scored.withColumn("status", F.when(low, "low_priority_index").otherwise("active"))
+
+
 @query(sql("SELECT entity_id, usage_count, last_us FROM usage_stats", "usage_stats"))
 def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.usage_stats(usage(spark, sf_dir)).select("entity_id", "usage_count", "last_us")
@@ -39,13 +45,13 @@ DECAY = """low AS (SELECT *, hash_low AS is_low FROM (SELECT *, ascii(substr(sha
 
 @query(sql(DECAY.format(days=30) + " SELECT * FROM d", "relevance"))
 def decay_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.decay(_scored(spark, sf_dir), stale_days=30).select("entity_id", "score", "action")
+    return lifecycle.decay(_with_status(_scored(spark, sf_dir)), stale_days=30).select("entity_id", "score", "action")
 
 
 @query(sql(DECAY.format(days=7) + " SELECT action, count(*)::BIGINT AS n FROM d WHERE action <> 'NO_OP' GROUP BY action", "relevance"))
 def decay_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What applying a plan would write: its rows without NO_OP, by action, at a shorter age."""
-    return lifecycle.decay(_scored(spark, sf_dir), stale_days=7).filter("action <> 'NO_OP'").groupBy("action").agg(F.count("*").alias("n"))
+    return lifecycle.decay(_with_status(_scored(spark, sf_dir)), stale_days=7).filter("action <> 'NO_OP'").groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -46,8 +46,8 @@ def throughput_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
 def throughput_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the last hour up to the newest, and their rate."""
     e = usage(spark, sf_dir)
-    newest = e.agg(F.max("at_us").alias("now_us")).first()["now_us"] or 0
-    return e.filter(F.col("at_us") >= newest - 3_600_000_000).groupBy("event_type", "shard").agg(F.count("*").alias("n"), F.round(F.count("*") / 3600.0, 6).alias("per_second"))
+    newest = F.broadcast(e.agg(F.max("at_us").alias("now_us")))  # one row
+    return e.join(newest, F.col("at_us") >= F.col("now_us") - 3_600_000_000).groupBy("event_type", "shard").agg(F.count("*").alias("n"), F.round(F.count("*") / 3600.0, 6).alias("per_second"))
 
 
 @query(
@@ -65,12 +65,12 @@ def zscore_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql("""h AS (SELECT shard, max(p99) AS p99, bool_or(down) AS down FROM (SELECT shard, quantile_cont(value, 0.99) AS p99, count(*) FILTER (event_type = 'error') * 2 > count(*) AS down FROM usage GROUP BY shard, event_type) GROUP BY shard)
+    sql(LAST + """, h AS (SELECT shard, max(p99) AS p99, bool_or(down) AS down FROM (SELECT shard, quantile_cont(value, 0.99) AS p99, count(*) FILTER (event_type = 'error') * 2 > count(*) AS down FROM l WHERE n <= 256 GROUP BY shard, event_type) GROUP BY shard)
       SELECT shard, CASE WHEN down THEN 'FAILED' WHEN p99 > 1500 THEN 'DEGRADED' ELSE 'OK' END AS health FROM h""", "usage")
 )
 def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FAILED if any part is down (here: mostly errors), DEGRADED if any p99 is over 1,500, else OK."""
-    parts = usage(spark, sf_dir).groupBy("shard", "event_type").agg(F.percentile("value", F.lit(0.99)).alias("p99"), (F.count_if(F.col("event_type") == "error") * 2 > F.count("*")).alias("down"))
+    parts = last_n(usage(spark, sf_dir)).groupBy("shard", "event_type").agg(F.percentile("value", F.lit(0.99)).alias("p99"), (F.count_if(F.col("event_type") == "error") * 2 > F.count("*")).alias("down"))
     return parts.groupBy("shard").agg(F.when(F.bool_or("down"), "FAILED").when(F.max("p99") > 1500, "DEGRADED").otherwise("OK").alias("health"))
 
 
@@ -130,14 +130,25 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.audit_chain(usage(spark, sf_dir))
 
 
-@query(sql("SELECT user_id, count(*)::BIGINT AS n_entries, 0::BIGINT AS n_broken FROM usage GROUP BY user_id", "usage"))
+def tampered_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with some payloads altered and some links cut after it was made."""
+    event = F.get_json_object("payload", "$.event").cast("long")
+    chain = sequential.audit_chain(usage(spark, sf_dir)).withColumn("event", event)
+    cut = F.when(F.col("event") % 89 == 7, F.lit(sequential.ZERO[:-1] + "1")).otherwise(F.col("prev_hash"))
+    return chain.withColumn("payload", F.when(F.col("event") % 97 == 5, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))).withColumn("prev_hash", cut).drop("event")
+
+
+@query(sql("SELECT user_id, count(*)::BIGINT AS n_entries, count(*) FILTER (event_id % 97 = 5 OR event_id % 89 = 7)::BIGINT AS n_broken FROM usage GROUP BY user_id", "usage"))
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.verify_chain(sequential.audit_chain(usage(spark, sf_dir)))
+    """Entries of each user's chain, and those that were tampered with."""
+    return sequential.verify_chain(tampered_chain(spark, sf_dir))
 
 
-@query(sql("SELECT event_id, user_id FROM usage ORDER BY at_us DESC, event_id DESC LIMIT 50", "usage"))
+@query(sql("t AS (SELECT event_id, user_id, at_us FROM usage ORDER BY at_us DESC, event_id DESC LIMIT 50) SELECT row_number() OVER (ORDER BY at_us, event_id)::BIGINT AS seq, event_id, user_id FROM t", "usage"))
 def audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage(spark, sf_dir).orderBy(F.desc("at_us"), F.desc("event_id")).limit(50).select("event_id", "user_id")
+    """The last fifty entries, oldest first."""
+    last = usage(spark, sf_dir).orderBy(F.desc("at_us"), F.desc("event_id")).limit(50)
+    return last.select(F.row_number().over(Window.orderBy("at_us", "event_id")).cast("long").alias("seq"), "event_id", "user_id")
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS n_turns, count(*) FILTER (role = 'user')::BIGINT AS n_user, sum(length(text))::BIGINT AS n_chars, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import query
+from ..functions.paths import normal_url
+from ..shared import new_path, settle
 from ..streaming import rolling
+from .navigation import RAW_URL, REGISTRY, normal_url_sql, raw_url, registry
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _place(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,3 +61,33 @@ def stream_last_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and last access kept as state by user, with a time to live that each event renews."""
     found = _run(spark, rolling.last_access(_stream(spark, sf_dir)), "append")
     return found.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_us").alias("last_us"))
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*)::BIGINT AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2")
+def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each day and type, as a stream."""
+    found = _run(spark, rolling.latency(_stream(spark, sf_dir), late="40 days"), "complete")
+    return found.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", "least", "most")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, merged by key batch by batch; every event is delivered twice."""
+    place = _place(spark)
+    stream = _stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    rolling.drain(stream.union(stream), rolling.keyed_merge(f"{place}/rows", ["user_id"], "event_id"), f"{place}/state")
+    versions = spark.read.parquet(f"{place}/rows")
+    newest = F.broadcast(versions.agg(F.max("version").alias("version")))  # one row
+    return versions.join(newest, "version").select("user_id", "event_id", "event_type")
+
+
+@query(
+    "WITH " + REGISTRY + f""", p AS (SELECT page_id, split_part({normal_url_sql(RAW_URL)}, '/', 1) AS host, 'b' || (page_id % 4) AS branch FROM pages)
+      SELECT page_id, CASE WHEN source_type = 'managed' THEN host END AS repo_id, CASE WHEN source_type IS NULL OR source_type <> 'managed' THEN 'unmatched' WHEN r.branch <> p.branch THEN 'skipped' ELSE 'triggered' END AS state FROM p LEFT JOIN registry r ON r.repo_id = p.host AND r.source_type = 'managed'"""
+)
+def stream_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushes (pages) as a stream against the registry: which start a sync."""
+    pages = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(sf_dir.rstrip("/"))
+    host = F.split_part(normal_url(raw_url()), F.lit("/"), F.lit(1))
+    pushed = pages.select("page_id", host.alias("host"), F.concat(F.lit("b"), (F.col("page_id") % 4).cast("string")).alias("branch"))
+    return _run(spark, rolling.pushes(pushed, settle(registry(spark, sf_dir), "registry")), "append")

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 LANGUAGES = {
     "python": "py", "javascript": "js jsx mjs cjs", "typescript": "ts tsx", "csharp": "cs", "go": "go", "java": "java", "rust": "rs", "markdown": "md rst", "text": "txt",
 }
-IGNORED = [".git/", "node_modules/", "__pycache__/", ".venv/", "venv/", "dist/", "build/", ".idea/", ".mypy_cache/", ".pytest_cache/"]
+#: What is left out without any rule.
+IGNORED = [
+    ".git/", ".hg/", ".svn/", ".venv/", "venv/", "env/", "__pycache__/", ".pytest_cache/", ".mypy_cache/", ".ruff_cache/", "node_modules/", "dist/", "build/",
+    "*.egg-info/", ".tox/", ".idea/", ".vscode/", ".claude/", ".codex/", ".gemini/", ".cursor/", ".github/", ".planning/",
+]
 
 
 def language(path: Column) -> Column:

@@ -23,6 +23,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return reconcile(old, new, key, digest).drop("state")
 
 
+def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The new units with ``changed``: new or of another digest, or in a file that lost a unit, whose rows are all written anew."""
+    lost = old.select("unit_id", "repo_id", "file_path").join(new.select("unit_id"), "unit_id", "left_anti").select("repo_id", "file_path").distinct().withColumn("lost", F.lit(True))
+    before = old.select("unit_id", F.col("source_sha").alias("before"))
+    held = new.join(before, "unit_id", "left").join(lost, ["repo_id", "file_path"], "left")
+    return held.withColumn("changed", F.coalesce("lost", F.lit(False)) | F.col("before").isNull() | (F.col("before") != F.col("source_sha"))).drop("lost", "before")
+
+
 def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """One row a key, the last by ``order``."""
     rest = [c for c in rows.columns if c not in key]
@@ -39,3 +47,22 @@ def with_placeholders(points: DataFrame, dim: int) -> DataFrame:
 def delete_files(table: DataFrame, files: DataFrame) -> DataFrame:
     """Rows whose (repo_id, file_path) is not among ``files``."""
     return table.join(files.select("repo_id", "file_path"), ["repo_id", "file_path"], "left_anti")
+
+
+def registry_state(writes: DataFrame) -> DataFrame:
+    """The registry after all ``writes`` (at, repo_id, op, path, url, branch, sha, message) in order of ``at``, a row a repository.
+
+    ``local`` and ``managed`` make a repository or change it; ``synced``, ``change`` and ``error`` count only from then on.
+    What turned managed stays so; each column keeps its last write, and an error goes with the next sync.
+    """
+    born = writes.filter(F.col("op").isin("local", "managed")).groupBy("repo_id").agg(F.min("at").alias("created_at"))
+    live = writes.join(born, "repo_id").filter(F.col("at") >= F.col("created_at"))
+    op = F.col("op")
+    last = lambda value, *ops: F.max_by(F.when(op.isin(*ops), F.struct(F.col(value).alias("x"))), F.when(op.isin(*ops), F.col("at")))["x"]
+    kept = ("local", "managed", "synced")
+    failed = F.max(F.when(op == "error", F.col("at"))) > F.coalesce(F.max(F.when(op.isin(*kept), F.col("at"))), F.lit(-(2**62)))
+    return live.groupBy("repo_id").agg(
+        F.when(F.bool_or(op == "managed"), "managed").otherwise("local").alias("source_type"), last("path", "local", "managed").alias("repo_path"), last("url", "managed").alias("remote_url"), last("branch", "managed").alias("branch"),
+        last("sha", *kept).alias("last_commit_sha"), F.max(F.when(op.isin(*kept), F.col("at"))).alias("last_synced_at"), F.max(F.when(op == "change", F.col("at"))).alias("last_change_at"),
+        F.when(failed, last("message", "error")).alias("last_error"), F.min("created_at").alias("created_at"), F.max("at").alias("updated_at"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.identity import unit_id
+from .functions.paths import first_paragraph
 
 KINDS = ["module", "class", "function", "method", "constant", "section"]
 NOW = "2024-01-31 00:00:00"
@@ -35,7 +36,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(".", "source", "lang", name).alias("qualified_name"),
         F.concat_ws(".", "source", "lang").alias("parent_qualified_name"),
         F.col("text").alias("content"),
-        F.substring("text", 1, 200).alias("docstring"),
+        first_paragraph(F.col("text")).alias("docstring"),
         F.concat(name, F.lit("("), F.col("lang"), F.lit(")")).alias("signature"),
         F.sha2("text", 256).alias("source_sha"),
         (F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("doc_id") * 60).alias("updated_s"),
@@ -44,6 +45,33 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the units of source files: twelve ids a file and language, with names, parents and references.
+
+    Files whose first document has another language have no module; names with a leading underscore are private.
+    """
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    file, place = "cast(floor(doc_id / 12) as bigint)", "doc_id % 12"
+    leaf = lambda at: f"(case when ({at}) % 5 = 0 then '_d' else 'd' end || cast({at} as string))"
+    module = lambda at: f"('src.f' || cast({at} as string))"
+    own = f"case when {place} = 0 then 'f' || cast({file} as string) else {leaf('doc_id')} end"
+    parent = f"""case when {place} = 0 then null when {place} between 6 and 8 then {module(file)} || '.' || {leaf(f"{file} * 12 + 1")}
+        when {place} = 10 then {module(file)} || '.' || {leaf(f"{file} * 12 + 2")} else {module(file)} end"""
+    near = lambda k: leaf(f"{file} * 12 + {k}")
+    refs = lambda holds, *items: F.expr(f"case when {place} {holds} then array({', '.join(items)}) else cast(array() as array<string>) end")
+    kinds = "module class class function function function method method method constant constant section".split()
+    named = d.select(
+        "doc_id", F.col("lang").alias("repo_id"), F.expr(f"'src/f' || cast({file} as string) || '.py'").alias("file_path"), F.element_at(F.array(*map(F.lit, kinds)), F.expr(f"cast({place} + 1 as int)")).alias("kind"),
+        F.expr(own).alias("name"), F.expr(parent).alias("parent_qualified_name"), F.col("text").alias("content"), F.sha2("text", 256).alias("source_sha"), (F.col("doc_id") % 12 * 10 + 1).alias("line_start"),
+        refs("in (0, 11)", module(f"({file} + 1)"), "'sys'", module(file)).alias("imports"),
+        refs("between 3 and 8", near(3), near(9), f"{module(f'({file} + 1)')} || '.' || {near(16)}", "'print'").alias("calls"),
+        refs("in (1, 2)", near(2), f"{module(f'({file} + 1)')} || '.' || {near(13)}", "'object'").alias("bases"),
+    )
+    qname = F.when(F.col("kind") == "module", F.expr(module(file))).otherwise(F.concat_ws(".", "parent_qualified_name", "name"))
+    named = named.withColumn("qualified_name", qname)
+    return named.withColumn("unit_id", unit_id(F.col("repo_id"), F.col("file_path"), F.col("qualified_name")))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions are files, nations modules, suppliers classes, customers functions, parts methods or external."""
     text = lambda c: F.col(c).cast("string")

@@ -12,7 +12,6 @@ from .operators import graph, navigation, search
 
 #: The ranges that requests may use.
 MOST = {"top_k": 200, "limit": 100, "depth": 5, "nodes": 20_000}
-DIRECTIONS = {"callers": ("CALLS", "in"), "callees": ("CALLS", "out"), "imports": ("IMPORTS", "out"), "imported_by": ("IMPORTS", "in"), "inherits": ("INHERITS", "out"), "defines": ("DEFINES", "out")}
 
 
 def within(name: str, value: int) -> int:
@@ -54,16 +53,25 @@ class Tools:
         return self.units.filter((F.col("repo_id") == repo_id) & (F.col("file_path") == path)).orderBy("line_start", "qualified_name")
 
     def suggest(self, name: str) -> DataFrame:
-        asked = self.units.sparkSession.createDataFrame([(name,)], "asked string")
-        return navigation.suggestions(self.units, asked)
+        return navigation.suggestions(self.units, [name])
 
-    def explore(self, qualified_name: str, direction: str = "callees", depth: int = 1) -> DataFrame:
-        """Nodes one kind of edge leads to, with their rows."""
-        if direction not in DIRECTIONS:
-            raise ValueError(f"direction must be one of {sorted(DIRECTIONS)}")
+    def explore(self, qualified_name: str, direction: str = "all", depth: int = 1) -> DataFrame:
+        """The nearest nodes that a direction leads to: distance, relation, their rows, and whether there were more."""
+        if direction not in graph.DIRECTIONS:
+            raise ValueError(f"direction must be one of {sorted(graph.DIRECTIONS)}")
         start = self.nodes.filter(F.col("qualified_name") == qualified_name).select("node_id")
-        met = graph.directed(self.edges, start, *DIRECTIONS[direction], within("depth", depth))
-        return met.join(self.nodes, "node_id").orderBy("depth", "qualified_name")
+        kept = graph.nearest(graph.explore(self.edges, start, direction, within("depth", depth)))
+        return kept.join(self.nodes, "node_id").orderBy("distance", "qualified_name")
+
+    def explore_edges(self, qualified_name: str, direction: str = "all", depth: int = 1) -> DataFrame:
+        """The edges among what ``explore`` keeps and its start."""
+        start = self.nodes.filter(F.col("qualified_name") == qualified_name).select("node_id")
+        kept = graph.nearest(graph.explore(self.edges, start, direction, within("depth", depth)))
+        return graph.explored_edges(self.edges, start, kept)
+
+    def parents(self, unit_id: str) -> DataFrame:
+        """A unit's parents, innermost first."""
+        return navigation.parent_chain(self.units.filter(F.col("unit_id") == unit_id), self.units).orderBy("hop")
 
     def risks(self, qualified_name: str) -> DataFrame:
         """External nodes one step away."""

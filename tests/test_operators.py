@@ -6,9 +6,9 @@ from collections import OrderedDict
 
 import pytest
 from lodestrata.functions import paths, scoring, text
-from lodestrata.functions.embedding import vector
-from lodestrata.operators import graph, navigation, search, sequential
-from lodestrata.sources import audit, parsers, repository, store
+from lodestrata.functions.embedding import embed, vector
+from lodestrata.operators import graph, integrity, navigation, search, sequential
+from lodestrata.sources import audit, ingest, parsers, repository, store
 from lodestrata.streaming import rolling
 from pyspark.sql import functions as F
 
@@ -195,6 +195,78 @@ def test_walk_parse_and_resolve(spark, tmp_path):
     assert edges == {("pkg.a", "IMPORTS", "pkg.b"), ("pkg.a.f", "CALLS", "pkg.a.g"), ("pkg.a.f", "CALLS", "pkg.b.h"), ("pkg.a.f", "CALLS", "external:print")}
 
 
+def test_ingest_a_repository(spark, tmp_path):
+    """Walk, parse, graph and vectors in one run, then a second run in which a file lost a unit and another changed."""
+    (tmp_path / "pkg").mkdir()
+    write = lambda name, content: (tmp_path / name).write_text(content)
+    write("pkg/a.py", "import pkg.b\nimport os\nclass A(Base):\n    def f(self):\n        g()\n        pkg.b.h()\ndef g(): pass\nLIMIT = 3\n")
+    write("pkg/b.py", "def h(): pass\ndef k(): pass\n")
+    write("pkg/c.py", "def z(): pass\n")
+    write("bad.py", "def (\n")
+    run = lambda stored=None: ingest.ingest(repository.walk(spark, f"file://{tmp_path}", "r"), stored)
+    first = run()
+    names = {r.node_id: r.qualified_name for r in first.nodes.collect()}
+    edges = {(names[r.src_id], r.kind, names[r.dst_id]) for r in first.edges.collect()}
+    assert edges >= {("pkg.a", "IMPORTS", "pkg.b"), ("pkg.a", "IMPORTS", "os"), ("pkg.a", "DEFINES", "pkg.a.A"), ("pkg.a.A", "DEFINES", "pkg.a.A.f"), ("pkg.a.A.f", "CALLS", "pkg.a.g"), ("pkg.a.A.f", "CALLS", "pkg.b.h"), ("pkg.a.A", "INHERITS", "Base"), ("pkg/a.py", "CONTAINS", "pkg.a.g")}
+    assert not graph.validate(first.edges, first.nodes).count()
+    counted = first.counters()
+    assert counted["files_walked"] == 4 and counted["files_failed"] == 1 and counted["units_emitted"] == counted["units_changed"] == counted["units_embedded"] == first.units.count() == 10
+    assert counted["edges_written"] == len(edges) and counted["nodes_written"] == len(names)
+    write("pkg/b.py", "def h(): pass\n")
+    write("pkg/c.py", "def z(): return 1\n")
+    second = run(first.units.select("unit_id", "repo_id", "file_path", "source_sha"))
+    assert {r.qualified_name for r in second.units.filter("changed").collect()} == {"pkg.b", "pkg.b.h", "pkg.c", "pkg.c.z"}
+
+
+def test_explore_takes_the_first_edge(spark):
+    """Distances and relations against a plain queue, and the caps."""
+    rnd = random.Random(4)
+    rows = [(f"n{rnd.randrange(30):02d}", rnd.choice(["CALLS", "IMPORTS", "DEFINES"]), f"n{rnd.randrange(30):02d}") for _ in range(70)]
+    frame = spark.createDataFrame([r for r in rows if r[0] != r[2]], "src_id string, kind string, dst_id string")
+    for direction, rule in graph.DIRECTIONS.items():
+        steps = {}
+        for a, kind, b in rows:
+            if a != b:
+                for here, there, way in ((a, b, "out"), (b, a, "in")):
+                    if rule is None or (kind, way) == rule:
+                        steps.setdefault(here, []).append((there, kind, way))
+        want, queue = {}, [("n01", 0)]
+        for node, far in queue:
+            for other, kind, way in sorted(steps.get(node, [])) if far < 3 else []:
+                if other != "n01" and other not in want:
+                    want[other] = (far + 1, f"{kind} {'->' if way == 'out' else '<-'}")
+                    queue.append((other, far + 1))
+        got = graph.explore(frame, spark.createDataFrame([("n01",)], "node_id string"), direction, 3)
+        assert {r.node_id: (r.distance, r.relation) for r in got.collect()} == want
+        kept = graph.nearest(got, 2).collect()
+        assert {r.node_id for r in kept} == set(sorted(want, key=lambda n: (want[n][0], n))[:2]) and all(r.truncated == (len(want) > 2) for r in kept)
+
+
+def test_keyed_merge_of_batches_that_come_again(spark, tmp_path):
+    write = rolling.keyed_merge(f"{tmp_path}/t", ["k"], "at")
+    first, second = (spark.createDataFrame(rows, "k string, at long, x string") for rows in ([("a", 1, "p"), ("b", 5, "q")], [("a", 2, "r"), ("b", 4, "s"), ("c", 1, "t")]))
+    for _ in range(2):
+        write(first, 0)
+        write(second, 1)
+        write(second, 1)
+    assert sorted(map(tuple, spark.read.schema(first.schema).parquet(f"{tmp_path}/t/version=1").collect())) == [("a", 2, "r"), ("b", 5, "q"), ("c", 1, "t")]
+
+
+def test_policies_in_order(spark):
+    rows = [("mcp_tool", "dev", "t1", 5), ("mcp_tool", "dev", "t9", 5), ("mcp_tool", None, "all", 5), ("read", "dev", "t1", 50), ("read", "dev", "t1", None)]
+    frame = spark.createDataFrame(rows, "action string, role string, tool string, age int")
+    policies = [(40, "age", integrity.enforce_retention(F.col("age"), 10)), (20, "role", integrity.restrict_tool_by_role(F.col("action"), F.col("role"), F.col("tool"), {"*": ["all"], "dev": ["t1"]}))]
+    got = [(r.d.allowed, r.d.policy, r.d.trace) for r in frame.select(integrity.first_decision(policies).alias("d")).collect()]
+    assert got == [(True, "role", "role=allow"), (False, "role", "role=deny"), (True, "role", "role=allow"), (False, "age", "role=neutral,age=deny"), (True, None, "role=neutral,age=neutral")]
+
+
+def test_embedder_column_equals_the_plain_one(spark):
+    texts = ["text", "", "é", None, "a" * 500]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(embed(F.col("t"), 20).alias("v")).collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r.v is None if t is None else r.v == pytest.approx(vector(t, 20), abs=1e-6)
+
+
 def test_embedder():
     v = vector("text", 20)
     first = int.from_bytes(hashlib.sha512(b"text:0").digest()[:4], "big", signed=True)

@@ -24,7 +24,10 @@ def test_requests(spark, tools):
     assert [r.qualified_name for r in tools.suggest(first["name"]).collect()] == [first["qualified_name"]]
     assert tools.find_symbol("d1", 5).count() == 5
     module = tools.nodes.filter("kind = 'Module'").orderBy("node_id").first()["qualified_name"]
-    assert {r.kind for r in tools.explore(module, "defines").collect()} <= {"Class", "Function"}
+    found = tools.explore(module, "all", 2).collect()
+    assert len(found) == 50 and all(r.truncated for r in found) and {r.relation for r in found if r.distance == 1} == {"CONTAINS <-", "DEFINES ->"}
+    assert tools.explore(module, "callers").count() == 0 and tools.explore_edges(module).count() > 0
+    assert tools.parents(first["unit_id"]).first()["name"] == first["parent_qualified_name"]
     assert all(r.kind == "External" for r in tools.risks("r0.n0.c1").collect())
     assert tools.repo_graph("r1").count() > 0
     assert tools.module_summary(first["parent_qualified_name"]).count() > 0 and tools.repo_overview(first["repo_id"]).count() > 0
