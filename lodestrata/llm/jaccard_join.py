@@ -422,6 +422,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     signs = settle(own.mapInArrow(_signatures(words), SIGNATURE), "signatures")
     sized = signs.filter("n > 0")
     classes = sized.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")).filter("held > 1")
+    classes = settle(classes, "classes")  # so that the join can split a class that many rows belong to
     copies = settle(sized.join(classes, ["d1", "d2", "n"]).filter("doc_id <> rep").select("doc_id", "rep"), "copies")
     n_words = signs.agg(F.sum("n")).first()[0] or 0
     members = settle(tiles(own, copies, n_words, words, percent), "tiles")
