@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .shared import partitions, settle
 
 LISTS = 2
-LOCAL = 4
-BLOCK = 1024
+LOCAL = 2
+BLOCK, ASKED = 4096, 512
 LOCAL_PARTS = "q_key long, list int, key long, part long, floor long"
 ENTRIES = "q_block long, block long, list int, n long, cell binary"
 SCORES = "q_key long, query_id long, key long, vec_id long, score long"
@@ -228,7 +228,7 @@ def phases(embeddings: DataFrame, k: int, every: int, scale: int) -> tuple[DataF
     """The entries of phase 2 (a row for each list and two blocks, n of them), and the scores of phase 3."""
     vectors = usable(embeddings, scale)
     asked = vectors.filter(F.col("vec_id") % every == 0)
-    count, q_count = (max(1, round(df.count() / BLOCK)) for df in (vectors, asked))
+    count, q_count = (max(1, round(df.count() / size)) for df, size in ((vectors, BLOCK), (asked, ASKED)))
     rows = settle(lists(vectors, count, ""), "lists").repartition(partitions(embeddings.sparkSession), "block", "list")
     asks = settle(lists(asked, q_count, "q_"), "queries")
     # The stated query set against all rows, block by block.
