@@ -8,8 +8,8 @@ then extended: the windows around them are compared over all their words' hashes
 the bucket from a second function), and the union of the windows that repeat is what is removed,
 which is every maximal exact repeat of ``window`` words or more.
 
-Postings travel packed, bucketed by hash; a key that is frequent costs one posting a batch, so
-neither a hot passage nor a group of copies gathers in one task.
+Postings travel packed, bucketed by hash, with as many buckets as the texts' bytes ask for; a key that is
+frequent costs one posting a batch, so neither a hot passage nor a group of copies gathers in one task.
 
 Defined results: a null or empty text has no words; a text shorter than ``window`` keeps all its
 words; copies of a text lose every word they have in repeated windows, the first copy included;
@@ -31,6 +31,8 @@ from .hashing import inside, mix, slices, text_words, windows
 from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
 from .shared import keyed, partitions
 
+#: Bytes of text whose postings a bucket gets, about.
+BUCKET_BYTES = 32_000_000
 POSTINGS = "bucket int, known boolean, cell binary"
 PLACES = "doc_id long, places binary"
 
@@ -186,7 +188,8 @@ def _results(window: int, texts: bool) -> Callable:
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, places): packed starts of every window of ``docs``, whose ids are distinct, that also starts elsewhere."""
     block = (window + 1) // 2
-    buckets = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = _found(texts.mapInArrow(_probes(block, buckets), POSTINGS), buckets)
     # A left join here and in remove_repeats: both then read one exchange of the texts.
