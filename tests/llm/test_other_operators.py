@@ -299,6 +299,7 @@ def test_pseudonyms_keep_formats_and_reverse():
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK", 16)
+    monkeypatch.setattr(topk_search, "ASKED", 3)
     rnd = np.random.default_rng(0)
     vectors = {i: rnd.normal(size=6).astype(np.float32).tolist() for i in range(120)}
     vectors[60] = vectors[61] = vectors[7]
@@ -324,6 +325,7 @@ def test_top_k_of_repeated_ids_and_large_numbers(spark, monkeypatch):
     rows = [(0, [1.0, 2.0]), (0, [-1.0, 1.0]), (3, [2.0, 2.0]), (4, [2.0, 2.0]), (5, [0.5, -7.25])]
     for block in (1024, 2):
         monkeypatch.setattr(topk_search, "BLOCK", block)
+        monkeypatch.setattr(topk_search, "ASKED", block)
         got = sorted(tuple(r) for r in topk_search.top_k(spark.createDataFrame(rows, schema), k=3, every=50).collect())
         whole = [[int(np.floor(256 * x)) for x in v] for _, v in rows]
         want = []
