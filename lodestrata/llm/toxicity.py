@@ -18,8 +18,9 @@ n and r lower it. A clause's weight is the sum of its attacks'. A document's sum
 
 Learning: at most ``sample`` labelled rows, those of least hash, by default 20,000; texts are read whole.
 Words, and word beginnings that a text has twice, are counted by label in Spark; a form that labels 1 and 0 by at
-least ``LEAST`` log-odds (less two standard errors) may enter the lexicon, strongest first, if it explains
-documents that few entries explain yet. So words that only copies of one document share stay out.
+least ``LEAST`` log-odds (less two standard errors), and so surely that among all forms fewer than ``CHANCE`` would
+seem to by chance, may enter the lexicon, strongest first, if it explains documents that few entries explain yet.
+So words that only copies of one document share stay out.
 With no usable labels, the built-in English insults alone are the lexicon. Labels, language, source
 and id are never inputs of a score.
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from .hashing import slices
 from .shared import settle
 
-SAMPLE, ENTRIES, LEAST, COVER = 20_000, 400, 1.0, 3
+SAMPLE, ENTRIES, LEAST, COVER, CHANCE = 20_000, 400, 1.0, 3, 0.05
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 NEAR = 4
 WORD = re.compile(r"\w+")
@@ -265,12 +266,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     rows = settle(training_rows(docs, labels, sample), "labelled")
     built_in = Lexicon({w: 1.0 for w in INSULTS.split()})
     counts = rows.mapInArrow(_count_forms, "form string, label0 long, label1 long").groupBy("form").agg(F.sum("label0").alias("label0"), F.sum("label1").alias("label1"))
+    counts = settle(counts.filter("label0 + label1 >= 3"), "forms")
     totals = rows.groupBy("label").count().collect()
     ones, zeros = (sum(r["count"] for r in totals if r["label"] == k) for k in (1, 0))
     if not ones or not zeros:
         return built_in
     # Of the forms that enough rows of label 1 have, at most 5,000, the surest first.
-    ranked = counts.filter("label1 >= 3").withColumn("odds", F.log((F.col("label1") + 0.5) / (ones + 1)) - F.log((F.col("label0") + 0.5) / (zeros + 1)))
+    tested = counts.filter("label1 >= 3")
+    # Among so many forms some seem to tell by chance: n * KL(share of label 1 | that of all) bounds how likely.
+    n, share, base = F.col("label0") + F.col("label1"), F.col("label1") / (F.col("label0") + F.col("label1")), ones / (ones + zeros)
+    gain = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    tested = tested.filter(n * gain >= math.log(max(1, tested.count()) / CHANCE))
+    ranked = tested.withColumn("odds", F.log((F.col("label1") + 0.5) / (ones + 1)) - F.log((F.col("label0") + 0.5) / (zeros + 1)))
     sure = F.col("odds") - 2 * F.sqrt(1 / (F.col("label1") + 0.5) + 1 / (F.col("label0") + 0.5))
     found = ranked.withColumn("sure", sure).filter(F.col("sure") >= LEAST).orderBy(F.desc("sure"), F.col("form").contains("*"), F.desc(F.length("form")), "form").limit(5000).collect()
     odds = {r["form"]: r["odds"] for r in found}
