@@ -64,6 +64,18 @@ def changed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.changed(old, new).select("unit_id", "changed")
 
 
+@query(
+    sql(STATES + """, o AS (SELECT g.*, old.sha FROM good g JOIN old USING (unit_id)) SELECT coalesce(o.unit_id, f.unit_id) AS unit_id, CASE WHEN o.unit_id IS NULL THEN 'inserted' WHEN f.unit_id IS NULL THEN 'obsolete' WHEN o.sha <> f.source_sha THEN 'updated' ELSE 'unchanged' END AS state,
+        CASE WHEN o.unit_id IS NULL THEN 200 ELSE 100 END::BIGINT AS created_at, CASE WHEN o.unit_id IS NULL OR (f.unit_id IS NOT NULL AND o.sha <> f.source_sha) THEN 200 ELSE 100 END::BIGINT AS updated_at,
+        (coalesce(o.line_start, f.line_start) + CASE WHEN o.unit_id IS NULL OR (f.unit_id IS NOT NULL AND o.sha <> f.source_sha) THEN 1 ELSE 0 END)::BIGINT AS line_start FROM o FULL JOIN fresh f ON f.unit_id = o.unit_id""", "code")
+)
+def upserted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units table after a write: rows of an equal digest stay whole, with their old lines; the rest keep when they were made."""
+    old, new, _ = _states(spark, sf_dir)
+    at = lambda df, t, lines: df.select("unit_id", "source_sha", (F.col("line_start") + lines).alias("line_start"), F.lit(t).cast("long").alias("created_at"), F.lit(t).cast("long").alias("updated_at"))
+    return store.reconcile(at(old, 100, 0), at(new, 200, 1), "unit_id", "source_sha").select("unit_id", "state", "created_at", "updated_at", "line_start")
+
+
 @query(
     sql(STATES + """ SELECT count(DISTINCT (repo_id, file_path))::BIGINT AS files_walked, count(DISTINCT (repo_id, file_path)) FILTER (k % 17 <> 5)::BIGINT AS files_parsed, count(DISTINCT (repo_id, file_path)) FILTER (k % 17 = 5)::BIGINT AS files_failed,
         (SELECT count(*) FROM fresh)::BIGINT AS units_emitted, (SELECT count(*) FROM changes WHERE changed)::BIGINT AS units_changed,

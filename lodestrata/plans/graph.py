@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..contract import query
 from ..functions import identity
 from ..operators import graph
-from ..tables import edges, nodes
+from ..sources import store
+from ..tables import edges, load, nodes
 from .views import sql
 
 G = ("nodes", "edges")
@@ -137,14 +138,21 @@ def graph_compaction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compaction(spark, sf_dir)[1]
 
 
-@query(sql("SELECT kind, count(*)::BIGINT AS n_edges, count(*) FILTER (src_id IN (SELECT node_id FROM nodes WHERE kind <> 'External') AND dst_id IN (SELECT node_id FROM nodes WHERE kind <> 'External'))::BIGINT AS n_written FROM edges GROUP BY kind", *G))
+LAWFUL = "(ka = 'File' AND kind = 'CONTAINS' AND kb IN ('Module', 'Class', 'Function', 'Method')) OR (ka = 'Module' AND kind = 'DEFINES' AND kb IN ('Class', 'Function')) OR (ka = 'Class' AND kind = 'DEFINES' AND kb = 'Method') OR (ka = 'Function' AND kind = 'CALLS' AND kb IN ('Function', 'Method'))"
+
+
+@query(
+    sql(f"""e AS (SELECT * FROM edges UNION ALL SELECT 'region:' || (c_custkey % 5), 'DEFINES', 'customer:' || c_custkey FROM customer WHERE c_custkey % 50 = 3), n AS (SELECT * FROM nodes WHERE kind <> 'External'),
+      j AS (SELECT e.*, a.kind AS ka, b.kind AS kb FROM (SELECT DISTINCT * FROM e) e LEFT JOIN n a ON a.node_id = src_id LEFT JOIN n b ON b.node_id = dst_id),
+      c AS (SELECT kind, CASE WHEN ka IS NULL OR kb IS NULL THEN 'missing' WHEN NOT ({LAWFUL}) THEN 'rule' ELSE 'written' END AS state FROM j)
+      SELECT kind, count(*) FILTER (state = 'written')::BIGINT AS n_written, count(*) FILTER (state = 'missing')::BIGINT AS n_missing, count(*) FILTER (state = 'rule')::BIGINT AS n_rule FROM c GROUP BY kind""", *G)
+)
 def upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by kind, and those whose ends both exist (External nodes left out), which alone are written."""
-    inside = nodes(spark, sf_dir).filter("kind <> 'External'").select("node_id")
-    e = edges(spark, sf_dir)
-    kept = e.join(inside.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(inside.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi")
-    counts = e.groupBy("kind").agg(F.count("*").alias("n_edges")).join(kept.groupBy("kind").agg(F.count("*").alias("n_written")), "kind", "left")
-    return counts.fillna(0, ["n_written"])
+    """Edges by kind that are written, and those that are dropped since an end is not there (External nodes are left out) or no rule allows them."""
+    wrong = load(spark, sf_dir, "customer").filter("c_custkey % 50 = 3").select(F.concat(F.lit("region:"), (F.col("c_custkey") % 5).cast("string")), F.lit("DEFINES"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))
+    written, dropped = store.write_edges(edges(spark, sf_dir).union(wrong), nodes(spark, sf_dir).filter("kind <> 'External'"))
+    states = written.select("kind", F.lit("written").alias("cause")).union(dropped.select("kind", "cause"))
+    return states.groupBy("kind").agg(*[F.count_if(F.col("cause") == c).alias(f"n_{c}") for c in ("written", "missing", "rule")])
 
 
 @query(

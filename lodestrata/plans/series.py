@@ -37,9 +37,14 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT event_id, count(*) OVER (PARTITION BY event_type, shard ORDER BY at_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)::BIGINT AS n FROM usage", "usage"))
 def throughput_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the 60 seconds up to each event, the first instant included."""
-    window = Window.partitionBy("event_type", "shard").orderBy("at_us").rangeBetween(-60_000_000, 0)
-    return usage(spark, sf_dir).select("event_id", F.count("*").over(window).alias("n"))
+    """Events of the 60 seconds up to each event, the first instant included.
+
+    Each event stands in its own minute and in the next, so a minute's window needs no other minute's rows and no type gathers in one task.
+    """
+    own = F.floor(F.col("at_us") / 60_000_000)
+    spread = usage(spark, sf_dir).select("event_id", "event_type", "shard", "at_us", own.alias("own"), F.explode(F.array(own, own + 1)).alias("minute"))
+    window = Window.partitionBy("event_type", "shard", "minute").orderBy("at_us").rangeBetween(-60_000_000, 0)
+    return spread.withColumn("n", F.count("*").over(window)).filter("own = minute").select("event_id", "n")
 
 
 @query(sql("m AS (SELECT max(at_us) AS now_us FROM usage) SELECT event_type, shard, count(*)::BIGINT AS n, round(count(*) / 3600.0, 6) AS per_second FROM usage, m WHERE at_us >= now_us - 3600000000 GROUP BY 1, 2", "usage"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import edge_allowed
+
 
 def reconcile(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Each key's state: inserted, updated (digest differs), unchanged or obsolete; rows are the new ones, else the old."""
@@ -14,7 +16,9 @@ def reconcile(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFram
     state = F.when(missing_a, "inserted").when(missing_b, "obsolete").when(F.col(f"a.{digest}") != F.col(f"b.{digest}"), "updated").otherwise("unchanged")
     # An unchanged digest keeps the old row whole, its line numbers too.
     keep_old = ~missing_a & (missing_b | (F.col(f"a.{digest}") == F.col(f"b.{digest}")))
-    columns = [F.when(keep_old, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in old.columns]
+    # When a row was made does not change as it is written over.
+    kept = lambda c: ~missing_a if c == "created_at" else keep_old
+    columns = [F.when(kept(c), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in old.columns]
     return both.select(state.alias("state"), *columns)
 
 
@@ -23,6 +27,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return reconcile(old, new, key, digest).drop("state")
 
 
+def write_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges that are written, (src_id, kind, dst_id, cause) of those that are not): a missing end, then an unlawful pair of kinds."""
+    kinds = nodes.select("node_id", F.col("kind").alias("node_kind"))
+    ends = [kinds.select(F.col("node_id").alias(f"{e}_id"), F.col("node_kind").alias(f"{e}_kind")) for e in ("src", "dst")]
+    met = edges.select("src_id", "kind", "dst_id").distinct().join(ends[0], "src_id", "left").join(ends[1], "dst_id", "left")
+    cause = F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), "missing").when(~edge_allowed(F.col("src_kind"), F.col("kind"), F.col("dst_kind")), "rule")
+    judged = met.select("src_id", "kind", "dst_id", cause.alias("cause"))
+    return judged.filter("cause is null").drop("cause"), judged.filter("cause is not null")
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """The new units with ``changed``: new or of another digest, or in a file that lost a unit, whose rows are all written anew."""
     lost = old.select("unit_id", "repo_id", "file_path").join(new.select("unit_id"), "unit_id", "left_anti").select("repo_id", "file_path").distinct().withColumn("lost", F.lit(True))
