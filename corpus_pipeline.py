@@ -3,6 +3,10 @@ that hold benchmark items go, sources are mixed to their targets, and the rest i
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes it as Parquet and reads it
 again for the next. All but the last keep the columns of ``documents``.
+
+Defined results: rows of null or repeated ids go through every stage, each judged by itself; of rows of equal
+(doc_id, text) one is left by the near-duplicate stage; null and empty texts are kept until the end, where they have
+the end id alone (mixing takes a document of no words as often as its hash says); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +42,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
-
-
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item to 0.8."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), seed=5, threshold=0.8)

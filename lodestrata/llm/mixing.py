@@ -10,6 +10,8 @@ weight, a target stops at ``most`` times its source's words, and the excess is s
 until none is above. With x = cap / weight ascending this is the level at which capped sources
 stop, so it is found by running sums over sources.
 
+Sources are few beside documents: their targets are worked out in one task, a row a source (some millions fit).
+
 Defined results: null and empty texts have size 0 and take 0 words; a source without words has
 target 0; equal ids get equal decisions; an empty table gives no rows. Extra columns take no part.
 """
