@@ -46,6 +46,12 @@ def decay(scored: DataFrame, stale_days: float = 30, central: float = 0.2, relev
     return scored.withColumn("action", action)
 
 
+def apply_decay(planned: DataFrame) -> DataFrame:
+    """The rows with their status after the plan, and whether it was written: NO_OP rows stay as they are."""
+    status = F.when(F.col("action") == "PROMOTE", "active").when(F.col("action") == "DOWNGRADE", "low_priority_index").otherwise(F.coalesce("status", F.lit("active")))
+    return planned.withColumn("status", status).withColumn("written", F.col("action") != "NO_OP")
+
+
 def refresh(scored: DataFrame, now: DataFrame, before: DataFrame, relevant: float = 0.4, success: float = 0.5) -> DataFrame:
     signed = now.join(before.withColumnRenamed("signature", "previous"), "node_id").withColumnRenamed("node_id", "entity_id")
     reasons = F.array(F.when(F.col("score") < relevant, "LOW_RELEVANCE"), F.when(F.col("success_rate") < success, "LOW_SUCCESS_RATE"), F.when(F.col("signature") != F.col("previous"), "NEIGHBOR_DRIFT"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..contract import query
 from ..functions import identity
 from ..operators import graph
+from ..shared import settle
 from ..sources import store
 from ..tables import edges, load, nodes
 from .views import sql
@@ -123,7 +124,7 @@ FOLDED = """f AS (SELECT n.node_id, arg_max(m.node_id, i) AS module_id FROM node
 def _compaction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..functions.scoring import CENTRALITY_FULL, saturating
 
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    n, e = nodes(spark, sf_dir), settle(edges(spark, sf_dir), "edges")
     central = graph.in_degree(n, e).select("node_id", saturating(F.col("in_degree"), CENTRALITY_FULL).alias("centrality"))
     return graph.compaction(n, e, central, 0.2, ["Function", "Method", "Constant", "Section"])
 

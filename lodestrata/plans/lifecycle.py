@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..contract import query
 from ..functions import scoring
 from ..operators import graph, lifecycle
+from ..shared import settle
 from ..tables import NOW, edges, nodes, usage
+from .graph import FOLDED, signatures
 from .views import SIGNED_PREVIOUS, sql
 
 
@@ -54,6 +56,38 @@ def decay_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.decay(_with_status(_scored(spark, sf_dir)), stale_days=7).filter("action <> 'NO_OP'").groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query(sql(DECAY.format(days=7) + " SELECT l.entity_id, CASE action WHEN 'PROMOTE' THEN 'active' WHEN 'DOWNGRADE' THEN 'low_priority_index' ELSE CASE WHEN is_low THEN 'low_priority_index' ELSE 'active' END END AS status, action <> 'NO_OP' AS written FROM low l JOIN d USING (entity_id)", "relevance"))
+def applied_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses after a plan is applied: only its rows without NO_OP are written."""
+    planned = lifecycle.decay(_with_status(_scored(spark, sf_dir)), stale_days=7)
+    return lifecycle.apply_decay(planned).select("entity_id", "status", "written")
+
+
+REASONS = """, r AS (SELECT v.entity_id, list_filter([CASE WHEN score < 0.4 THEN 'LOW_RELEVANCE' END, CASE WHEN success_rate < 0.5 THEN 'LOW_SUCCESS_RATE' END, CASE WHEN p.signature <> s.signature THEN 'NEIGHBOR_DRIFT' END], lambda x: x IS NOT NULL) AS reasons
+        FROM relevance v JOIN signed s ON s.node_id = v.entity_id JOIN previous p ON p.node_id = v.entity_id)"""
+
+
+@query(
+    sql(SIGNED_PREVIOUS + REASONS + ", " + DECAY.format(days=30) + ", " + FOLDED + """, c AS (SELECT arg_max(x.node_id, p.i) AS module_id FROM (SELECT * FROM relevance WHERE score < 0.3 AND kind NOT IN ('Module', 'Class')) v, LATERAL (SELECT unnest(range(1, len(string_split(v.qualified_name, '.')))) AS i) p
+        JOIN nodes x ON x.kind = 'Module' AND x.qualified_name = array_to_string(list_slice(string_split(v.qualified_name, '.'), 1, p.i), '.') GROUP BY v.entity_id)
+      SELECT (SELECT count(*) FROM relevance)::BIGINT AS n_entities, (SELECT count(*) FROM d WHERE action = 'PROMOTE')::BIGINT AS n_promote, (SELECT count(*) FROM d WHERE action = 'DOWNGRADE')::BIGINT AS n_downgrade,
+        (SELECT count(*) FROM r WHERE len(reasons) > 0)::BIGINT AS n_refresh, (SELECT count(*) FROM f)::BIGINT AS n_folded, (SELECT count(DISTINCT module_id) FROM c)::BIGINT AS n_compacted""", "relevance")
+)
+def lifecycle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the lifecycle: scores once, then decay, refresh, compaction of graph and memory, in figures."""
+    n, e = nodes(spark, sf_dir), settle(edges(spark, sf_dir), "edges")
+    in_degree = graph.in_degree(n, e)
+    scored = settle(_with_status(lifecycle.relevance(n, lifecycle.usage_stats(usage(spark, sf_dir)), in_degree, NOW)), "scored")
+    planned = lifecycle.decay(scored, stale_days=30).agg(F.count("*").alias("n_entities"), F.count_if(F.col("action") == "PROMOTE").alias("n_promote"), F.count_if(F.col("action") == "DOWNGRADE").alias("n_downgrade"))
+    fresh = lifecycle.refresh(scored, signatures(n, e), signatures(n, e.filter("kind <> 'CALLS'"))).agg(F.count("*").alias("n_refresh"))
+    folded, _ = graph.compaction(n, e, scored.select(F.col("entity_id").alias("node_id"), "centrality"), 0.2, ["Function", "Method", "Constant", "Section"])
+    merged = lifecycle.memory_compaction(scored, graph.nearest_module(n)).agg(F.count("*").alias("n_compacted"))
+    out = planned
+    for row in (fresh, folded.agg(F.count("*").alias("n_folded")), merged):
+        out = out.join(F.broadcast(row))  # a row each
+    return out
+
+
 @query(
     sql(SIGNED_PREVIOUS + """, r AS (SELECT v.entity_id, list_filter([CASE WHEN score < 0.4 THEN 'LOW_RELEVANCE' END, CASE WHEN success_rate < 0.5 THEN 'LOW_SUCCESS_RATE' END, CASE WHEN p.signature <> s.signature THEN 'NEIGHBOR_DRIFT' END], lambda x: x IS NOT NULL) AS reasons
         FROM relevance v JOIN signed s ON s.node_id = v.entity_id JOIN previous p ON p.node_id = v.entity_id)
@@ -61,8 +95,6 @@ def decay_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities to embed anew; the earlier signatures are those without CALLS edges."""
-    from .graph import signatures
-
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
     return lifecycle.refresh(_scored(spark, sf_dir), signatures(n, e), signatures(n, e.filter("kind <> 'CALLS'"))).select("entity_id", F.array_join("reasons", ",").alias("reasons"))
 

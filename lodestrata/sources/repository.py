@@ -55,12 +55,21 @@ def walk(spark: SparkSession, root: str, repo_id: str, rules: list[str] | None =
     """(repo_id, path, language, content, valid) of the files of known languages; what is no UTF-8 has valid = false.
 
     Names are listed by ``pyarrow.fs``, since Spark's own listing hides those that begin with ``_``
-    (``__init__.py``) and its readers skip files of no bytes. Tasks then read the files that stay.
+    (``__init__.py``) and its readers skip files of no bytes: the first level here, each folder below in a task.
+    Tasks then read the files that stay.
     """
     uri = root if "://" in root else f"file://{root}"
     fs, base = pafs.FileSystem.from_uri(uri)
-    names = [(f.path[len(base) :].lstrip("/"),) for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if f.is_file]
-    listing = spark.createDataFrame(names, "path string").withColumn("language", language(F.col("path")))
+    top = [(f.path[len(base) :].lstrip("/"), f.is_file) for f in fs.get_file_info(pafs.FileSelector(base))]
+
+    def below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, at = pafs.FileSystem.from_uri(uri)
+        for frame in frames:
+            for path, is_file in zip(frame["path"], frame["is_file"], strict=True):
+                found = [path] if is_file else [f.path[len(at) :].lstrip("/") for f in own.get_file_info(pafs.FileSelector(f"{at}/{path}", recursive=True)) if f.is_file]
+                yield pd.DataFrame({"path": found}, dtype=object)
+
+    listing = spark.createDataFrame(top, "path string, is_file boolean").repartition("path").mapInPandas(below, "path string").withColumn("language", language(F.col("path")))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, at = pafs.FileSystem.from_uri(uri)
