@@ -124,4 +124,28 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(l.parts) END::BIGINT A
 FROM documents d JOIN l ON d.doc_id = l.doc_id LEFT JOIN cut ON d.doc_id = cut.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_licences": licences.scan_sql()}
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)),
+again AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS at FROM s JOIN again USING (k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+left_over AS (SELECT words.doc_id, count(*) FILTER (gone.at IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY words.at) FILTER (gone.at IS NULL) AS kept
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.at = words.at GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, LATERAL (SELECT unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 90 * (x.n + y.n - n_both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_licences": licences.scan_sql()}
