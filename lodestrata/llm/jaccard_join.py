@@ -26,7 +26,7 @@ A link between two documents is thus verified in step 3, or its ends are joined
 
 In steps 2 and 3 members of the component with most rows in a tile never meet each other, and larger tiles are cut
 into blocks of ``BLOCK`` rows, each two of them a task's share, so no group gathers whole. Keys travel packed, one
-posting a batch for a key that a batch holds often. The number of buckets follows the words.
+posting a batch for a key that a batch holds often. The numbers of buckets and cells follow those of words and rows.
 
 Defined results: null, empty and blank texts have no set (size 0) and link with nothing; with fewer words
 than ``n`` the whole sequence is the one n-gram; copies link; rows of null or repeated ids are linked each by itself,
@@ -48,7 +48,7 @@ from .postings import distinct, meeting, pack, pack_places, unpack, unpack_place
 from .shared import keyed, partitions, settle
 
 BLOCK = 2048
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS, CELL_ROWS = 4_000_000, 20_000
 SIGNATURE = "doc_id long, n long, d1 long, d2 long"
 SETS = "doc_id long, n long, bits binary, hashes binary"
 #: In the place of a posting, the band has eight bits; the upper half of them are for values in hash order.
@@ -412,7 +412,7 @@ def cross_pairs(members: DataFrame, full: DataFrame, roots: DataFrame, percent:
     rest = large.filter("not in_base").withColumn("other", F.explode(count("of_rest")))
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
     rest = rest.select(*keep, F.xxhash64("tile", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), side.alias("side"))
-    cells = small.union(with_base).union(rest).withColumn("cell", F.pmod("part", F.lit(4 * partitions(members.sparkSession))))
+    cells = small.union(with_base).union(rest).withColumn("cell", F.pmod("part", F.lit(max(4 * partitions(members.sparkSession), -(-members.count() // CELL_ROWS)))))
     return cells.groupBy("cell").applyInArrow(_cross(percent, nearest), "a long, b long").distinct()
 
 
