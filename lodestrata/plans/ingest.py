@@ -75,6 +75,14 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.last_wins(rows, ["key"], "at").select("key", "l_suppkey")
 
 
+@query("SELECT l_suppkey AS src, l_partkey AS dst, arg_min(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS first_weight, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS last_weight FROM lineitem GROUP BY 1, 2")
+def deduplicated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written many times: across a run the first stays, within one build the last."""
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("at"))
+    key = ["src", "dst"]
+    return store.first_wins(rows, key, "at").select(*key, F.col("weight").alias("first_weight")).join(store.last_wins(rows, key, "at").select(*key, F.col("weight").alias("last_weight")), key)
+
+
 @query(sql("SELECT repo_id, count(*)::BIGINT AS n_vectors, count(*) FILTER (fresh)::BIGINT AS n_fresh FROM (SELECT repo_id, repo_id = 'fr' AS fresh, content, doc_id FROM code) WHERE CASE WHEN fresh THEN trim(content) <> '' ELSE doc_id % 6 <> 4 END GROUP BY 1", "code"))
 def reindexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by repository after one repository is embedded anew (its vectors have another length here)."""

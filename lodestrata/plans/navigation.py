@@ -156,6 +156,22 @@ def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").agg(F.count_if(active).alias("n_active"), F.countDistinct(F.when(active, F.col("o_custkey"))).alias("n_users"))
 
 
+@query(
+    """SELECT 'session' AS what, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate > TIMESTAMP '1996-01-01' UNION ALL SELECT 'invitation', count(*) FROM orders WHERE o_orderstatus = 'P' AND o_orderdate > TIMESTAMP '1996-01-01'
+      UNION ALL SELECT 'token', count(*) FROM lineitem WHERE l_returnflag <> 'R' UNION ALL SELECT 'provider', count(*) FROM supplier WHERE s_acctbal > 0"""
+)
+def active_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions neither revoked nor expired, pending invitations, tokens not revoked, providers that are on (here by columns of other tables)."""
+    orders = load(spark, sf_dir, "orders")
+    fresh = F.col("o_orderdate") > F.lit("1996-01-01").cast("timestamp_ntz")
+    kept = [("session", orders.filter((F.col("o_orderstatus") != "F") & fresh)), ("invitation", orders.filter((F.col("o_orderstatus") == "P") & fresh)), ("token", load(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")), ("provider", load(spark, sf_dir, "supplier").filter("s_acctbal > 0"))]
+    out = None
+    for what, df in kept:
+        row = df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = row if out is None else out.union(row)
+    return out
+
+
 @query("SELECT event_id, CASE WHEN length(props) <= 40 THEN props ELSE substr(props, 1, 40) END AS head, length(props)::BIGINT AS n FROM events")
 def payload_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads cut to ten tokens."""

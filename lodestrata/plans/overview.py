@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import query
-from ..functions import identity
-from ..tables import units
+from ..functions import identity, text
+from ..tables import code_units, units
 from .views import sql
 
 SHARDS = 4
@@ -79,14 +79,27 @@ def ingestion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    sql("""d AS (SELECT *, row_number() OVER (PARTITION BY source_sha ORDER BY doc_id) AS k FROM units)
-      SELECT doc_id, CASE WHEN k = 1 THEN qualified_name ELSE qualified_name || '#' || k END AS qualified_name FROM d""", "units")
+    sql("""q AS (SELECT *, 'src.f' || k || '.' || kind AS common FROM code), d AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path, common ORDER BY line_start, doc_id) AS nth FROM q),
+      n AS (SELECT doc_id, repo_id, file_path, CASE WHEN nth = 1 THEN common ELSE common || '#' || nth END AS qualified_name FROM d) SELECT doc_id, qualified_name, sha256(repo_id || chr(0) || file_path || chr(0) || qualified_name) AS unit_id FROM n""", "code")
 )
 def overload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second and later units of a colliding name (here: of equal content) get #2, #3 and so on."""
-    k = F.row_number().over(Window.partitionBy("source_sha").orderBy("doc_id"))
-    u = units(spark, sf_dir).withColumn("k", k)
-    return u.select("doc_id", F.when(F.col("k") == 1, F.col("qualified_name")).otherwise(F.concat("qualified_name", F.lit("#"), F.col("k").cast("string"))).alias("qualified_name"))
+    """The second and later units of one name in a file (here they are named by their kind alone) get #2, #3 and so on, and ids to match."""
+    common = F.concat(F.lit("src.f"), F.floor(F.col("doc_id") / 12).cast("string"), F.lit("."), "kind")
+    nth = F.row_number().over(Window.partitionBy("repo_id", "file_path", "common").orderBy("line_start", "doc_id"))
+    u = code_units(spark, sf_dir).withColumn("common", common).withColumn("nth", nth)
+    name = F.when(F.col("nth") == 1, F.col("common")).otherwise(F.concat("common", F.lit("#"), F.col("nth").cast("string")))
+    return u.select("doc_id", name.alias("qualified_name"), identity.unit_id(F.col("repo_id"), F.col("file_path"), name).alias("unit_id"))
+
+
+@query(
+    sql("""r AS (SELECT unit_id, kind, file_path, qualified_name, list_sort(list_distinct(CASE WHEN kind IN ('module', 'section') THEN imports WHEN kind IN ('function', 'method') THEN calls WHEN kind = 'class' THEN bases ELSE [] END)) AS dep FROM code)
+      SELECT unit_id, '{' || CASE WHEN len(dep) > 0 THEN '"dep":["' || array_to_string(dep, '","') || '"],' ELSE '' END || '"id":"' || unit_id || '","k":"' || kind || '","p":"' || file_path || '","q":"' || qualified_name || '"}' AS record FROM r""", "code")
+)
+def dense_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units as short records: what a unit depends on, by its kind, then its id, kind, path and name; empty lists are left out."""
+    dep = F.when(F.col("kind").isin("module", "section"), F.col("imports")).when(F.col("kind").isin("function", "method"), F.col("calls")).when(F.col("kind") == "class", F.col("bases"))
+    dep = F.array_sort(F.array_distinct(dep))
+    return code_units(spark, sf_dir).select("unit_id", text.record(dep=F.when(F.size(dep) > 0, dep), id=F.col("unit_id"), k=F.col("kind"), p=F.col("file_path"), q=F.col("qualified_name")).alias("record"))
 
 
 @query(sql("SELECT doc_id, regexp_replace(regexp_replace(file_path, '\\.md$', ''), '/', '.', 'g') AS module_name FROM units", "units"))

@@ -51,6 +51,12 @@ def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*key, "row.*")
 
 
+def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """One row a key, the first by ``order``."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("row")).select(*key, "row.*")
+
+
 def with_placeholders(points: DataFrame, dim: int) -> DataFrame:
     """Points without a vector get zeros and has_vector = false."""
     if dim <= 0:
