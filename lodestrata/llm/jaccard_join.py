@@ -159,8 +159,9 @@ def _postings(words: int, percent: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own, ids = sets(batch.column(1), words), np.asarray(batch.column(0))
-            order = np.lexsort((ids, _digests(own, 1)))
-            _, first = np.unique(_digests(own, 1)[order], return_index=True)
+            digests = _digests(own, 1)
+            order = np.lexsort((ids, digests))
+            _, first = np.unique(digests[order], return_index=True)
             pick = np.sort(order[first])
             ids, found = ids[pick], list(segment_keys([own[i] for i in pick.tolist()], percent))
             if not found:
