@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontamination, licences, toxicity
 from .jaccard_join import jaccard_components
 from .line_dedup import remove_lines
+from .merkle import manifest
 from .mixing import mix
 from .pseudonyms import pseudonymise
 from .shared import table
@@ -70,13 +71,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, manifest = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
-    return read_tokens(folder, manifest)
+    folder, shards = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    return read_tokens(folder, shards)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_pseudonyms, op5_topk_search, op6_line_dedup, op7_substring_dedup, op8_licences, op9_jaccard_join, op10_token_files)
+    for f in (
+        op1_toxicity,
+        op2_decontamination,
+        op3_mixing,
+        op4_pseudonyms,
+        op5_topk_search,
+        op6_line_dedup,
+        op7_substring_dedup,
+        op8_licences,
+        op9_jaccard_join,
+        op10_token_files,
+        op12_merkle_manifest,
+    )
 }
 
 OP3_SQL = r"""
