@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,11 @@ import pytest
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n long, value string, places string, id long, digest string, bits string"
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     """Makes a documents table from (id, text) or (id, text, source), with extra columns whose names clash with those operators use."""
