@@ -72,7 +72,7 @@ def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
     group = Window.partitionBy("grp")
     before = F.coalesce(F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = dealt.groupBy("grp", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    parts = parts.select("grp", "part", (before - F.col("first")).alias("shift"), F.sum("n").over(group).alias("size"))
+    parts = settle(parts.select("grp", "part", (before - F.col("first")).alias("shift"), F.sum("n").over(group).alias("size")), "parts")
     return dealt.join(parts, ["grp", "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("at", "part", "shift")
 
 
@@ -88,14 +88,13 @@ class Tree:
     roots: DataFrame
 
 
-def _hashes(columns: range) -> Column:
-    return F.concat_ws("", *[F.col(f"c{k}.hash") for k in columns])
+SLOTS = [f"c{k}" for k in range(FANOUT)]
 
 
 def pivot(nodes: DataFrame) -> DataFrame:
     """A row a parent with its children in FANOUT columns, null past the last one."""
     child = F.struct(*[name for name in nodes.columns if name not in ("grp", "place", "size")])
-    slots = [F.max(F.when(F.col("place") % FANOUT == k, child)).alias(f"c{k}") for k in range(FANOUT)]
+    slots = [F.max(F.when(F.col("place") % FANOUT == k, child)).alias(name) for k, name in enumerate(SLOTS)]
     size = F.ceil(F.max("size") / FANOUT).alias("size")
     return nodes.groupBy("grp", F.floor(F.col("place") / FANOUT).alias("parent")).agg(*slots, size).withColumnRenamed("parent", "place")
 
@@ -109,25 +108,33 @@ def build(nodes: DataFrame) -> Tree:
     while largest > 1:
         levels.append(settle(pivot(nodes.filter("size > 1")), "level"))
         largest = -(-largest // FANOUT)
-        nodes = levels[-1].select("grp", "place", "size", F.sha2(_hashes(range(FANOUT)), 256).alias("hash"))
+        nodes = levels[-1].select("grp", "place", "size", F.sha2(F.concat_ws("", *[f"{c}.hash" for c in SLOTS]), 256).alias("hash"))
         roots = roots.union(nodes.filter("size = 1").select("grp", F.lit(len(levels)), "hash"))
     return Tree(levels, lone, roots)
 
 
+def _children() -> Column:
+    """The slots of a parent, each with the digests of the slots left and right of it."""
+    digests = F.array(*[f"{c}.hash" for c in SLOTS])
+    beside = lambda start, count: F.concat_ws("", F.slice(digests, start, count))
+    return F.transform(
+        F.array(*SLOTS), lambda child, s: F.struct(beside(F.lit(1), s).alias("left"), beside(s + 2, F.lit(FANOUT)).alias("right"), child.alias("child"))
+    )
+
+
 def descend(tree: Tree, tops: DataFrame, kept: list[str]) -> DataFrame:
     """(item, hash, steps, ``kept``): the lowest nodes, each with what stands beside its path, from below to above.
 
     ``tops`` has for each group its root's level, the root's own steps and the columns ``kept``.
     """
+    tops = settle(tops, "tops")
     here = None
     for k in reversed(range(len(tree.levels))):
         top = tops.filter(F.col("level") == k + 1).select("grp", F.lit(0).cast("long").alias("place"), "steps", *kept)
-        here = top if here is None else here.unionByName(top)
-        beside = [F.struct(_hashes(range(s)).alias("left"), _hashes(range(s + 1, FANOUT)).alias("right")) for s in range(FANOUT)]
-        slots = F.array(*[F.struct(b.alias("step"), F.col(f"c{s}").alias("child")) for s, b in enumerate(beside)])
-        below = tree.levels[k].join(here, ["grp", "place"]).select("grp", "place", "steps", *kept, F.posexplode(slots).alias("slot", "own"))
+        here = top if here is None else settle(here, "below").unionByName(top)
+        below = tree.levels[k].join(here, ["grp", "place"]).select("grp", "place", "steps", *kept, F.posexplode(_children()).alias("slot", "own"))
         below = below.filter("own.child IS NOT NULL")
-        steps = F.concat(F.array("own.step"), "steps").alias("steps")
+        steps = F.concat(F.array(F.struct("own.left", "own.right")), "steps").alias("steps")
         here = below.select("grp", (F.col("place") * FANOUT + F.col("slot")).alias("place"), steps, *kept, *(["own.child.*"] if k == 0 else []))
     lone = tree.lone.join(tops.filter("level = 0"), "grp").select("item", tree.lone["hash"], "steps", *kept)
     return lone if here is None else here.select("item", "hash", "steps", *kept).union(lone)
