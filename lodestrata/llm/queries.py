@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, licences, toxicity
+from .conversation_repair import repair_damaged
 from .jaccard_join import jaccard_components
 from .line_dedup import remove_lines
 from .merkle import manifest
@@ -79,6 +80,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES = {
         op9_jaccard_join,
         op10_token_files,
         op12_merkle_manifest,
+        op13_conversation_repair,
     )
 }
 
