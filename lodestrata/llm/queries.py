@@ -14,6 +14,7 @@ from .mixing import mix
 from .pseudonyms import pseudonymise
 from .shared import table
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .token_files import read_tokens, write_tokens
 from .topk_search import top_k
 
@@ -76,6 +77,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(folder, shards)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), length=200, texts=False)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
         op8_licences,
         op9_jaccard_join,
         op10_token_files,
+        op11_suffix_dedup,
         op12_merkle_manifest,
         op13_conversation_repair,
     )
