@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import module_name
+from ..shared import settle
 
 #: Edge kind -> (units that have it, column of references, kinds they may resolve to, whether the module is tried).
 REFERENCES = {
@@ -69,22 +70,29 @@ def graph_nodes(units: DataFrame, edges: DataFrame) -> DataFrame:
     return files.union(own).union(outside)
 
 
-def module_of(units: DataFrame, hops: int = 8) -> DataFrame:
-    """(repo_id, unit_id, module): up the parents to the first module; a parent that is no unit is taken for it; without parents a unit's own name.
+def module_of(units: DataFrame) -> DataFrame:
+    """(repo_id, unit_id, module): up the parents, however many, to the first module.
 
-    Each hop is an equal join of the units that are not done with the few that are parents.
+    A parent that is no unit is taken for the module; without a module above, or with parents in a circle, it is
+    the unit's own name. The names that are parents hold a pointer upwards each, which a round of self-joins doubles:
+    rounds grow with the logarithm of the depth. Names still open after a round that closed none go in circles.
     """
-    parents = units.select(F.col("parent_qualified_name").alias("qualified_name"), "repo_id").distinct()
-    known = resolver(units).join(parents, ["repo_id", "qualified_name"], "left_semi")
-    up = units.select("unit_id", F.col("parent_qualified_name").alias("up"))
-    known = known.join(up.withColumnRenamed("unit_id", "target"), "target").select("repo_id", F.col("qualified_name").alias("at"), "target_kind", "up")
-    own = F.when((F.col("kind") == "module") | F.col("parent_qualified_name").isNull(), F.col("qualified_name"))
-    here = units.select("repo_id", "unit_id", "qualified_name", own.alias("module"), F.when(own.isNull(), F.col("parent_qualified_name")).alias("at"))
-    for _ in range(hops):
-        met = here.join(known, ["repo_id", "at"], "left")
-        found = F.when(F.col("at").isNull(), F.col("module")).when(F.col("target_kind").isNull() | (F.col("target_kind") == "module"), F.col("at")).when(F.col("up").isNull(), F.col("qualified_name"))
-        here = met.select("repo_id", "unit_id", "qualified_name", found.alias("module"), F.when(found.isNull(), F.col("up")).alias("at"))
-    return here.select("repo_id", "unit_id", F.coalesce("module", "at").alias("module"))
+    at = F.col("parent_qualified_name").alias("at")
+    parents = units.select("repo_id", at).filter("at IS NOT NULL").distinct()
+    up = units.select(F.col("unit_id").alias("target"), F.col("parent_qualified_name").alias("up"))
+    known = resolver(units).withColumnRenamed("qualified_name", "at").join(up, "target")
+    is_module = F.col("target_kind").isNull() | (F.col("target_kind") == "module")
+    met = parents.join(known, ["repo_id", "at"], "left")
+    ends = settle(met.select("repo_id", "at", F.when(is_module, F.col("at")).alias("module"), F.when(~is_module, F.col("up")).alias("next")), "parents")
+    before, left = None, ends.filter("next IS NOT NULL").count()
+    while left and left != before:
+        above = ends.select("repo_id", F.col("at").alias("next"), F.col("module").alias("above"), F.col("next").alias("further"))
+        module = F.when(F.col("next").isNull(), F.col("module")).otherwise(F.col("above"))
+        ends = settle(ends.join(above, ["repo_id", "next"], "left").select("repo_id", "at", module.alias("module"), F.col("further").alias("next")), "parents")
+        before, left = left, ends.filter("next IS NOT NULL").count()
+    own = F.when((F.col("kind") != "module"), F.col("parent_qualified_name")).alias("at")
+    found = F.when(F.col("at").isNotNull() & F.col("next").isNull(), F.col("module"))
+    return units.select("repo_id", "unit_id", "qualified_name", own).join(ends, ["repo_id", "at"], "left").select("repo_id", "unit_id", F.coalesce(found, "qualified_name").alias("module"))
 
 
 def _names(holds: Column) -> Column:

@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from . import build, graph, ingest, integrity, lifecycle, navigation, overview, retrieval, series, streams  # noqa: F401
+from . import build, graph, ingest, integrity, lifecycle, names, navigation, overview, retrieval, series, streams  # noqa: F401
