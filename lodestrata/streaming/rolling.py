@@ -32,23 +32,6 @@ def pushes(stream: DataFrame, registry: DataFrame) -> DataFrame:
     return met.select("page_id", F.when(F.col("known"), F.col("host")).alias("repo_id"), state.alias("state"))
 
 
-def keyed_merge(place: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that keeps the last row of each key by ``order`` (of equals, the one with the greatest other columns), as one version of a table a batch.
-
-    A batch that is delivered again writes the same version again from the one before it.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{place}/version={number - 1}").union(batch)
-        rest = [c for c in batch.columns if c not in key]
-        last = rows.groupBy(*key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("row")).select(*key, "row.*").select(*batch.columns)
-        last.write.mode("overwrite").parquet(f"{place}/version={number}")
-
-    return write
-
-
 def counters(stream: DataFrame) -> DataFrame:
     """Usage and success counters by entity, in update mode."""
     return stream.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("successes"))

@@ -242,16 +242,6 @@ def test_explore_takes_the_first_edge(spark):
         assert {r.node_id for r in kept} == set(sorted(want, key=lambda n: (want[n][0], n))[:2]) and all(r.truncated == (len(want) > 2) for r in kept)
 
 
-def test_keyed_merge_of_batches_that_come_again(spark, tmp_path):
-    write = rolling.keyed_merge(f"{tmp_path}/t", ["k"], "at")
-    first, second = (spark.createDataFrame(rows, "k string, at long, x string") for rows in ([("a", 1, "p"), ("b", 5, "q")], [("a", 2, "r"), ("b", 4, "s"), ("c", 1, "t")]))
-    for _ in range(2):
-        write(first, 0)
-        write(second, 1)
-        write(second, 1)
-    assert sorted(map(tuple, spark.read.schema(first.schema).parquet(f"{tmp_path}/t/version=1").collect())) == [("a", 2, "r"), ("b", 5, "q"), ("c", 1, "t")]
-
-
 def test_policies_in_order(spark):
     rows = [("mcp_tool", "dev", "t1", 5), ("mcp_tool", "dev", "t9", 5), ("mcp_tool", None, "all", 5), ("read", "dev", "t1", 50), ("read", "dev", "t1", None)]
     frame = spark.createDataFrame(rows, "action string, role string, tool string, age int")
