@@ -38,7 +38,7 @@ from .induced_sort import Spool, repeated
 from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
 from .shared import keyed, partitions, settle, shared_dir
 
-GRAM, BATCH_BYTES, SHARD_BYTES, MEMORY, HOT = 64, 1 << 21, 12_000_000, 1 << 26, 4096
+GRAM, BATCH_BYTES, SHARD_BYTES, MEMORY, HOT = 64, 1 << 21, 6_000_000, 1 << 26, 4096
 #: Share of all anchors' segments from which an anchor is hot.
 HOT_SHARE = 1_000_000
 #: Bytes between anchors, at the least on average.
