@@ -94,4 +94,5 @@ def sorted_digests(df: DataFrame, key: str, record: str) -> DataFrame:
             yield result()
 
     own = df.select(F.col(key).cast("string").alias(key), record)
-    return own.repartition(key).sortWithinPartitions(key, record).mapInArrow(run, f"{key} string, snapshot string, n long")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that few rows are not joined into one task
+    return own.repartition(n, key).sortWithinPartitions(key, record).mapInArrow(run, f"{key} string, snapshot string, n long")
