@@ -264,7 +264,8 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    spread = manifest.withColumn("before", before).repartition(F.col("shard"))
+    # A task a shard: the number is stated, or so few rows would be joined into one task. Ranges do not meet as hashes do.
+    spread = manifest.withColumn("before", before).repartitionByRange(max(1, manifest.count()), "shard")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

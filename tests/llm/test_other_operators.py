@@ -424,3 +424,18 @@ def test_pipeline_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path, mon
     assert mixed.columns == docs.columns and len(dict(copies)) == len(copies)
     assert key(mixed) == sorted((r for r in rows for _ in range(dict(copies)[r[0]])), key=repr)
     assert any(r.doc_id is None for r in mixed.collect())
+
+
+def test_shards_are_read_by_a_task_each(spark, documents, tmp_path):
+    from lodestrata.llm import token_files
+    from lodestrata.llm.queries import tokenizer_path
+
+    rows = [(i, f"text number {i} " * 20) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        folder, manifest = token_files.write_tokens(documents(rows), tokenizer_path(), folder=f"file://{tmp_path}/t")
+        found = token_files.read_tokens(folder, manifest)
+        assert manifest.count() == 8 and len([n for n in found.rdd.glom().map(len).collect() if n]) == 8
+        assert [r.doc_id for r in found.orderBy("start").collect()] == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
