@@ -26,14 +26,18 @@ def resolver(units: DataFrame) -> DataFrame:
     return units.groupBy("repo_id", "qualified_name").agg(last.alias("last")).select("repo_id", "qualified_name", "last.*")
 
 
-def reference_edges(units: DataFrame) -> DataFrame:
-    """IMPORTS, CALLS and INHERITS: a name as it is, then within the module if it has no dot, else an external node."""
+def reference_edges(units: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """IMPORTS, CALLS and INHERITS: a name as it is, then within the module if it has no dot, else an external node.
+
+    ``asking`` are the units whose references are wanted, all by default.
+    """
     names, out = resolver(units), None
     for kind, (holders, column, kinds, local) in REFERENCES.items():
         known = names.filter(F.col("target_kind").isin(kinds))
         first = known.select("repo_id", F.col("qualified_name").alias("ref"), F.col("target").alias("direct"))
         second = known.select("repo_id", F.col("qualified_name").alias("near"), F.col("target").alias("within"))
-        asked = units.filter(F.col("kind").isin(holders)).select("repo_id", "unit_id", module_name(F.col("file_path")).alias("module"), F.explode(column).alias("ref")).distinct()
+        holding = (units if asking is None else asking).filter(F.col("kind").isin(holders))
+        asked = holding.select("repo_id", "unit_id", module_name(F.col("file_path")).alias("module"), F.explode(column).alias("ref")).distinct()
         met = asked.join(first, ["repo_id", "ref"], "left")
         if local:
             near = F.when(~F.col("ref").contains("."), F.concat_ws(".", "module", "ref"))

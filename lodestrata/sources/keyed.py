@@ -80,8 +80,9 @@ class KeyedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def read(self) -> DataFrame:
-        return self._read(self.versions())
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those that the batches before one left."""
+        return self._read(self.versions(before))
 
     def read_keys(self, keys: DataFrame) -> DataFrame:
         """The rows of some keys, from their buckets alone."""
@@ -89,6 +90,17 @@ class KeyedTable:
         own = self._read({b: n for b, n in self.versions().items() if b in wanted})
         return own.join(keys.select(*self.key).distinct(), self.key, "left_semi")
 
+    def replace(self, keys: DataFrame, rows: DataFrame, number: int) -> list[int]:
+        """Puts ``rows`` in place of all rows of ``keys``; rows have no other keys, and a key without rows is deleted."""
+        marked = keys.select(*self.key).distinct().join(rows, self.key, "left")
+        given = rows.select(*self.key).distinct().withColumn("_given", F.lit(True))
+        marked = marked.join(given, self.key, "left").withColumn("_row", F.coalesce("_given", F.lit(False))).drop("_given")
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.join(new.select(*self.key), self.key, "left_anti").unionByName(new.filter("_row").drop("_row"))
+
+        return self.write(marked, number, merge)
+
     def write(self, rows: DataFrame, number: int, merge: Merge) -> list[int]:
         """Merges a batch into the buckets of its keys; gives the buckets that it rewrote."""
         rows = self._bucket(rows).persist()
