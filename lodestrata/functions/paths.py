@@ -34,7 +34,9 @@ def normal_url(url: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\w\s-]", ""), r"[\s_]+", "-")
+    """A title as part of a name: runs of other than a-z and 0-9 are one dash; nothing left is ``section``."""
+    dashed = F.btrim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.when(dashed == "", "section").otherwise(dashed)
 
 
 def first_paragraph(text: Column) -> Column:

@@ -60,6 +60,22 @@ def severity(x: Column, low: float = 0.05, medium: float = 0.20, high: float = 0
     return F.when(x >= high, "CRITICAL").when(x >= medium, "HIGH").when(x >= low, "MEDIUM").otherwise("LOW")
 
 
+#: What a severity calls for.
+ACTIONS = {
+    "LOW": "within tolerance — no action",
+    "MEDIUM": "monitor; schedule a refresh on next idle cycle",
+    "HIGH": "trigger Phase-6 refresh for affected entities",
+    "CRITICAL": "ESCALATE — full re-index recommended",
+}
+
+
+def action(severity: Column, what: Column) -> Column:
+    text = F.lit(None).cast("string")
+    for name, value in ACTIONS.items():
+        text = F.when(severity == name, value).otherwise(text)
+    return F.concat(what, F.lit(": "), text)
+
+
 def list_repr_length(items: Column) -> Column:
     """Characters of a list of strings as quoted text in brackets."""
     n = F.size(items)

@@ -134,6 +134,13 @@ def slices(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inner.join(outs, "node_id", "left").join(ins, "node_id", "left").fillna(0, ["n_out", "n_in"]).withColumn("degree", F.col("n_out") + F.col("n_in"))
 
 
+def slice_lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, way, neighbour), distinct, of nodes that are not External."""
+    inner = nodes.filter("kind <> 'External'").select("node_id")
+    row = lambda here, way, there: edges.select(F.col(here).alias("node_id"), F.lit(way).alias("way"), F.col(there).alias("neighbour"))
+    return row("src_id", "out", "dst_id").union(row("dst_id", "in", "src_id")).distinct().join(inner, "node_id", "left_semi")
+
+
 def validate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src_id, kind, dst_id, issue): orphan, self_edge or edge_rule, the first that holds."""
     kinds = nodes.select("node_id", F.col("kind").alias("node_kind"))

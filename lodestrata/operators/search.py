@@ -68,6 +68,16 @@ def fuse(vector: DataFrame, graph: DataFrame, keyword: DataFrame) -> DataFrame:
     return rows.groupBy("unit_id").agg(F.max("cosine").alias("cosine"), F.min("depth").alias("depth"), F.max("keyword").alias("keyword"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
+def provenance(channels: list[DataFrame]) -> DataFrame:
+    """(unit_id, file_path, qualified_name, kind): of each the first that is known, in the order of the channels."""
+    names, rows = ["file_path", "qualified_name", "kind"], None
+    for place, channel in enumerate(channels):
+        own = channel.select("unit_id", F.lit(place).alias("_place"), *names)
+        rows = own if rows is None else rows.unionByName(own)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("_place", F.col(c).alias("value"))))["value"].alias(c)
+    return rows.groupBy("unit_id").agg(*[first(c) for c in names])
+
+
 def rank(fused: DataFrame, k: int | None = None) -> DataFrame:
     """Final scores from the channels' features; features without a source are 0."""
     semantic = F.greatest(scoring.clip(F.coalesce("cosine", F.lit(0.0))), F.coalesce("keyword", F.lit(0.0)))

@@ -64,6 +64,14 @@ def with_placeholders(points: DataFrame, dim: int) -> DataFrame:
     return points.withColumn("has_vector", F.col("vector").isNotNull()).withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), dim)))
 
 
+def ensure_collections(there: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(collection, dim, state, n_left) of ``wanted`` (collection, dim), given what is ``there`` (and n_points): one of another length is made anew and has no points then."""
+    held = there.select("collection", F.col("dim").alias("_dim"), "n_points")
+    state = F.when(F.col("_dim").isNull(), "created").when(F.col("_dim") == F.col("dim"), "kept").otherwise("recreated")
+    met = wanted.select("collection", "dim").join(held, "collection", "left").withColumn("state", state)
+    return met.select("collection", "dim", "state", F.when(F.col("state") == "kept", F.col("n_points")).otherwise(0).cast("long").alias("n_left"))
+
+
 def delete_files(table: DataFrame, files: DataFrame) -> DataFrame:
     """Rows whose (repo_id, file_path) is not among ``files``."""
     return table.join(files.select("repo_id", "file_path"), ["repo_id", "file_path"], "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import identity, paths
@@ -20,6 +20,12 @@ def within(name: str, value: int) -> int:
     return value
 
 
+def request_faults(fields: list[str]) -> Column:
+    """The fields of a row of requests that are null, empty or out of their range, joined by commas."""
+    wrong = [F.when(~F.coalesce(F.col(f).between(1, MOST[f]) if f in MOST else F.length(F.trim(f)) > 0, F.lit(False)), f) for f in fields]
+    return F.concat_ws(",", *wrong)
+
+
 @dataclass(frozen=True)
 class Tools:
     units: DataFrame
