@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import identity, paths
-from .operators import graph, navigation, search
+from .functions.text import cut_at_line
+from .operators import graph, navigation, overview, reading, search
 
 #: The ranges that requests may use.
 MOST = {"top_k": 200, "limit": 100, "depth": 5, "nodes": 20_000}
@@ -46,17 +47,26 @@ class Tools:
     def find_symbol(self, text: str, limit: int = 20) -> DataFrame:
         return search.find_symbol(self.units, text, within("limit", limit))
 
-    def read_unit(self, reference: str) -> DataFrame:
-        """By unit id, else by qualified name, else by path."""
-        if len(reference) == 64:
-            by_id = self.units.filter(identity.is_unit_id(F.col("unit_id")) & (F.col("unit_id") == reference))
-            if by_id.limit(1).count():
-                return by_id
-        by_name = self.units.filter(F.col("qualified_name") == reference)
-        return by_name if by_name.limit(1).count() else self.units.filter(F.col("file_path") == reference)
+    def read_unit(self, reference: str, repo_id: str | None = None) -> DataFrame:
+        """The unit that a reference means (id, exact name, else path) in a repository or in any, its text within the budget, and its parents."""
+        asked = self._one("reference string, repo_id string", reference, repo_id)
+        found = reading.resolved(self.units, asked).select("unit_id")
+        content = cut_at_line(F.col("content"), reading.MOST_TOKENS).alias("content")
+        own = self.units.join(found, "unit_id", "left_semi").withColumn("truncated", F.length("content") > 4 * reading.MOST_TOKENS)
+        own = own.select(*[c for c in own.columns if c != "content"], content)
+        return own.join(reading.parent_chains(self.units, found), "unit_id").withColumnRenamed("chain", "parent_chain")
 
     def read_file(self, repo_id: str, path: str) -> DataFrame:
-        return self.units.filter((F.col("repo_id") == repo_id) & (F.col("file_path") == path)).orderBy("line_start", "qualified_name")
+        """A file put together from its units, within the budget, with its outline; no row if the repository has no such path."""
+        return reading.files(self.units.filter((F.col("repo_id") == repo_id) & (F.col("file_path") == path)))
+
+    def similar_paths(self, repo_id: str, path: str) -> DataFrame:
+        """The nearest paths to one that a repository does not have."""
+        asked = self._one("repo_id string, file_path string", repo_id, path)
+        return reading.similar_paths(self.units.filter(F.col("repo_id") == repo_id), asked)
+
+    def _one(self, schema: str, *values: str | None) -> DataFrame:
+        return self.units.sparkSession.createDataFrame([values], schema)
 
     def suggest(self, name: str) -> DataFrame:
         return navigation.suggestions(self.units, [name])
@@ -91,10 +101,37 @@ class Tools:
         return self.edges.join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi").select("src_id", "kind", "dst_id").distinct()
 
     def module_summary(self, module: str) -> DataFrame:
-        """Units of a module and of all below it; ``_`` in the name matches any character, as in LIKE."""
+        """Units of a module and of all below it, by kind; ``_`` in the name matches any character, as in LIKE."""
         held = self.units.filter((F.col("qualified_name") == module) | F.col("qualified_name").like(f"{module}.%"))
         return held.groupBy("kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("file_path")).alias("files"))
 
+    def get_module_summary(self, module: str, repo_id: str) -> DataFrame:
+        """Names of a module's classes, functions and constants, its imports and file, and how many units its name begins."""
+        inside = (F.col("qualified_name") == module) | F.col("qualified_name").startswith(f"{module}.")
+        return overview.module_summary(self.units.filter((F.col("repo_id") == repo_id) & inside)).filter(F.col("module") == module)
+
     def repo_overview(self, repo_id: str) -> DataFrame:
+        """(repo_id, section, place, name, n) of one repository, as ``overview.overview`` has it for all."""
         own = self.units.filter(F.col("repo_id") == repo_id)
-        return own.groupBy("language", "kind").agg(F.count("*").alias("n_units"), F.countDistinct("file_path").alias("n_files"), F.count_if(paths.is_doc(F.col("file_path"))).alias("n_docs"))
+        ids = own.select("unit_id")
+        among = self.edges.join(ids.withColumnRenamed("unit_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("unit_id", "dst_id"), "dst_id", "left_semi")
+        return overview.overview(own, among)
+
+
+#: What callers may ask by name, each with its method's arguments.
+REGISTERED = ["search_code", "find_symbol", "read_unit", "read_file", "similar_paths", "suggest", "explore", "explore_edges", "parents", "risks", "repo_graph", "module_summary", "get_module_summary", "repo_overview"]
+
+
+def registry() -> dict[str, list[str]]:
+    """Each tool's arguments in order."""
+    return {name: [p for p in signature(getattr(Tools, name)).parameters if p != "self"] for name in sorted(REGISTERED)}
+
+
+def call(tools: Tools, name: str, /, **arguments: object) -> DataFrame:
+    """Runs a tool by name; an unknown tool or argument is an error that says which there are."""
+    known = registry()
+    if name not in known:
+        raise ValueError(f"unknown tool {name}; there are {', '.join(known)}")
+    if extra := sorted(set(arguments) - set(known[name])):
+        raise ValueError(f"{name} does not take {', '.join(extra)}; it takes {', '.join(known[name])}")
+    return getattr(tools, name)(**arguments)
