@@ -18,14 +18,17 @@ the bound leaves are held against each other by exact sorted-array intersection
 What is asked for are the classes that links join, so a pair already joined needs no look:
 
 1. Each member of a tile is held against the tile's middle, the member with most shared keys.
-2. Tiles whose members are still in several components are gone through by bitmaps, and the nearest pair of
-   every two components is verified.
-3. The same again for what is still apart, now with every pair whose bound passes and that was not verified yet.
+2. Tiles whose members are still in several components are gone through by bitmaps, and each component's nearest
+   pair with another is verified.
+3. What is still apart goes through bitmaps again, now for every pair whose bound passes, each in the first tile that it shares.
+   The rows that have such pairs meet with their sets, and the pairs are made, tested and dropped within the
+   task; only links that join components leave it.
 
-A link between two documents is thus verified in step 3, or its ends are joined by verified links before.
+A link between two documents is thus verified in step 3, or its ends are joined by verified links before. What is
+written grows with the members of tiles, also where many sets are near each other and none link.
 
 In steps 2 and 3 members of the component with most rows in a tile never meet each other, and larger tiles are cut
-into blocks of ``BLOCK`` rows, each two of them a task's share, so no group gathers whole. Keys travel packed, one
+into blocks of ``BLOCK`` rows or ``BLOCK_WORDS`` words, each two of them a task's share, so no group gathers whole. Keys travel packed, one
 posting a batch for a key that a batch holds often. The numbers of buckets and cells follow those of words and rows.
 
 Defined results: null, empty and blank texts have no set (size 0) and link with nothing; with fewer words
@@ -47,7 +50,7 @@ from .hashing import mix, slices, text_words, windows
 from .postings import distinct, meeting, pack, pack_places, unpack, unpack_places
 from .shared import keyed, partitions, settle
 
-BLOCK = 2048
+BLOCK, BLOCK_WORDS = 2048, 2_000_000
 BUCKET_WORDS, CELL_ROWS = 4_000_000, 20_000
 SIGNATURE = "doc_id long, n long, d1 long, d2 long"
 SETS = "doc_id long, n long, bits binary, hashes binary"
@@ -287,18 +290,21 @@ def _bounded(percent: int) -> Callable:
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets link, by intersection of their sorted arrays."""
+    small, large = (x, y) if x.size <= y.size else (y, x)
+    at = np.minimum(np.searchsorted(large, small), large.size - 1)
+    both = int(np.count_nonzero(large[at] == small))
+    return 100 * both >= percent * (x.size + y.size - both)
+
+
 def _exact(percent: int) -> Callable:
     """Rows a, b, hashes_a, hashes_b in; the pairs that link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
-                small, large = (x, y) if x.size <= y.size else (y, x)
-                at = np.minimum(np.searchsorted(large, small), large.size - 1)
-                both = int(np.count_nonzero(large[at] == small))
-                keep[i] = 100 * both >= percent * (x.size + y.size - both)
+            sides = zip(batch.column(2), batch.column(3), strict=True)
+            keep = np.array([_linked(*(np.frombuffer(c.as_buffer(), np.uint64) for c in pair), percent) for pair in sides], bool)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -350,41 +356,146 @@ def _within(n: np.ndarray, comp: np.ndarray, side: np.ndarray, narrow: np.ndarra
             yield first[keep], second[keep], differ[keep]
 
 
-def _cross(percent: int, nearest: bool) -> Callable:
-    """A cell of tiles in; pairs across components whose bound passes out, or the nearest such of every two components of a tile."""
+def _pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, i, j, bits that differ) of each part: its pairs across components whose bound passes, as rows of ``table``.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
-        tile, doc, n, comp, side = (np.asarray(table.column(c)) for c in ("part", "doc_id", "n", "comp", "side"))
-        bits = table.column("bits").combine_chunks()
-        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-        out = [np.zeros((2, 0), np.int64)]
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi - lo < 2:
+    ``table`` is sorted by part, n and doc_id.
+    """
+    part, n, comp, side = (np.asarray(table.column(c)) for c in ("part", "n", "comp", "side"))
+    bits = table.column("bits").combine_chunks()
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if part.size else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi - lo < 2:
+            continue
+        cells = [x.as_py() for x in bits.slice(lo, hi - lo)]
+        widths = np.array([len(x) for x in cells])
+        # Sizes that can link have the same width or neighbouring ones; each is folded to the narrower only.
+        for size in np.unique(widths).tolist():
+            at = np.flatnonzero((widths == size) | (widths == 2 * size))
+            if at.size < 2:
                 continue
-            cells = [x.as_py() for x in bits.slice(lo, hi - lo)]
-            widths = np.array([len(x) for x in cells])
-            found = []
-            # Sizes that can link have the same width or neighbouring ones; each is folded to the narrower only.
-            for size in np.unique(widths).tolist():
-                at = np.flatnonzero((widths == size) | (widths == 2 * size))
-                if at.size < 2:
-                    continue
-                maps = np.stack([fold(cells[i], size) for i in at])
-                own = at + lo
-                for i, j, differ in _within(n[own], comp[own], side[own], widths[at] == size, maps, percent):
-                    found.append(np.stack([own[i], own[j], differ]))
-            i, j, differ = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
-            if nearest and i.size:
-                low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-                order = np.lexsort((differ, high, low))
-                low, high = low[order], high[order]
-                order = order[np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])]
-                i, j = i[order], j[order]
-            out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
-        a, b = np.concatenate(out, axis=1)
+            maps = np.stack([fold(cells[i], size) for i in at])
+            own = at + lo
+            for i, j, differ in _within(n[own], comp[own], side[own], widths[at] == size, maps, percent):
+                yield int(part[lo]), own[i], own[j], differ
+
+
+_ORDER = [("part", "ascending"), ("n", "ascending"), ("doc_id", "ascending")]
+
+
+def _nearest(percent: int) -> Callable:
+    """A cell of parts in; each component's nearest pair in its part out, so at most a pair a component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(_ORDER)
+        doc, comp = np.asarray(table.column("doc_id")), np.asarray(table.column("comp"))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for part, i, j, differ in _pairs(table, percent):
+            for of in (comp[i], comp[j]):
+                order = np.lexsort((differ, of))
+                order = order[np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))] if order.size else order
+                for c, d, x, y in zip(of[order].tolist(), differ[order].tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+                    if (part, c) not in best or d < best[part, c][0]:
+                        best[part, c] = d, x, y
+        pairs = np.array([v[1:] for v in best.values()], np.int64).reshape(-1, 2)
+        a, b = doc[pairs[:, 0]], doc[pairs[:, 1]]
         pa.default_memory_pool().release_unused()
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
+def _before(table: pa.Table, rows: np.ndarray) -> np.ndarray:
+    """For rows of one part, a bit for each tile before theirs that two of them are in."""
+    own = table.take(pa.array(rows))
+    tile = own.column("tile")[0].as_py()
+    lists = own.column("tiles").combine_chunks()
+    flat = np.asarray(lists.flatten())
+    of = np.repeat(np.arange(rows.size), np.asarray(lists.value_lengths()))
+    of, flat = of[flat < tile], flat[flat < tile]
+    used, index, held = np.unique(flat, return_inverse=True, return_counts=True)
+    several = held > 1
+    bit = np.cumsum(several) - 1
+    keep = several[index]
+    out = np.zeros((rows.size, 8 * max(1, -(-int(several.sum()) // 64))), np.uint8)
+    at = bit[index[keep]]
+    np.bitwise_or.at(out, (of[keep], at // 8), (1 << (at % 8)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _own_pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``_pairs``, without those that share a tile before the part's own: a pair is looked at in one tile only."""
+    part = np.asarray(table.column("part"))
+    place = np.zeros(part.size, np.int64)
+    masks: dict[int, np.ndarray] = {}
+    for p, i, j, differ in _pairs(table, percent):
+        if p not in masks:
+            masks.clear()
+            lo, hi = np.searchsorted(part, p, "left"), np.searchsorted(part, p, "right")
+            place[lo:hi] = np.arange(hi - lo)
+            masks[p] = _before(table, np.arange(lo, hi))
+        keep = ~np.any(masks[p][place[i]] & masks[p][place[j]], axis=1)
+        yield p, i[keep], j[keep], differ[keep]
+
+
+def _asked(percent: int) -> Callable:
+    """A cell of parts in; the rows that have a pair to be looked at in their part out, a row each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(_ORDER)
+        doc = np.asarray(table.column("doc_id"))
+        wanted = np.zeros(doc.size, bool)
+        for _, i, j, _ in _own_pairs(table, percent):
+            wanted[i] = True
+            wanted[j] = True
+        at = pa.array(np.flatnonzero(wanted))
+        pa.default_memory_pool().release_unused()
+        return table.select(["part", "doc_id"]).take(at)
+
+    return run
+
+
+def _wide(own: list[np.ndarray], bits: int) -> np.ndarray:
+    """Bitmaps of ``bits`` bits, by another hash."""
+    out = np.zeros((len(own), bits // 8), np.uint8)
+    for k, values in enumerate(own):
+        at = (mix(values ^ np.uint64(0x6C8E9CF570932BD5)) & np.uint64(bits - 1)).astype(np.int64)
+        out[k] = np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little")
+    return out.view(np.uint64)
+
+
+def _find(up: dict[int, int], x: int) -> int:
+    while up.setdefault(x, x) != x:
+        up[x] = x = up[up[x]]
+    return x
+
+
+def _links(percent: int) -> Callable:
+    """The asked rows of a part with their sets in; links that join its components out, fewer than the rows.
+
+    Pairs that the bound leaves meet wider bitmaps, eight times the first ones, and then each other's sets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(_ORDER)
+        doc, n, comp = (np.asarray(table.column(c)) for c in ("doc_id", "n", "comp"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes").combine_chunks()]
+        maps = _wide(own, 8 * width(int(n.max(initial=1)), percent))
+        up: dict[int, int] = {}
+        a, b = [], []
+        for _, i, j, _ in _own_pairs(table, percent):
+            strip = max(1, (1 << 22) // maps.shape[1])
+            for at in range(0, i.size, strip):
+                x, y = i[at : at + strip], j[at : at + strip]
+                keep = may_link(n[x], n[y], np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64), percent)
+                for k, m in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                    one, other = _find(up, int(comp[k])), _find(up, int(comp[m]))
+                    if one != other and _linked(own[k], own[m], percent):
+                        up[one] = other
+                        a.append(min(doc[k], doc[m]))
+                        b.append(max(doc[k], doc[m]))
+        pa.default_memory_pool().release_unused()
+        return pa.table({"a": pa.array(np.array(a, np.int64)), "b": pa.array(np.array(b, np.int64))})
 
     return run
 
@@ -393,18 +504,25 @@ def _block(doc: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(doc), blocks).cast("int")
 
 
-def cross_pairs(members: DataFrame, full: DataFrame, roots: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of members of a tile in different components whose bound passes."""
-    placed = members.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("tile", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-    sizes = placed.groupBy("tile", "comp").agg(F.count("*").alias("held"))
-    whole = F.sum("held").alias("held"), F.count("*").alias("comps"), F.max(F.struct("held", "comp")).alias("top")
+def parts(members: DataFrame, full: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n, comp, bits, tile, part, side): the members of tiles whose components are several, by the parts in which they meet.
+
+    A tile of many rows or long sets is cut into blocks; a part is two of them, and pairs of one side are no pairs of it.
+    """
+    placed = members.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").join(full.select("doc_id", "n"), "doc_id")
+    placed = placed.select("tile", "doc_id", "n", F.coalesce("root", "doc_id").alias("comp"))
+    sizes = placed.groupBy("tile", "comp").agg(F.count("*").alias("held"), F.sum("n").alias("words"))
+    whole = F.sum("held").alias("held"), F.sum("words").alias("words"), F.count("*").alias("comps"), F.max(F.struct("held", "comp", "words")).alias("top")
     apart = sizes.groupBy("tile").agg(*whole).filter("comps > 1")
     # The component with most rows is the base: its members meet the others only.
-    blocks = [F.ceil(x / F.lit(BLOCK)).cast("int") for x in (F.col("top.held"), F.col("held") - F.col("top.held"))]
-    apart = apart.select("tile", F.col("top.comp").alias("base"), blocks[0].alias("of_base"), blocks[1].alias("of_rest"), (F.col("held") <= BLOCK).alias("small"))
-    rows = placed.join(apart, "tile").join(full.select("doc_id", "n", "bits"), "doc_id").withColumn("in_base", F.col("comp") == F.col("base"))
-    keep = ["doc_id", "n", "comp", "bits"]
-    small = rows.filter("small").select(*keep, F.col("tile").alias("part"), F.lit(-1).alias("side"))
+    count_of = lambda rows, words: F.ceil(F.greatest(rows / F.lit(BLOCK), words / F.lit(BLOCK_WORDS))).cast("int")
+    of_base = count_of(F.col("top.held"), F.col("top.words"))
+    of_rest = count_of(F.col("held") - F.col("top.held"), F.col("words") - F.col("top.words"))
+    small = (F.col("held") <= BLOCK) & (F.col("words") <= BLOCK_WORDS)
+    apart = apart.select("tile", F.col("top.comp").alias("base"), of_base.alias("of_base"), of_rest.alias("of_rest"), small.alias("small"))
+    rows = placed.join(apart, "tile").join(full.select("doc_id", "bits"), "doc_id").withColumn("in_base", F.col("comp") == F.col("base"))
+    keep = ["doc_id", "n", "comp", "bits", "tile"]
+    alone = rows.filter("small").select(*keep, F.col("tile").alias("part"), F.lit(-1).alias("side"))
     large = rows.filter("not small").withColumn("mine", F.when(F.col("in_base"), _block(F.col("doc_id"), F.col("of_base"))).otherwise(_block(F.col("doc_id"), F.col("of_rest"))))
     count = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
     with_base = large.withColumn("other", F.explode(F.when(F.col("in_base"), count("of_rest")).otherwise(count("of_base"))))
@@ -413,8 +531,31 @@ def cross_pairs(members: DataFrame, full: DataFrame, roots: DataFrame, percent:
     rest = large.filter("not in_base").withColumn("other", F.explode(count("of_rest")))
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
     rest = rest.select(*keep, F.xxhash64("tile", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), side.alias("side"))
-    cells = small.union(with_base).union(rest).withColumn("cell", F.pmod("part", F.lit(max(4 * partitions(members.sparkSession), -(-members.count() // CELL_ROWS)))))
-    return cells.groupBy("cell").applyInArrow(_cross(percent, nearest), "a long, b long").distinct()
+    return alone.union(with_base).union(rest)
+
+
+def _cells(rows: DataFrame, count: int) -> DataFrame:
+    cells = max(4 * partitions(rows.sparkSession), -(-count // CELL_ROWS))
+    return rows.withColumn("cell", F.pmod("part", F.lit(cells)))
+
+
+def nearest_pairs(members: DataFrame, full: DataFrame, roots: DataFrame, percent: int, count: int) -> DataFrame:
+    """Of each component in a tile the nearest pair with another one whose bound passes."""
+    cells = _cells(parts(members, full, roots), count)
+    return cells.groupBy("cell").applyInArrow(_nearest(percent), "a long, b long").distinct()
+
+
+def exact_links(members: DataFrame, full: DataFrame, roots: DataFrame, percent: int, count: int) -> DataFrame:
+    """(a, b): links between components that share a tile, enough to join all that are linked.
+
+    First by bitmaps alone: which rows of a part have a pair there that passes. Those rows meet again with their
+    sets, and pairs are made and tested within the task; what is written are rows of parts, not pairs.
+    """
+    lists = members.groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
+    rows = parts(members, full, roots).join(lists, "doc_id")
+    asked = settle(_cells(rows, count).groupBy("cell").applyInArrow(_asked(percent), "part long, doc_id long"), "asked")
+    held = rows.join(asked, ["part", "doc_id"]).join(full.select("doc_id", "hashes"), "doc_id")
+    return held.groupBy("part").applyInArrow(_links(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -432,13 +573,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     tested = settle(middle_pairs(members, full, percent), "pairs")
     links = settle(verified(tested, full, percent), "links")
     roots = components(links)
-    for nearest in (True, False):
-        pairs = cross_pairs(members, full, roots, percent, nearest).join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        tested = tested.union(pairs)
-        more = settle(verified(pairs, full, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
+    count = members.count()
+    pairs = settle(nearest_pairs(members, full, roots, percent, count).join(tested, ["a", "b"], "left_anti"), "pairs")
+    for more in (lambda: verified(pairs, full, percent), lambda: exact_links(members, full, roots, percent, count)):
+        found = settle(more(), "links")
+        if not found.isEmpty():
+            links = links.union(found)
             roots = components(links)
     # A representative has the least key of its class, so copies change no root.
     of = roots.withColumnsRenamed({"u": "rep", "root": "top"})

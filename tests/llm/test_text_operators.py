@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -9,7 +10,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pytest
-from lodestrata.llm import jaccard_join, line_dedup, postings, substring_dedup, token_files
+from lodestrata.llm import jaccard_join, line_dedup, postings, shared, substring_dedup, token_files
 from lodestrata.llm.hashing import inside, text_words, windows
 from lodestrata.llm.queries import tokenizer_path
 
@@ -233,3 +234,44 @@ def test_token_frames_are_checked(tmp_path):
     assert [i for i, _, _ in reader.documents([399])] == [399]
     with pytest.raises(Exception, match="checksum|corrupt|decompress|Data"):
         list(reader.documents([0]))
+
+
+def _family(count, words=200, differ=6):
+    """Texts that differ from a template in some words each: near each other, and none links at 90%."""
+    rnd = random.Random(9)
+    template = [f"t{i}" for i in range(words)]
+    out = []
+    for i in range(count):
+        own = list(template)
+        for at in rnd.sample(range(words), differ):
+            own[at] = f"x{i}_{at}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_near_texts_that_do_not_link_write_rows_by_members(spark, documents, monkeypatch):
+    written = []
+
+    def counted(count):
+        written.append(0)
+
+        def settle(df, label):
+            found = shared.settle(df, label)
+            written[-1] += found.count() if label in ("pairs", "links", "asked") else 0
+            return found
+
+        monkeypatch.setattr(jaccard_join, "settle", settle)
+        rows = _family(count) + [(count + i, t) for i, t in _family(20, differ=1)]
+        return {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(rows), words=1, percent=90).collect()}
+
+    for count in (200, 800):
+        found = counted(count)
+        texts = [set(t.split()) for _, t in _family(count) + [(0, t) for _, t in _family(20, differ=1)]]
+        up = list(range(len(texts)))
+        for i, a in enumerate(texts):
+            for j in range(i):
+                if 10 * len(a & texts[j]) >= 9 * len(a | texts[j]):
+                    one, other = sorted((up[i], up[j]))
+                    up = [one if u == other else u for u in up]
+        assert [found[i] for i in range(len(texts))] == up
+    assert written[1] < 6 * written[0]
