@@ -6,8 +6,9 @@ and notices. Whole texts are units, and so are each document's lines, since docu
 notices as lines of their own; a unit counts only if all of it equals the known text.
 
 Whole texts are also held against the full licences in ``licence_texts``, with and without their title
-lines, and units of several lines (a notice or a short licence that is wrapped or in paragraphs) are looked
-up too: from a line that begins as a known text does to the end of one of the next ``PARAGRAPHS`` paragraphs.
+lines. Short licences and notices longer than a line are known within documents too, however they are wrapped, spaced or
+divided: where the canonical words go as the first ``HEAD`` of a known text, the runs from there of all
+lengths that known texts have are looked up by their digests.
 
 The known table is fixed and small (its size is that of this file), so it is broadcast.
 
@@ -67,7 +68,8 @@ TITLES = {
     "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "BSD-2-Clause"],
     "Unlicense": ["The Unlicense", "Unlicense"],
 }
-PARAGRAPHS = 8
+#: Words by which the beginning of a known text is found.
+HEAD = 12
 
 
 def _short() -> list[tuple[str, str]]:
@@ -99,30 +101,27 @@ def _full() -> list[tuple[str, str]]:
     return out
 
 
-def _heads() -> str:
-    """How the texts of ``_short`` begin: an expression over a line and what follows it."""
-    found = sorted({" ".join(re.findall(r"[a-z0-9]+", t.lower())[:12]) for _, t in _short() if len(t) > 150})
-    gap = "[^a-zA-Z0-9]{1,80}"
-    return "(?:" + "|".join(h.replace("licens", "licen[cs]").replace("version 2", "v(?:er(?:sion)?)?[^a-zA-Z0-9]{0,80}2").replace(" ", gap) for h in found) + ")"
-
-
 def _digests(docs: DataFrame, texts: list[tuple[str, str]]) -> DataFrame:
     """(digest, licence), a row a digest."""
     rows = docs.sparkSession.createDataFrame(texts, "licence string, text string")
     return rows.groupBy(F.md5(canonical(F.col("text"))).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
-def _blocks(text: Column) -> Column:
-    """Digests of the units of several lines that begin as a known text does."""
-    heads = _heads()
-    start = rf"(?i)\n(?=[^a-zA-Z0-9\n]*{heads})"
-    of = lambda parts, n: F.btrim(F.array_join(F.slice(parts, 1, n), "\n\n"), F.lit(" \t\r\n"))
-    fits = lambda t: F.contains(t, F.lit("\n"))
-    paragraphs = lambda piece: F.filter(F.split(piece, r"\n[^a-zA-Z0-9\n]*(?=\n)"), lambda p: p.rlike("[a-zA-Z0-9]"))
-    runs = lambda parts: F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(PARAGRAPHS))), lambda n: of(parts, n))
-    own = lambda piece: F.array_distinct(F.transform(F.filter(runs(paragraphs(piece)), fits), lambda t: F.md5(canonical(t))))
-    begun = F.filter(F.split(text, start), lambda p: p.rlike(rf"(?i)\A[^a-zA-Z0-9]*{heads}"))
-    return F.flatten(F.transform(begun, own))
+def _runs(canon: Column, table: list[tuple[str, int]]) -> Column:
+    """Digests of the runs of words that begin, anywhere in a canonical text, as a known text does, one for each length that such texts have.
+
+    ``table`` holds the first words and the number of words of the known texts.
+    """
+    heads, lengths = sorted({head for head, _ in table}), sorted({size for _, size in table})
+    # Each piece begins with the first words of a known text; a known text may reach over several.
+    pieces = F.split(canon, r"\b(?=(?:" + "|".join(heads) + r")\b)")
+    over = max(lengths) // HEAD + 2
+    begun = F.transform(pieces, lambda piece, i: F.split(F.array_join(F.slice(pieces, i + 1, F.lit(over)), ""), " "))
+    begun = F.filter(begun, lambda words: F.array_join(F.slice(words, 1, HEAD), " ").isin(heads))
+    sizes = F.array(*map(F.lit, lengths))
+    run = lambda words, n: F.md5(F.array_join(F.slice(words, F.lit(1), n), " "))
+    own = lambda words: F.transform(F.filter(sizes, lambda n: n <= F.size(words)), lambda n: run(words, n))
+    return F.array_distinct(F.flatten(F.transform(begun, own)))
 
 
 def canonical(text: Column) -> Column:
@@ -150,9 +149,17 @@ def scan(docs: DataFrame) -> DataFrame:
     # A line that says nothing of rights can't equal a known text.
     lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(line.rlike(RIGHTS))
     single = lines.select("doc_id", F.md5(canonical(line)).alias("digest")).join(table, "digest")
-    begun = own.filter(F.col("text").rlike("(?i)" + _heads()))
-    several = begun.select("doc_id", F.explode(_blocks(F.col("text"))).alias("digest")).join(F.broadcast(_digests(docs, _short())), "digest")
-    found = single.select("doc_id", "licence").union(several.select("doc_id", "licence")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("licence")).alias("held"))
+    canon = F.col("canon")
+    texts = own.sparkSession.createDataFrame([t for t in _short() if len(t[1]) > 150], "licence string, text string").select("licence", canonical(F.col("text")).alias("canon"))
+    words = F.split("canon", " ")
+    short = [tuple(r) for r in texts.select(F.array_join(F.slice(words, 1, HEAD), " "), F.size(words)).distinct().collect()]  # of the fixed table
+    begun = own.select("doc_id", canonical(F.col("text")).alias("canon")).filter(canon.rlike("|".join(sorted({head for head, _ in short}))))
+    runs = texts.groupBy(F.md5("canon").alias("digest")).agg(F.min("licence").alias("licence"))
+    several = begun.select("doc_id", F.explode(_runs(canon, short)).alias("digest")).join(F.broadcast(runs), "digest")
+    # A known text on one line is a line's notice, and counts once for each line, not as a run of words again.
+    row = lambda df, lines: df.select("doc_id", "digest", "licence", F.lit(lines).alias("lines"))
+    each = row(single, 1).union(row(several, 0)).groupBy("doc_id", "digest", "licence").agg(F.greatest(F.sum("lines"), F.lit(1)).alias("n"))
+    found = each.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.array_sort(F.collect_set("licence")).alias("held"))
     return whole.join(found, whole["doc_id"].eqNullSafe(found["doc_id"]), "left").select(
         whole["doc_id"], "digest", "licence", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("held", ","), F.lit("")).alias("notices")
     )

@@ -354,6 +354,18 @@ def test_licences_of_lines_with_much_space(documents):
     assert got == {1: ("MIT", 1, "MIT"), 2: (None, 0, "")}
 
 
+def test_licences_however_they_are_divided(documents):
+    """Many paragraphs, wide gaps, one line, rows of null and repeated ids, and a text that goes on otherwise."""
+    mit = dict((k, t) for k, t in licences.KNOWN if t.startswith("Permission is hereby"))["MIT"]
+    words = mit.split()
+    parts = "\n\n".join(" ".join(words[i : i + 6]) for i in range(0, len(words), 6))
+    wide = mit.replace(" charge,", " " * 300 + "charge,").replace(" software", "\n" + "-" * 100 + "\nsoftware", 1)
+    rows = [(1, f"before\n{parts}\nafter"), (2, f"before\n{wide}\nafter"), (3, f"before\n{mit}\nafter"), (4, f"before\n{mit.replace('merge', 'mend')}\nafter"), (5, " ".join(words[:-1]))]
+    rows += [(None, f"x\n{parts}"), (None, "Licensed under the MIT License."), (6, f"x\n{parts}"), (6, "nothing"), (7, "word " * 300_000 + parts), (8, None), (9, "")]
+    got = sorted(((r.doc_id, r.n_notices, r.notices) for r in licences.scan(documents(rows)).collect()), key=str)
+    assert got == sorted([(1, 1, "MIT"), (2, 1, "MIT"), (3, 1, "MIT"), (4, 0, ""), (5, 0, ""), (None, 2, "MIT"), (None, 2, "MIT"), (6, 1, "MIT"), (6, 1, "MIT"), (7, 1, "MIT"), (8, 0, ""), (9, 0, "")], key=str)
+
+
 def test_licences_of_full_texts_and_wrapped_notices(documents):
     """Whole licence files, with title lines or not, and notices of several lines in longer documents."""
     import textwrap
