@@ -38,6 +38,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, shape = shape, _shape(own)
         if before == shape and _is_stars(own):
             break
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return own.select("u", F.col("v").alias("root"))
 
 

@@ -244,11 +244,16 @@ def _strength(one: float, zero: float, ones: int, zeros: int) -> tuple[float, fl
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, label) of the bounded sample: no held-out row, no null label."""
+    """(text, label) of the bounded sample: no held-out row, no null label.
+
+    ``sample`` bounds the rows themselves: of an id that several rows of ``docs`` have, one text counts for each
+    label, that of the least digest. Other rows of the id are scored as all are.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") != 0).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "label")  # ``sample`` ids at most
+    held = texts.join(F.broadcast(picked.distinct()), "doc_id")  # ``sample`` ids at most
+    return held.groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text")).select("text", "label")
 
 
 def _places(forms: dict[str, float]) -> Callable:
@@ -262,7 +267,10 @@ def _places(forms: dict[str, float]) -> Callable:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Learns the lexicon and the score's curve from a bounded sample of labelled rows."""
+    """Learns the lexicon and the score's curve from a bounded sample of labelled rows.
+
+    The model is bounded too: of the forms that tell, the surest 5,000 are looked at, and at most ENTRIES enter the lexicon.
+    """
     rows = settle(training_rows(docs, labels, sample), "labelled")
     built_in = Lexicon({w: 1.0 for w in INSULTS.split()})
     counts = rows.mapInArrow(_count_forms, "form string, label0 long, label1 long").groupBy("form").agg(F.sum("label0").alias("label0"), F.sum("label1").alias("label1"))

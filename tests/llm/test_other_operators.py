@@ -451,3 +451,94 @@ def test_shards_are_read_by_a_task_each(spark, documents, tmp_path):
         assert [r.doc_id for r in found.orderBy("start").collect()] == list(range(400))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _plain_fit(rows):
+    """The lexicon's weights, threats and curve from (text, label), in plain Python."""
+    import collections
+    import math
+
+    import numpy as np
+
+    def forms_of(text):
+        n = collections.Counter(toxicity.WORD.findall(text.lower()))
+        starts = collections.defaultdict(int)
+        for word, k in n.items():
+            for size in toxicity.BEGINNINGS:
+                if len(word) >= size:
+                    starts[word[:size] + "*"] += min(k, 2)
+        return set(n) | {s for s, k in starts.items() if k > 1}
+
+    held = [(forms_of(t or ""), y) for t, y in rows]
+    ones, zeros = (sum(y == k for _, y in held) for k in (1, 0))
+    counts = {k: collections.Counter(f for s, y in held if y == k for f in s) for k in (0, 1)}
+    tested = {f: (counts[0][f], k) for f, k in counts[1].items() if k >= 3}
+    base = ones / (ones + zeros)
+    odds, sure = {}, {}
+    for f, (n0, n1) in tested.items():
+        share = n1 / (n0 + n1)
+        gain = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)
+        value = math.log((n1 + 0.5) / (ones + 1)) - math.log((n0 + 0.5) / (zeros + 1))
+        least = value - 2 * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+        if (n0 + n1) * gain >= math.log(len(tested) / toxicity.CHANCE) and least >= toxicity.LEAST:
+            odds[f], sure[f] = value, least
+    toxic = [s for s, y in held if y == 1]
+    chosen, covered = {}, [0] * len(toxic)
+    for f in sorted(odds, key=lambda f: (-sure[f], "*" in f, -len(f), f))[:5000]:
+        fresh = sum(f in s and covered[i] < toxicity.COVER for i, s in enumerate(toxic))
+        bare = f.rstrip("*")
+        if len(chosen) < toxicity.ENTRIES and fresh >= max(4, 0.01 * len(toxic)) and not any(f.startswith(c.rstrip("*")) or c.rstrip("*").startswith(bare) for c in chosen):
+            chosen[f] = odds[f] / (10 if f.endswith("*") else 5)
+            covered = [c + (f in s) for c, s in zip(covered, toxic, strict=True)]
+    mean = sum(chosen.values()) / len(chosen)
+    threats = []
+    for w in toxicity.THREATS.split():
+        n0, n1 = counts[0][w], counts[1][w]
+        value = math.log((n1 + 0.5) / (ones + 1)) - math.log((n0 + 0.5) / (zeros + 1))
+        threats.append((w, max(0.0, value / 5) if n0 + n1 >= 10 else mean))
+    grammar = toxicity.Grammar(toxicity.Lexicon(chosen, threats=tuple(threats)))
+    x = np.array([round(math.log1p(sum(w for _, w in grammar.clauses(t or ""))), 2) for t, _ in rows])
+    y, theta = np.array([k for _, k in rows]), np.zeros(2)
+    design = np.stack([x, np.ones_like(x)], 1)
+    for _ in range(20_000):  # gradient ascent of the penalised likelihood
+        theta = theta + 0.5 / len(rows) * (design.T @ (y - 1 / (1 + np.exp(-design @ theta))) - 0.1 * theta)
+    return chosen, dict(threats), theta
+
+
+def test_whole_toxicity_query_equals_a_plain_one(spark, sf_dir):
+    import math
+
+    from lodestrata.llm.queries import op1_toxicity
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = [(r.doc_id, int(bool(r.toxic))) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.toxic is not None]
+    rows = [(docs[i], y) for i, y in labels if i in docs and toxicity.label_crc(i) != 2]
+    found = {r.doc_id: r for r in op1_toxicity(spark, sf_dir).collect()}
+    assert found.keys() == docs.keys()
+    if {y for _, y in rows} == {0, 1} and rows:
+        try:
+            weights, threats, (a, b) = _plain_fit(rows)
+        except ZeroDivisionError:  # too few rows for any form to tell
+            return
+        grammar = toxicity.Grammar(toxicity.Lexicon(weights, threats=tuple(threats.items())))
+        for i, text in docs.items():
+            total = sum(w for _, w in grammar.clauses(text)) if text is not None else 0.0
+            want = 1 / (1 + math.exp(-(a * math.log1p(total) + b)))
+            assert abs(found[i].score - want) < 0.005 and found[i].predicted == int(found[i].score >= 0.3) and found[i].held_out == (toxicity.label_crc(i) == 2)
+
+
+def test_toxicity_fit_equals_a_plain_one(spark, documents, labelled):
+    rows, labels = labelled
+    lexicon = toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = dict(rows)
+    weights, threats, theta = _plain_fit([(texts[i], y) for i, y in labels if toxicity.label_crc(i) != 2])
+    assert lexicon.weights == pytest.approx(weights) and dict(lexicon.threats) == pytest.approx(threats)
+    assert (lexicon.a, lexicon.b) == pytest.approx(tuple(theta), rel=0.01, abs=0.01)
+
+
+def test_a_repeated_labelled_id_counts_once(spark, documents, labelled):
+    rows, labels = labelled
+    table = spark.createDataFrame([*labels, *labels[:50]], "doc_id long, toxic int")
+    own = [*rows, *[(3, f"again {i}") for i in range(20_000)]]
+    assert toxicity.training_rows(documents(own), table).count() == sum(toxicity.label_crc(i) != 2 for i, _ in labels)
+    assert toxicity.training_rows(documents(own), table, sample=40).count() <= 40
