@@ -40,7 +40,12 @@ def slug(title: Column) -> Column:
 
 
 def first_paragraph(text: Column) -> Column:
-    return F.trim(F.split(F.regexp_replace(text, r"^\s+", ""), r"\n\s*\n", 2)[0])
+    """The text up to its first blank line; texts that cannot have one are not searched for it."""
+    bare = F.ltrim(text, F.lit(" \t\n\x0b\f\r"))
+    may = F.lit(False)
+    for space in "\n \t\r\x0b\f":
+        may = may | F.contains(bare, F.lit("\n" + space))
+    return F.trim(F.when(may, F.split(bare, r"\n\s*\n", 2)[0]).otherwise(bare))
 
 
 def one_line(text: Column, most: int = 200) -> Column:
