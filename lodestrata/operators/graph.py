@@ -34,14 +34,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("dst_id").alias("here"), F.col("src_id").alias("there"), "kind", F.lit("in").alias("way")))
 
 
+def held(edges: DataFrame, depth: int) -> DataFrame:
+    """The edges as a written table where a search reads them more than once: one way only, both are made as they are read."""
+    return settle(edges.select("src_id", "kind", "dst_id"), "edges") if depth > 1 else edges
+
+
 def reach(steps: DataFrame, seeds: DataFrame, depth: int, barred: DataFrame | None = None) -> DataFrame:
     """(node_id, depth) within ``depth`` steps of the seeds, seeds at 0; nodes in ``barred`` are not entered.
 
-    ``steps`` has here and there, and is written once to the shared folder. Each round joins only the newest nodes,
-    drops those met before and is written too, so neither the plan nor the work of making steps grows with depth.
+    ``steps`` has here and there, and is read once a round; edges that are dear to make are written before (``held``).
+    Each round joins only the newest nodes, drops those met before and is written, so the plan does not grow with
+    depth. Steps may repeat: what they lead to is made distinct, which is less than all of them.
     """
     met = seeds.select("node_id").distinct().withColumn("depth", F.lit(0).cast("long"))
-    steps = settle(steps, "steps") if depth > 1 else steps
     newest = met
     for k in range(1, depth + 1):
         found = steps.join(newest.select(F.col("node_id").alias("here")), "here", "left_semi").select(F.col("there").alias("node_id")).distinct()
@@ -65,8 +70,8 @@ def explore(edges: DataFrame, seed: DataFrame, direction: str, depth: int) -> Da
     node by (other, kind, way). A node's place in that order is the list of ids on its way, which compares as text.
     """
     rule = DIRECTIONS[direction]
-    steps = both_ways(edges).filter((F.col("kind") == rule[0]) & (F.col("way") == rule[1])) if rule else both_ways(edges)
-    steps = settle(steps, "steps") if depth > 1 else steps
+    own = held(edges.filter(F.col("kind") == rule[0]) if rule else edges, depth)
+    steps = both_ways(own).filter(F.col("way") == rule[1]) if rule else both_ways(own)
     newest = seed.select("node_id", F.lit("").alias("place"), F.lit(0).cast("long").alias("distance"), F.lit("").alias("relation"))
     met = newest
     for k in range(1, depth + 1):
@@ -101,18 +106,18 @@ def explored_edges(edges: DataFrame, seed: DataFrame, kept: DataFrame, most: int
 def neighbours(edges: DataFrame, start: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
     """Nodes within ``depth`` undirected steps, the start itself left out."""
     own = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
-    return reach(both_ways(own).select("here", "there").distinct(), start, depth).filter("depth > 0")
+    return reach(both_ways(held(own, depth)).select("here", "there"), start, depth).filter("depth > 0")
 
 
 def graph_candidates(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node_id, depth, score) by undirected steps that never enter External nodes; seeds always stay."""
-    met = reach(both_ways(edges).select("here", "there").distinct(), seeds, depth, nodes.filter("kind = 'External'"))
+    met = reach(both_ways(held(edges, depth)).select("here", "there"), seeds, depth, nodes.filter("kind = 'External'"))
     return met.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.col("depth")))
 
 
 def directed(edges: DataFrame, start: DataFrame, kind: str, way: str, depth: int) -> DataFrame:
     """Callers, callees, imports and the like: steps of one kind and one orientation."""
-    own = both_ways(edges).filter((F.col("kind") == kind) & (F.col("way") == way)).select("here", "there").distinct()
+    own = both_ways(held(edges.filter(F.col("kind") == kind), depth)).filter(F.col("way") == way).select("here", "there")
     return reach(own, start, depth).filter("depth > 0")
 
 

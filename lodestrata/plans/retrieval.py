@@ -76,14 +76,14 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.graph import both_ways, reach
+    from ..operators.graph import both_ways, held, reach
 
     u = units(spark, sf_dir)
     asked = asked_vector(spark, sf_dir)
     vector = search.cosine_top_k(vectors(spark, sf_dir).drop("kind").withColumn("kind", F.lit("")), asked, K).select("unit_id", F.round("score", 6).alias("score"))
     keyword = search.keyword_top_k(u, TEXT, K).select(F.col("doc_id").alias("unit_id"))
     seeds = u.agg(F.min("doc_id").alias("node_id")).filter("node_id is not null")
-    graph = reach(both_ways(_links(spark, sf_dir)).select("here", "there"), seeds, 2).select(F.col("node_id").alias("unit_id"), "depth")
+    graph = reach(both_ways(held(_links(spark, sf_dir), 2)).select("here", "there"), seeds, 2).select(F.col("node_id").alias("unit_id"), "depth")
     return search.rank(search.fuse(vector, graph, keyword), K)
 
 
