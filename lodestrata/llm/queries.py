@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, toxicity
+from . import decontamination, licences, oracles, toxicity
 from .conversation_repair import repair_damaged
 from .jaccard_join import jaccard_components
 from .line_dedup import remove_lines
@@ -177,4 +177,4 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_licences": licences.scan_sql()}
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op3_mixing": OP3_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_licences": licences.scan_sql(), **oracles.ORACLES}
