@@ -186,3 +186,21 @@ def collections_ensured(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = found.filter("collection % 3 <> 0").select("collection", F.when(F.col("collection") % 3 == 1, F.col("dim")).otherwise(F.col("dim") * 2).alias("dim"), "n_points")
     ensured = store.ensure_collections(there, found.select("collection", "dim"))
     return ensured.join(found.select("collection", F.col("n_points").alias("n_all")), "collection").select(F.col("collection").alias("label"), F.col("n_all").alias("n_points"), "state", "n_left")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE '{"a":{"b":"' || event_type || '","y":' || user_id || '},"l":[' || event_id || ',"é"],"z":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END || '}' END AS payload FROM events""")
+def sorted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested payloads with sorted keys and no spaces; what is no JSON has none."""
+    whole = F.format_string('{"z": %s, "l" : [%d, "\\u00e9"],\n "a": {"y": %d, "b":"%s"}}', F.when(F.col("event_id") % 2 == 0, "true").otherwise("null"), "event_id", "user_id", "event_type")
+    payload = F.when(F.col("event_id") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    return load(spark, sf_dir, "events").select("event_id", text.sorted_json(payload).alias("payload"))
+
+
+NEAR = "near AS (SELECT dst_id AS node FROM edges WHERE kind = 'DEFINES' AND src_id = 'nation:3' UNION SELECT src_id FROM edges WHERE kind = 'DEFINES' AND dst_id = 'nation:3')"
+
+
+@query(sql(NEAR + ", far AS (SELECT dst_id AS node FROM edges JOIN near ON src_id = near.node WHERE kind = 'DEFINES' UNION SELECT src_id FROM edges JOIN near ON dst_id = near.node WHERE kind = 'DEFINES') SELECT node AS node_id, min(depth)::BIGINT AS depth FROM (SELECT node, 1 AS depth FROM near UNION ALL SELECT node, 2 FROM far) WHERE node <> 'nation:3' GROUP BY 1", "edges"))
+def neighbors_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within two steps along edges of one kind."""
+    start = spark.createDataFrame([("nation:3",)], "node_id string")
+    return graph.neighbours(edges(spark, sf_dir), start, 2, ["DEFINES"])
