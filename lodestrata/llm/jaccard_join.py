@@ -380,6 +380,7 @@ def _pairs(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.
                 yield int(part[lo]), own[i], own[j], differ
 
 
+_ROW = ["part", "doc_id", "n", "comp", "tile", "side"]
 _ORDER = [("part", "ascending"), ("n", "ascending"), ("doc_id", "ascending")]
 
 
@@ -450,7 +451,7 @@ def _asked(percent: int) -> Callable:
             wanted[j] = True
         at = pa.array(np.flatnonzero(wanted))
         pa.default_memory_pool().release_unused()
-        return table.select(["part", "doc_id"]).take(at)
+        return table.select(_ROW).take(at)
 
     return run
 
@@ -553,8 +554,9 @@ def exact_links(members: DataFrame, full: DataFrame, roots: DataFrame, percent:
     """
     lists = members.groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
     rows = parts(members, full, roots).join(lists, "doc_id")
-    asked = settle(_cells(rows, count).groupBy("cell").applyInArrow(_asked(percent), "part long, doc_id long"), "asked")
-    held = rows.join(asked, ["part", "doc_id"]).join(full.select("doc_id", "hashes"), "doc_id")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.select(_ROW).dtypes)
+    asked = settle(_cells(rows, count).groupBy("cell").applyInArrow(_asked(percent), schema), "asked")
+    held = asked.join(full.select("doc_id", "bits", "hashes"), "doc_id").join(lists, "doc_id")
     return held.groupBy("part").applyInArrow(_links(percent), "a long, b long").distinct()
 
 
