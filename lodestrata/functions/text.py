@@ -45,7 +45,7 @@ def compact(payload: Column, drop_zero: bool = False) -> Column:
 
 
 def cut_at_line(text: Column, tokens: int) -> Column:
-    """At most four characters a token, back to the last whole line."""
+    """At most four characters a token, back to the last whole line; a line end that is just within counts as the last."""
     size = tokens * 4
     head = F.substring(text, 1, size)
-    return F.when(F.length(text) <= size, text).otherwise(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, r"\n[^\n]*$", "")).otherwise(head))
+    return F.when(F.length(text) <= size, text).otherwise(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head))
