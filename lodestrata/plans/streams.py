@@ -28,16 +28,20 @@ def _place(spark: SparkSession) -> str:
     return new_path(spark, "stream")
 
 
+def _table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: a pattern may name either, a plain path only a folder."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{{{name}}}.parquet")
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file alone, as a stream of one folder."""
-    folder, name = sf_dir.rstrip("/"), "events.parquet"
-    return spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _table_stream(spark, sf_dir, "events", SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Drains the stream into a table in the shared folder and reads it back."""
     place = _place(spark)
     schema = stream.schema
+    spark.createDataFrame([], schema).write.parquet(f"{place}/rows")  # a stream without rows runs no batch
     rolling.drain(stream, lambda df, _: df.write.mode("append" if mode == "append" else "overwrite").parquet(f"{place}/rows"), f"{place}/state", mode)
     return spark.read.schema(schema).parquet(f"{place}/rows")
 
@@ -159,7 +163,7 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushes (pages) as a stream against the registry: which start a sync."""
-    pages = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(sf_dir.rstrip("/"))
+    pages = _table_stream(spark, sf_dir, "pages", "page_id long, url string, html string")
     host = F.split_part(normal_url(raw_url()), F.lit("/"), F.lit(1))
     pushed = pages.select("page_id", host.alias("host"), F.concat(F.lit("b"), (F.col("page_id") % 4).cast("string")).alias("branch"))
     return _run(spark, rolling.pushes(pushed, settle(registry(spark, sf_dir), "registry")), "append")
