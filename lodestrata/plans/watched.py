@@ -52,6 +52,8 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = lambda df, batch, at, op, folder="src": df.select(F.lit(batch).alias("batch"), F.lit(at).cast("long").alias("at"), path(folder), F.lit(op).alias("op"), "content")
     first = _file(rows, False)
     removed = first.withColumn("content", F.lit(None).cast("string"))
+    # A file whose functions all go is removed, as there is no second version of it.
+    emptied = rows.filter("k % 5 = 1").groupBy("k").agg(F.count_if(F.col("doc_id") % 3 != 0).alias("n")).filter("n = 0").select("k", F.lit(None).cast("string").alias("content"))
     broken = first.withColumn("content", F.lit("def (\n"))
     parts = [
         change(first.filter("k % 4 <> 3"), 0, 2, "added"),
@@ -59,6 +61,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         change(first.filter("k % 8 = 0"), 0, 1, "added", "node_modules"),
         change(first.filter("k % 4 = 3"), 1, 3, "added"),
         change(_file(rows.filter("k % 5 = 1 AND doc_id % 3 <> 0"), True), 1, 4, "modified"),
+        change(emptied, 1, 4, "removed"),
         change(removed.filter("k % 6 = 2"), 2, 5, "removed"),
         change(broken.filter("k % 6 <> 2 AND k % 9 = 4"), 2, 6, "modified"),
     ]
