@@ -8,10 +8,13 @@ ranges say where. The snapshot's id is over the hashes of all components.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .navigation import sorted_digests
 
@@ -32,9 +35,20 @@ def graph_records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.union(edges.select(F.col("src_id").alias("key"), line("edge", "src_id", "kind", "dst_id").alias("record")))
 
 
+@F.pandas_udf(StringType())
+def _digest(vectors: pd.Series) -> pd.Series:
+    def one(vector: Iterable[float] | None) -> str | None:
+        return None if vector is None else hashlib.sha256(",".join(["%.6f" % x for x in vector]).encode()).hexdigest()
+
+    return vectors.map(one, na_action=None)
+
+
 def vector_digest(vector: Column) -> Column:
-    """SHA-256 of the components with six decimals, joined by commas."""
-    return F.sha2(F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), 256)
+    """SHA-256 of the components with six decimals, joined by commas; nulls are left out.
+
+    What lies half-way between two decimals goes to the even one, as C prints it; ``format_string`` would round it up.
+    """
+    return _digest(F.filter(vector.cast("array<double>"), lambda x: x.isNotNull()))
 
 
 def vector_records(vectors: DataFrame, key: str, vector: str) -> DataFrame:
