@@ -59,11 +59,15 @@ def resolve_access(users: DataFrame, repos: DataFrame, direct: DataFrame, team:
 
     Privileged roles are admin on all of its repositories, granted or not; capped ones only read. Grants to other
     organisations' repositories count for nothing. ``users`` has user_id, team, role and org, ``repos`` repo and org.
-    Team grants are cut to one row a team and repository before they meet the members.
+    Team grants are cut to one row a team and repository before they meet the members. They and the list of
+    repositories go to all tasks: by their few keys, each task would sort a large part of all grants.
     """
+    repos = F.broadcast(repos)
     by_team = team.groupBy("team", "repo").agg(F.max("level").alias("level"))
     mine = direct.groupBy("user_id", "repo").agg(F.max("level").alias("level"))
-    grants = mine.unionByName(users.select("user_id", "team").join(by_team, "team").select("user_id", "repo", "level"))
+    n = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as a small file of users is one task, and each has all grants of a team
+    members = users.select("user_id", "team").repartition(n, "user_id")
+    grants = mine.unionByName(members.join(F.broadcast(by_team), "team").select("user_id", "repo", "level"))
     own = users.filter(~F.col("role").isin(privileged)).select("user_id", "role", "org")
     held = grants.groupBy("user_id", "repo").agg(F.max("level").alias("level")).join(own, "user_id").join(repos, ["repo", "org"])
     level = F.when(F.col("role").isin(capped), 1).otherwise(F.col("level"))
