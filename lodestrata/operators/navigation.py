@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -81,15 +83,17 @@ def sorted_digests(df: DataFrame, key: str, record: str) -> DataFrame:
 
         now, state, n, held = None, None, 0, 0
         for batch in batches:
-            for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for k, run_of_key in groupby(pairs, key=itemgetter(0)):
                 if state is None or k != now:
                     if state is not None:
                         yield result()
                     now, state, n, held = k, hashlib.sha256(), 0, 0
-                n += 1
-                if line is not None:
-                    state.update((b"\n" if held else b"") + line.encode())
-                    held += 1
+                every = [line for _, line in run_of_key]
+                n += len(every)
+                if lines := [line for line in every if line is not None]:
+                    state.update(("\n" * (held > 0) + "\n".join(lines)).encode())
+                    held += len(lines)
         if state is not None:
             yield result()
 

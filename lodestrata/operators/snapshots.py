@@ -51,9 +51,9 @@ def vector_digest(vector: Column) -> Column:
     return _digest(F.filter(vector.cast("array<double>"), lambda x: x.isNotNull()))
 
 
-def vector_records(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+def vector_records(vectors: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
     own = F.col(key).cast("string")
-    return vectors.select(own.alias("key"), F.concat_ws("\t", own, vector_digest(F.col(vector))).alias("record"))
+    return vectors.select(own.alias("key"), F.concat_ws("\t", own, vector_digest(F.col(vector))).alias("record"), *more)
 
 
 def _listed(pairs: Column) -> Column:
@@ -97,8 +97,16 @@ def replayed(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.withColumn("matches", F.col("expected").eqNullSafe(F.col("actual")))
 
 
-def differing(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(part, before, after): the ranges of a component that two states do not share, with their numbers of records."""
-    named = [df.select("part", F.col("digest").alias(f"{name}_digest"), F.col("n").alias(name)) for df, name in ((expected, "before"), (actual, "after"))]
-    both = named[0].join(named[1], "part", "full_outer").filter(~F.col("before_digest").eqNullSafe(F.col("after_digest")))
-    return both.select("part", F.coalesce("before", F.lit(0)).cast("long").alias("before"), F.coalesce("after", F.lit(0)).cast("long").alias("after"))
+def differing(records: DataFrame) -> DataFrame:
+    """(part, before, after): the ranges of a component that two states do not share, with their numbers of records.
+
+    ``records`` has key, record and the booleans before and after: which states hold the record; one that both hold may
+    be a row or two. Whether a range is the same needs no order, so nothing is sorted or dealt out: the records of each
+    state are summed as two 64-bit hashes, halves apart, and only a row a range and task is shuffled.
+    """
+    hashes = {f"h{i}{half}": piece for i in (0, 1) for half, piece in (("low", F.col(f"h{i}").bitwiseAND(0xFFFFFFFF)), ("high", F.shiftrightunsigned(f"h{i}", 32)))}
+    own = records.select(F.substring(F.md5("key"), 1, DIGITS).alias("part"), "before", "after", F.xxhash64("record").alias("h0"), F.xxhash64(F.lit("second"), "record").alias("h1"))
+    sums = [F.coalesce(F.sum(F.when(F.col(state), piece)), F.lit(0)).alias(f"{state}_{name}") for state in ("before", "after") for name, piece in hashes.items()]
+    summed = own.groupBy("part").agg(*[F.count_if(state).alias(state) for state in ("before", "after")], *sums)
+    state = lambda name: F.struct(F.col(name).alias("n"), *[F.col(f"{name}_{h}").alias(h) for h in hashes])
+    return summed.filter(state("before") != state("after")).select("part", "before", "after")
