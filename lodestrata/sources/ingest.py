@@ -69,10 +69,15 @@ def embed_text() -> Column:
     return F.concat("qualified_name", F.lit(" ("), "kind", F.lit(")\n"), F.coalesce(one_line(F.col("content")), F.lit("")), F.lit("\n"), F.substring("content", 1, 1600))
 
 
-def ingest(files: DataFrame, stored: DataFrame | None = None, dim: int = 64) -> Ingested:
-    """``files`` has repo_id, path, language and content; ``stored`` the units written before (STORED)."""
-    found, failed = parsers.units(files)
-    units = settle(shaped(found, files), "units")
+def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, failed files) of ``files``, which are parsed once."""
+    found, failed = parsers.units(files, "parsed")
+    return settle(shaped(found, files), "units"), failed
+
+
+def ingest(files: DataFrame, stored: DataFrame | None = None, dim: int = 64, parsed: tuple[DataFrame, DataFrame] | None = None) -> Ingested:
+    """``files`` has repo_id, path, language and content; ``stored`` the units written before (STORED); ``parsed`` what ``read`` gave for the files, if they were read before."""
+    units, failed = read(files) if parsed is None else parsed
     before = stored if stored is not None else files.sparkSession.createDataFrame([], STORED)
     units = settle(store.changed(before, units), "units")
     edges = settle(build.graph_edges(units), "edges")
