@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import settle
+from ..shared import dealt, settle
 
 #: The legal (source kind, edge kind, target kinds).
 EDGE_RULES = [
@@ -131,27 +131,42 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count("*").alias("degree"))
 
 
-def slices(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _ways(edges: DataFrame, parts: int | None) -> list[DataFrame]:
+    """(node_id, neighbour), distinct, out and in; edges that are dealt out by src_id are shuffled for the latter only."""
+    pairs = edges.select("src_id", "dst_id").distinct()
+    way = lambda here, there: pairs.select(F.col(here).alias("node_id"), F.col(there).alias("neighbour"))
+    return [way("src_id", "dst_id"), dealt(way("dst_id", "src_id"), parts, "node_id")]
+
+
+def slices(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """One-step slices of nodes that are not External: distinct neighbours in and out and their counts."""
-    inner = nodes.filter("kind <> 'External'").select("node_id")
-    outs = edges.groupBy(F.col("src_id").alias("node_id")).agg(F.countDistinct("dst_id").alias("n_out"), F.min("dst_id").alias("first_out"))
-    ins = edges.groupBy(F.col("dst_id").alias("node_id")).agg(F.countDistinct("src_id").alias("n_in"), F.min("src_id").alias("first_in"))
-    return inner.join(outs, "node_id", "left").join(ins, "node_id", "left").fillna(0, ["n_out", "n_in"]).withColumn("degree", F.col("n_out") + F.col("n_in"))
+    found = dealt(nodes.filter("kind <> 'External'").select("node_id"), parts, "node_id")
+    for way, met in zip(("out", "in"), _ways(edges, parts), strict=True):
+        found = found.join(met.groupBy("node_id").agg(F.count("neighbour").alias(f"n_{way}"), F.min("neighbour").alias(f"first_{way}")), "node_id", "left")
+    return found.fillna(0, ["n_out", "n_in"]).withColumn("degree", F.col("n_out") + F.col("n_in"))
+
 
+def slice_lists(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(node_id, way, neighbour), distinct, of nodes that are not External, which are looked up by hash."""
+    inner = dealt(nodes.filter("kind <> 'External'").select("node_id"), parts, "node_id").hint("shuffle_hash")
+    outs, ins = [met.join(inner, "node_id", "left_semi").select("node_id", F.lit(way).alias("way"), "neighbour") for way, met in zip(("out", "in"), _ways(edges, parts), strict=True)]
+    return outs.union(ins)
 
-def slice_lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node_id, way, neighbour), distinct, of nodes that are not External."""
-    inner = nodes.filter("kind <> 'External'").select("node_id")
-    row = lambda here, way, there: edges.select(F.col(here).alias("node_id"), F.lit(way).alias("way"), F.col(there).alias("neighbour"))
-    return row("src_id", "out", "dst_id").union(row("dst_id", "in", "src_id")).distinct().join(inner, "node_id", "left_semi")
+
+def with_ends(edges: DataFrame, facts: DataFrame, parts: int | None = None) -> DataFrame:
+    """``edges`` with what ``facts`` (node_id and more) say of both ends, as src_... and dst_..., null where they do not have the node.
+
+    Facts are looked up by hash and their tasks are as many as stated, so edges are not sorted and need no memory of their own.
+    """
+    for end in ("src", "dst"):
+        own = facts.select(F.col("node_id").alias(f"{end}_id"), *[F.col(c).alias(f"{end}_{c}") for c in facts.columns if c != "node_id"])
+        edges = edges.join(dealt(own, parts, f"{end}_id").hint("shuffle_hash"), f"{end}_id", "left")
+    return edges
 
 
-def validate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def validate(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """(src_id, kind, dst_id, issue): orphan, self_edge or edge_rule, the first that holds."""
-    kinds = nodes.select("node_id", F.col("kind").alias("node_kind"))
-    a = kinds.select(F.col("node_id").alias("src_id"), F.col("node_kind").alias("src_kind"))
-    b = kinds.select(F.col("node_id").alias("dst_id"), F.col("node_kind").alias("dst_kind"))
-    both = edges.join(a, "src_id", "left").join(b, "dst_id", "left")
+    both = with_ends(edges, nodes.select("node_id", "kind"), parts)
     issue = F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), "orphan").when(F.col("src_id") == F.col("dst_id"), "self_edge").when(~edge_allowed(F.col("src_kind"), F.col("kind"), F.col("dst_kind")), "edge_rule")
     return both.withColumn("issue", issue).filter("issue is not null").select("src_id", "kind", "dst_id", "issue")
 
@@ -174,11 +189,9 @@ def nearest_module(nodes: DataFrame) -> DataFrame:
     return held.join(modules, "prefix").groupBy("node_id").agg(F.max_by("module_id", "depth").alias("module_id"))
 
 
-def compaction(nodes: DataFrame, edges: DataFrame, centrality: DataFrame, threshold: float, leaf_kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+def compaction(nodes: DataFrame, edges: DataFrame, centrality: DataFrame, threshold: float, leaf_kinds: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Leaves of low centrality fold into their module; the edges that touch them, rewritten, distinct, without loops."""
     folded = nodes.filter(F.col("kind").isin(leaf_kinds)).join(centrality, "node_id").filter(F.col("centrality") < threshold).join(nearest_module(nodes), "node_id").select("node_id", "module_id")
-    a = folded.select(F.col("node_id").alias("src_id"), F.col("module_id").alias("src_module"))
-    b = folded.select(F.col("node_id").alias("dst_id"), F.col("module_id").alias("dst_module"))
-    moved = edges.join(a, "src_id", "left").join(b, "dst_id", "left").filter("src_module is not null or dst_module is not null")
+    moved = with_ends(edges, folded.withColumnRenamed("module_id", "module"), parts).filter("src_module is not null or dst_module is not null")
     moved = moved.select(F.coalesce("src_module", "src_id").alias("src_id"), "kind", F.coalesce("dst_module", "dst_id").alias("dst_id")).filter("src_id <> dst_id").distinct()
     return folded, moved

@@ -26,6 +26,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of a table that one task takes.
+ROWS = 300_000
+
+
+def spread(table: DataFrame) -> int:
+    """How many tasks a shuffle of a stored table's rows needs, so that a task stays of one size as the table grows; not fewer than the session's.
+
+    The count is read from the files' footers.
+    """
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // ROWS))
+
+
+def dealt(df: DataFrame, parts: int | None, *columns: str) -> DataFrame:
+    """Rows by their columns in so many tasks; as Spark sees fit where no number is given."""
+    return df.repartition(parts, *columns) if parts else df
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back: it survives lost executors."""
     path = new_path(df.sparkSession, label)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.identity import unit_id
 from .functions.paths import first_paragraph
+from .shared import spread
 
 KINDS = ["module", "class", "function", "method", "constant", "section"]
 NOW = "2024-01-31 00:00:00"
@@ -91,19 +92,32 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.union(modules).union(classes).union(functions).union(parts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_id, kind, dst_id), distinct."""
+def edge_parts(spark: SparkSession, sf_dir: str) -> int:
+    """In how many tasks edges are dealt out."""
+    return spread(load(spark, sf_dir, "lineitem"))
+
+
+def edges(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """(src_id, kind, dst_id), distinct, dealt out by src_id.
+
+    Rows seldom repeat, so they are dealt out before they are made distinct, not cut down in each task first, and what
+    goes on by src_id needs no other shuffle. Orders are looked up by hash: lines are not sorted.
+    """
+    parts = parts or edge_parts(spark, sf_dir)
     name = lambda prefix, c: F.concat(F.lit(prefix + ":"), F.col(c).cast("string"))
     row = lambda df, a, kind, b: df.select(a.alias("src_id"), F.lit(kind).alias("kind"), b.alias("dst_id"))
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    calls = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    calls = lines.join(orders.hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"))
     defined = load(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0")
     return (
         row(load(spark, sf_dir, "nation"), name("region", "n_regionkey"), "CONTAINS", name("nation", "n_nationkey"))
         .union(row(load(spark, sf_dir, "supplier"), name("nation", "s_nationkey"), "DEFINES", name("supplier", "s_suppkey")))
         .union(row(defined, name("nation", "c_nationkey"), "DEFINES", name("customer", "c_custkey")))
-        .union(row(lines.select("l_suppkey", "l_partkey").distinct(), name("supplier", "l_suppkey"), "DEFINES", name("part", "l_partkey")))
-        .union(row(calls.select("o_custkey", "l_partkey").distinct(), name("customer", "o_custkey"), "CALLS", name("part", "l_partkey")))
+        .union(row(lines, name("supplier", "l_suppkey"), "DEFINES", name("part", "l_partkey")))
+        .union(row(calls, name("customer", "o_custkey"), "CALLS", name("part", "l_partkey")))
+        .repartition(parts, "src_id")
+        .distinct()
     )
 
 
