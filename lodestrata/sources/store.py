@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import edge_allowed
+from ..operators.graph import edge_allowed, with_ends
+from ..shared import dealt
 
 
 def reconcile(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
@@ -27,13 +28,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return reconcile(old, new, key, digest).drop("state")
 
 
-def write_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges that are written, (src_id, kind, dst_id, cause) of those that are not): a missing end, then an unlawful pair of kinds."""
-    kinds = nodes.select("node_id", F.col("kind").alias("node_kind"))
-    ends = [kinds.select(F.col("node_id").alias(f"{e}_id"), F.col("node_kind").alias(f"{e}_kind")) for e in ("src", "dst")]
-    met = edges.select("src_id", "kind", "dst_id").distinct().join(ends[0], "src_id", "left").join(ends[1], "dst_id", "left")
+def judged_edges(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(src_id, kind, dst_id, cause), distinct: why an edge is not written, a missing end, then an unlawful pair of kinds; null for those that are."""
+    met = with_ends(dealt(edges.select("src_id", "kind", "dst_id"), parts, "src_id").distinct(), nodes.select("node_id", "kind"), parts)
     cause = F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), "missing").when(~edge_allowed(F.col("src_kind"), F.col("kind"), F.col("dst_kind")), "rule")
-    judged = met.select("src_id", "kind", "dst_id", cause.alias("cause"))
+    return met.select("src_id", "kind", "dst_id", cause.alias("cause"))
+
+
+def write_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges that are written, (src_id, kind, dst_id, cause) of those that are not)."""
+    judged = judged_edges(edges, nodes)
     return judged.filter("cause is null").drop("cause"), judged.filter("cause is not null")
 
 
