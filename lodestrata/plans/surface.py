@@ -10,7 +10,7 @@ from ..functions import paths, scoring, text
 from ..operators import build, graph, overview, search
 from ..shared import new_path, settle
 from ..sources import audit, store
-from ..tables import code_units, edges, load, nodes, units, usage
+from ..tables import code_units, edge_parts, edges, load, nodes, units, usage
 from ..tools import MOST, request_faults
 from .build import SUMMED
 from .retrieval import KEYWORD, TEXT
@@ -59,7 +59,8 @@ def module_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT DISTINCT e.dst_id, 'in', e.src_id FROM edges e JOIN nodes n ON n.node_id = e.dst_id WHERE n.kind <> 'External'""", "nodes", "edges"))
 def slice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbours of each node that is not External, in and out, a row each: a node may have any number."""
-    return graph.slice_lists(edges(spark, sf_dir), nodes(spark, sf_dir))
+    parts = edge_parts(spark, sf_dir)
+    return graph.slice_lists(edges(spark, sf_dir, parts), nodes(spark, sf_dir), parts)
 
 
 @query(sql("""v AS (SELECT unit_id, 1 AS o, NULL AS file_path, NULL AS qualified_name, kind FROM units WHERE doc_id % 3 = 0), g AS (SELECT unit_id, 2, NULL, CASE WHEN doc_id % 4 <> 0 THEN 'g:' || qualified_name END, 'g:' || kind FROM units WHERE doc_id % 2 = 0),
