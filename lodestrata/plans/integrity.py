@@ -92,14 +92,15 @@ def schema_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corruption_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that miss their digests, other schema versions, edges to nodes that are not kept, all their entities, and whether the audit chain holds."""
     from ..operators import graph, sequential
-    from ..tables import edges, nodes
+    from ..tables import edge_parts, edges, nodes
     from .series import tampered_chain
 
     u = units(spark, sf_dir)
     altered = F.when(F.col("doc_id") % 13 == 5, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
     bad = u.filter(F.sha2(altered, 256) != F.col("source_sha")).select(F.col("unit_id").alias("id"), F.lit("checksum").alias("check"))
     old = u.filter("doc_id % 3 <> 1").select("unit_id", F.lit("schema"))
-    loose = graph.validate(edges(spark, sf_dir), nodes(spark, sf_dir).filter("kind <> 'External'")).filter("issue = 'orphan'").select("src_id", F.lit("graph"))
+    parts = edge_parts(spark, sf_dir)
+    loose = graph.validate(edges(spark, sf_dir, parts), nodes(spark, sf_dir).filter("kind <> 'External'"), parts).filter("issue = 'orphan'").select("src_id", F.lit("graph"))
     found = bad.union(old).union(loose)
     counts = found.agg(*[F.count_if(F.col("check") == c).alias(f"n_{c}") for c in ("checksum", "schema", "graph")], F.countDistinct("id").alias("n_entities"))
     chain = sequential.verify_chain(tampered_chain(spark, sf_dir)).agg((F.coalesce(F.sum("n_broken"), F.lit(0)) == 0).alias("chain_ok"))
