@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..contract import query
 from ..functions import scoring
 from ..operators import graph, lifecycle
-from ..shared import settle
-from ..tables import NOW, edges, nodes, usage
-from .graph import FOLDED, signatures
+from ..shared import dealt, settle
+from ..tables import NOW, edge_parts, edges, nodes, usage
+from .graph import FOLDED, signed_twice
 from .views import SIGNED_PREVIOUS, sql
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """``held`` are the edges, where they are used otherwise too."""
     n = nodes(spark, sf_dir)
     stats = lifecycle.usage_stats(usage(spark, sf_dir))
-    return lifecycle.relevance(n, stats, graph.in_degree(n, edges(spark, sf_dir)), NOW)
+    return lifecycle.relevance(n, stats, graph.in_degree(n, edges(spark, sf_dir) if held is None else held), NOW)
 
 
 def _with_status(scored: DataFrame) -> DataFrame:
@@ -75,11 +76,12 @@ REASONS = """, r AS (SELECT v.entity_id, list_filter([CASE WHEN score < 0.4 THEN
 )
 def lifecycle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the lifecycle: scores once, then decay, refresh, compaction of graph and memory, in figures."""
-    n, e = nodes(spark, sf_dir), settle(edges(spark, sf_dir), "edges")
+    parts = edge_parts(spark, sf_dir)
+    n, e = nodes(spark, sf_dir), settle(edges(spark, sf_dir, parts), "edges")
     in_degree = graph.in_degree(n, e)
     scored = settle(_with_status(lifecycle.relevance(n, lifecycle.usage_stats(usage(spark, sf_dir)), in_degree, NOW)), "scored")
     planned = lifecycle.decay(scored, stale_days=30).agg(F.count("*").alias("n_entities"), F.count_if(F.col("action") == "PROMOTE").alias("n_promote"), F.count_if(F.col("action") == "DOWNGRADE").alias("n_downgrade"))
-    fresh = lifecycle.refresh(scored, signatures(n, e), signatures(n, e.filter("kind <> 'CALLS'"))).agg(F.count("*").alias("n_refresh"))
+    fresh = lifecycle.refresh(scored, signed_twice(n, dealt(e, parts, "src_id"))).agg(F.count("*").alias("n_refresh"))
     folded, _ = graph.compaction(n, e, scored.select(F.col("entity_id").alias("node_id"), "centrality"), 0.2, ["Function", "Method", "Constant", "Section"])
     merged = lifecycle.memory_compaction(scored, graph.nearest_module(n)).agg(F.count("*").alias("n_compacted"))
     out = planned
@@ -96,7 +98,7 @@ def lifecycle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities to embed anew; the earlier signatures are those without CALLS edges."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    return lifecycle.refresh(_scored(spark, sf_dir), signatures(n, e), signatures(n, e.filter("kind <> 'CALLS'"))).select("entity_id", F.array_join("reasons", ",").alias("reasons"))
+    return lifecycle.refresh(_scored(spark, sf_dir, e), signed_twice(n, e)).select("entity_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
